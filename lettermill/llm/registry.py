@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op7_byte_bpe
 from .token_counts import op3_token_counts
 from .wavelet import op10_token_files
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op7_byte_bpe": op7_byte_bpe,
     "op10_token_files": op10_token_files,
 }
 

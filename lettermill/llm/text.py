@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that one step of an operator holds at a time; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # The code points with the Unicode property White_Space.

@@ -30,7 +30,7 @@ from .work import kept, table
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Bounds of a block: bytes of text and documents.
-BLOCK_BYTES, BLOCK_DOCS = 24 << 20, 60_000
+BLOCK_BYTES, BLOCK_DOCS = 12 << 20, 60_000
 #: Blocks whose sums a task holds at once.
 HELD_BLOCKS = 128
 
