@@ -17,10 +17,9 @@ besides the id and the text are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import json
-import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +42,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _bucket_of(piece: bytes, buckets: int) -> int:
-    return zlib.crc32(piece.decode("latin-1").encode("utf-8")) & buckets - 1
-
-
 def _bucket(piece: Column, buckets: int) -> Column:
     return F.crc32(piece.cast("binary")).bitwiseAND(F.lit(buckets - 1)).cast("int")
 
@@ -60,8 +55,16 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _as_maps(pieces: DataFrame) -> Column:
+    """One value that maps each piece to its value: an array of BUCKETS small maps. pieces: rows (piece, value)."""
+    buckets = pieces.groupBy(_bucket(F.col("piece"), BUCKETS).alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("piece", "value"))).alias("entries"))
+    filled = pieces.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(buckets, "bucket", "left")
+    ordered = filled.agg(F.sort_array(F.collect_list(F.struct("bucket", "entries"))).alias("all"))
+    return ordered.select(F.transform("all", lambda x: F.map_from_entries(x["entries"]))).scalar()
+
+
 class Ranks:
-    """Literals of a vocabulary: twice the rank of each piece, odd where its merges must go one by one; and the pieces by id."""
+    """A vocabulary as two values: maps with twice the rank of each piece, odd where its merges must go one by one; and the pieces by id."""
 
     def __init__(self, spark: SparkSession, path: str):
         ranks = read_ranks(path)
@@ -71,15 +74,14 @@ class Ranks:
                 for part in (piece[cut:], piece[:cut]):
                     if ranks.get(part, -1) > rank:
                         one_by_one.add(part)
-        maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        pieces = [""] * (max(ranks.values()) + 1)
-        for piece, rank in ranks.items():
-            maps[_bucket_of(piece, BUCKETS)][piece.decode("latin-1")] = 2 * rank + (piece in one_by_one)
-            pieces[rank] = piece.decode("latin-1")
-        # Spark folds both into literals when it plans; as rows of a one-row query they are compact for the tasks.
-        one = spark.range(1)
-        self.ranks = one.select(F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")).scalar()
-        self.pieces = one.select(F.from_json(F.lit(json.dumps(pieces)), "array<string>")).scalar()
+        names, values = [p.decode("latin-1") for p in ranks], [2 * r + (p in one_by_one) for p, r in ranks.items()]
+        literal = spark.createDataFrame(pa.table({"piece": pa.array(names), "value": pa.array(values, pa.int32())}))
+        self.ranks = _as_maps(literal)
+        # Ids run from 0 without a gap, or else the pieces would not stand at the places of their ids.
+        if sorted(ranks.values()) != list(range(len(ranks))):
+            raise ValueError("the ranks have gaps")
+        by_id = literal.agg(F.sort_array(F.collect_list(F.struct(_halved(F.col("value")).alias("id"), "piece"))).alias("all"))
+        self.pieces = by_id.select(F.col("all.piece")).scalar()
 
 
 def byte_string(text: Column) -> Column:
@@ -178,11 +180,8 @@ def hot_words(words: DataFrame, ranks: Column, most: int = HOT_WORDS) -> Column:
         least, held = count, held + n
     hot = counts.where(F.col("count") >= least).select("word")
     held = hot.repartition("word").withColumn(_RANKS, ranks)
-    folded = held.select("word", _let(F.col(_RANKS), lambda r: fold_merges(byte_string(F.col("word")), r)).alias("ids"))
-    maps = folded.groupBy(_bucket(F.col("word"), BUCKETS).alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("word", "ids"))).alias("entries"))
-    filled = words.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(maps, "bucket", "left")
-    ordered = filled.agg(F.sort_array(F.collect_list(F.struct("bucket", "entries"))).alias("all"))
-    return ordered.select(F.transform("all", lambda x: F.map_from_entries(x["entries"]))).scalar()
+    folded = held.select(F.col("word").alias("piece"), _let(F.col(_RANKS), lambda r: fold_merges(byte_string(F.col("word")), r)).alias("value"))
+    return _as_maps(folded)
 
 
 def encode(docs: DataFrame, vocabulary: Ranks, pattern: str, text_column: str = "text", ids_column: str = "ids", most: int = HOT_WORDS) -> DataFrame:
