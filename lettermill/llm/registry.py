@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .fm_index import OP9_SQL, op9_benchmark_phrases
 from .token_counts import op3_token_counts
 from .wavelet import op10_token_files
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_benchmark_phrases": op9_benchmark_phrases,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_benchmark_phrases": OP9_SQL,
+}

@@ -39,28 +39,33 @@ _ARROW = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("level", pa.in
 class WaveletMatrix:
     """Bit planes of a sequence of unsigned numbers, with sampled ranks."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], ranks: list[np.ndarray]):
-        self.n, self.planes, self.ranks = n, planes, ranks
+    def __init__(self, n: int, planes: list[np.ndarray], ranks: list[np.ndarray], sample: int = SAMPLE_BITS):
+        self.n, self.sample = n, sample
+        self.planes, self.ranks = [self._padded(p, sample) for p in planes], ranks
         self.zeros = [n - self._total(level) for level in range(len(planes))]
 
     @classmethod
-    def build(cls, values: np.ndarray, n_bits: int) -> WaveletMatrix:
+    def build(cls, values: np.ndarray, n_bits: int, sample: int = SAMPLE_BITS) -> WaveletMatrix:
         values = np.asarray(values, np.uint16 if n_bits <= 16 else np.uint32)
         planes, ranks = [], []
         for level in range(n_bits):
             bits = (values >> (n_bits - 1 - level) & 1).astype(bool)
             planes.append(np.packbits(bits, bitorder="little"))
-            ranks.append(cls.sampled(planes[-1]))
+            ranks.append(cls.sampled(planes[-1], sample))
             values = np.concatenate([values[~bits], values[bits]])
-        return cls(len(values), planes, ranks)
+        return cls(len(values), planes, ranks, sample)
 
     @staticmethod
-    def sampled(plane: np.ndarray) -> np.ndarray:
-        """Ones before every SAMPLE_BITS-th bit."""
-        step = SAMPLE_BITS // 8
-        padded = np.zeros(-(-len(plane) // step) * step, np.uint8)
-        padded[: len(plane)] = plane
-        ones = np.bitwise_count(padded).reshape(-1, step).sum(1, dtype=np.int64)
+    def _padded(plane: np.ndarray, sample: int) -> np.ndarray:
+        """The plane as 64-bit words, up to a whole number of samples."""
+        out = np.zeros(-(-len(plane) * 8 // sample) * sample // 8, np.uint8)
+        out[: len(plane)] = plane
+        return out.view("<u8")
+
+    @classmethod
+    def sampled(cls, plane: np.ndarray, sample: int) -> np.ndarray:
+        """Ones before every sample-th bit."""
+        ones = np.bitwise_count(cls._padded(plane, sample)).reshape(-1, sample // 64).sum(1, dtype=np.int64)
         return (np.cumsum(ones) - ones).astype(np.uint32)
 
     def _total(self, level: int) -> int:
@@ -68,21 +73,24 @@ class WaveletMatrix:
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Ones before the places at (0 to n) of a plane."""
-        plane, step = self.planes[level], SAMPLE_BITS // 8
+        plane = self.planes[level]
         if not len(plane):
             return np.zeros(len(at), np.int64)
-        block = np.minimum(at // SAMPLE_BITS, len(self.ranks[level]) - 1)
-        byte = block[:, None] * step + np.arange(step)
-        seen = plane[np.minimum(byte, len(plane) - 1)]
-        left = np.clip(at[:, None] - 8 * byte, 0, 8)
-        mask = ((1 << left) - 1).astype(np.uint8)
-        return self.ranks[level][block].astype(np.int64) + np.bitwise_count(seen & mask).sum(1, dtype=np.int64)
+        per = self.sample // 64
+        block = np.minimum(at // self.sample, len(self.ranks[level]) - 1)
+        out = self.ranks[level][block].astype(np.int64)
+        for k in range(per):
+            word = block * per + k
+            left = np.clip(at - 64 * word, 0, 64).astype(np.uint64)
+            mask = np.where(left == 64, ~np.uint64(0), (np.uint64(1) << (left & np.uint64(63))) - np.uint64(1))
+            out += np.bitwise_count(plane[word] & mask)
+        return out
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The numbers at the places."""
         at, out = np.asarray(at, np.int64).copy(), np.zeros(len(at), np.int64)
         for level in range(len(self.planes)):
-            bit = (self.planes[level][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            bit = (self.planes[level][at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
             ones = self._ones(level, at)
             at = np.where(bit, self.zeros[level] + ones, at - ones)
             out = out << 1 | bit
@@ -132,7 +140,7 @@ class WaveletMatrix:
         """The whole sequence: planes from the last to the first put each number back in its place."""
         out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
-            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            bits = np.unpackbits(self.planes[level].view(np.uint8), count=self.n, bitorder="little").view(bool)
             back = np.empty_like(out)
             zeros = self.zeros[level]
             back[~bits] = out[:zeros]
@@ -178,7 +186,7 @@ def _shard_rows(shard: int, part: int, n_bits: int, ids: np.ndarray, doc_ids: pa
     for level in range(n_bits):
         for piece in range(per_plane):
             b, r = PIECE_BITS // 8, PIECE_BITS // SAMPLE_BITS
-            add(level, piece, matrix.planes[level][piece * b : (piece + 1) * b].tobytes(), matrix.ranks[level][piece * r : (piece + 1) * r].astype("<u4").tobytes())
+            add(level, piece, matrix.planes[level].view(np.uint8)[piece * b : (piece + 1) * b].tobytes(), matrix.ranks[level][piece * r : (piece + 1) * r].astype("<u4").tobytes())
     yield pa.RecordBatch.from_pydict(rows, schema=_ARROW)
 
 
