@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from .bpe import op7_byte_bpe
 from .fm_index import OP9_SQL, op9_benchmark_phrases
+from .line_spread import OP8_SQL, op8_spread_lines
+from .ngram_join import op2_jaccard_join
 from .token_counts import op3_token_counts
 from .wavelet import op10_token_files
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_spread_lines": op8_spread_lines,
     "op9_benchmark_phrases": op9_benchmark_phrases,
     "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_spread_lines": OP8_SQL,
     "op9_benchmark_phrases": OP9_SQL,
 }
