@@ -1,9 +1,11 @@
 """Token counts: pieces once per distinct pre-token, joined to per-document pre-token frequencies.
 
-No id is made for a document. Documents of one task are gathered into blocks of bounded size; a block gives one
-posting row for each of its distinct pre-tokens: which of its documents hold it, and how often. Posting rows meet the
-piece count of their pre-token in a join; sums go back by block and document. A pre-token that every document
-holds has one row a block, so no key gathers more than a small share of the rows.
+No id is made for a document. A first pass counts pre-tokens over the whole corpus, and pieces once for each distinct
+one. The second pass gathers documents of one task into blocks of bounded size and meets the piece counts in two ways:
+the pre-tokens met most often, at most HOT_WORDS of them and none longer than HOT_BYTES, by a broadcast of that
+bounded table; all others by a shuffle join, in which a block gives one posting row for each of its rarer pre-tokens
+(which of its documents hold it, and how often). Postings come back by block, and sums are made there. The words of a
+hot key never travel, so no key gathers more than a small share of the rows.
 
 Results for odd rows: a null text counts as empty; an empty text has no tokens; rows with equal or null ids stay
 apart, each with its own count; columns besides the id and the text are ignored; an empty table gives no rows.
@@ -19,7 +21,8 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +34,10 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Bounds of a block: bytes of text and documents.
 BLOCK_BYTES, BLOCK_DOCS = 12 << 20, 60_000
-#: Blocks whose sums a task holds at once.
-HELD_BLOCKS = 128
+#: Bounds of the broadcast table.
+HOT_WORDS, HOT_BYTES = 1 << 18, 64
 
-POSTINGS = "block bigint, word binary, postings binary, ordinal int, id bigint, n_bytes bigint, n_special bigint"
+POSTINGS = "block bigint, word binary, postings binary, ordinal int, id bigint, n_bytes bigint, n_tokens bigint"
 
 
 def normalised(text: str) -> str:
@@ -44,21 +47,26 @@ def normalised(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-def _block_rows(block: int, parts: list[tuple], heads: list[tuple]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("block", pa.int64()), ("word", pa.large_binary()), ("postings", pa.large_binary()), ("ordinal", pa.int32()), ("id", pa.int64()), ("n_bytes", pa.int64()), ("n_special", pa.int64())])
+def _block_rows(block: int, parts: list[tuple], heads: list[tuple], hot: tuple[pa.Array, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("block", pa.int64()), ("word", pa.large_binary()), ("postings", pa.large_binary()), ("ordinal", pa.int32()), ("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
     n = sum(len(h[0]) for h in heads)
-    ids = pa.concat_arrays([h[0] for h in heads])
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.large_binary()), pa.nulls(n, pa.large_binary()), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(np.concatenate([h[1] for h in heads])), pa.array(np.concatenate([h[2] for h in heads]))], schema=schema)
     words, texts, times, base = [], [], [], 0
     for values, code, ordinal, count in parts:
         words.append(values)
         texts.append((code + base, ordinal))
         times.append(count)
         base += len(values)
-    if not base:
-        return
     codes, distinct = T.coded(pa.concat_arrays(words))
     code, ordinal, count = codes[np.concatenate([c for c, _ in texts])], np.concatenate([o for _, o in texts]), np.concatenate(times)
+    at = pc.index_in(distinct, value_set=hot[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+    known = at[code] >= 0
+    n_tokens = np.concatenate([h[2] for h in heads])
+    n_tokens += np.bincount(ordinal[known], count[known] * hot[1][at[code[known]]], n).astype(np.int64)
+    ids = pa.concat_arrays([h[0] for h in heads])
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.large_binary()), pa.nulls(n, pa.large_binary()), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(np.concatenate([h[1] for h in heads])), pa.array(n_tokens)], schema=schema)
+    rare = np.flatnonzero(at < 0)
+    distinct = distinct.take(pa.array(rare))
+    code, ordinal, count = (np.cumsum(at < 0) - 1)[code[~known]], ordinal[~known], count[~known]
     order = np.argsort(code, kind="stable")
     code, ordinal, count = code[order], ordinal[order], count[order]
     # A count is one byte; a larger one is several entries.
@@ -81,26 +89,50 @@ def _block_rows(block: int, parts: list[tuple], heads: list[tuple]) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), distinct.slice(i, m), postings.slice(i, m), null(pa.int32()), null(pa.int64()), null(pa.int64()), null(pa.int64())], schema=schema)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    special = re.compile("|".join(map(re.escape, special_strings(path))) or r"(?!)")
+def _segments(texts: list[str], special: re.Pattern) -> tuple[list[str], list[int], np.ndarray]:
+    """Normalised parts of the texts between added tokens, the text that each is of, and the added tokens of each text."""
+    parts, owner, n_special = [], [], np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        cut = special.split(t) if "<|" in t else [t]
+        n_special[i] = len(cut) - 1
+        parts += [normalised(s) for s in cut]
+        owner += [i] * len(cut)
+    return parts, owner, n_special
+
+
+def _special(path: str) -> re.Pattern:
+    return re.compile("|".join(map(re.escape, special_strings(path))) or r"(?!)")
+
+
+def _words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Distinct pre-tokens of runs of texts, and how often each is there."""
+    special = _special(path)
+    for step in T.steps(batches, "text", 4 * T.STEP_BYTES):
+        held, times = [], []
+        for part in T.steps(iter([step]), "text"):
+            values, _ = T.word_pretokens(*T.from_texts(_segments([t or "" for t in part.column("text").to_pylist()], special)[0]))
+            codes, distinct = T.coded(values)
+            held.append(distinct)
+            times.append(np.bincount(codes, minlength=len(distinct)))
+        codes, distinct = T.coded(pa.concat_arrays(held))
+        yield pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(codes, np.concatenate(times), len(distinct)).astype(np.int64))], names=["word", "n"])
+
+
+def _postings(batches: Iterator[pa.RecordBatch], path: str, hot: Broadcast) -> Iterator[pa.RecordBatch]:
+    special, table_ = _special(path), (pa.array(hot.value[0], pa.large_binary()), hot.value[1])
     partition, block, parts, heads, docs, held = TaskContext.get().partitionId(), 0, [], [], 0, 0
     for step in T.steps(batches, "text"):
         texts = [t or "" for t in step.column("text").to_pylist()]
         sizes = np.diff(T.utf8(step.column("text"))[1])
         if docs and (held + sizes.sum() > BLOCK_BYTES or docs + len(texts) > BLOCK_DOCS):
-            yield from _block_rows(partition << 32 | block, parts, heads)
+            yield from _block_rows(partition << 32 | block, parts, heads, table_)
             block, parts, heads, docs, held = block + 1, [], [], 0, 0
         for at in range(0, len(texts), BLOCK_DOCS):
             some = texts[at : at + BLOCK_DOCS]
             if docs + len(some) > BLOCK_DOCS:
-                yield from _block_rows(partition << 32 | block, parts, heads)
+                yield from _block_rows(partition << 32 | block, parts, heads, table_)
                 block, parts, heads, docs, held = block + 1, [], [], 0, 0
-            segments, owner, n_special = [], [], np.zeros(len(some), np.int64)
-            for i, t in enumerate(some):
-                cut = special.split(t) if "<|" in t else [t]
-                n_special[i] = len(cut) - 1
-                segments += [normalised(s) for s in cut]
-                owner += [i] * len(cut)
+            segments, owner, n_special = _segments(some, special)
             values, n = T.word_pretokens(*T.from_texts(segments))
             codes, distinct = T.coded(values)
             pairs, count = np.unique(codes << 32 | np.repeat(np.array(owner, np.int64), n), return_counts=True)
@@ -108,65 +140,53 @@ def _postings(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
             heads.append((step.column("id").slice(at, len(some)), sizes[at : at + BLOCK_DOCS], n_special))
             docs, held = docs + len(some), held + int(sizes[at : at + BLOCK_DOCS].sum())
     if docs:
-        yield from _block_rows(partition << 32 | block, parts, heads)
+        yield from _block_rows(partition << 32 | block, parts, heads, table_)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = batch.column("word").cast(pa.large_binary())
-        yield pa.RecordBatch.from_arrays([words, pa.array(encoder(path).ids(words)[1])], names=["word", "n_pieces"])
-
-
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-
-    def given() -> Iterator[pa.RecordBatch]:
-        for block, sums in held.items():
-            at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["block", "ordinal", "n"])
-
-    for batch in batches:
-        flat, sizes = np.frombuffer(b"".join(batch.column("postings").to_pylist()), np.uint8), np.array([len(x) for x in batch.column("postings").to_pylist()])
-        n = sizes // 3
-        begin = np.repeat(np.cumsum(sizes) - sizes, n)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        ordinal = flat[begin + 2 * k].astype(np.int64) | flat[begin + 2 * k + 1].astype(np.int64) << 8
-        tokens = flat[begin + 2 * np.repeat(n, n) + k] * np.repeat(batch.column("n_pieces").to_numpy(), n)
-        blocks, of = np.unique(batch.column("block").to_numpy(), return_inverse=True)
-        of = np.repeat(of, n)
-        order = np.argsort(of, kind="stable")
-        bounds = np.searchsorted(of[order], np.arange(len(blocks) + 1))
-        for i, block in enumerate(blocks.tolist()):
-            own = order[bounds[i] : bounds[i + 1]]
-            sums = np.bincount(ordinal[own], tokens[own]).astype(np.int64)
-            if block not in held and len(held) >= HELD_BLOCKS:
-                yield from given()
-                held.clear()
-            old = held.get(block)
-            if old is None or len(old) < len(sums):
-                if old is not None:
-                    sums[: len(old)] += old
-                held[block] = sums
-            else:
-                old[: len(sums)] += sums
-    yield from given()
-
-
-def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+        yield pa.RecordBatch.from_arrays([words, batch.column("n"), pa.array(encoder(path).ids(words)[1])], names=["word", "n", "n_pieces"])
+
+
+def _sums(rows: pa.Table) -> pa.Table:
+    """Tokens of the documents of one block from all its postings."""
+    parts = rows.column("postings").to_pylist()
+    flat, sizes = np.frombuffer(b"".join(parts), np.uint8), np.fromiter(map(len, parts), np.int64, len(parts))
+    n = sizes // 3
+    begin = np.repeat(np.cumsum(sizes) - sizes, n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    ordinal = flat[begin + 2 * k].astype(np.int64) | flat[begin + 2 * k + 1].astype(np.int64) << 8
+    tokens = flat[begin + 2 * np.repeat(n, n) + k] * np.repeat(rows.column("n_pieces").to_numpy(), n)
+    sums = np.bincount(ordinal, tokens).astype(np.int64)
+    at = np.flatnonzero(sums)
+    return pa.table({"block": np.full(len(at), rows.column("block")[0].as_py()), "ordinal": at.astype(np.int32), "n": sums[at]})
+
+
+def _hot(vocabulary: DataFrame, most: int) -> Broadcast:
+    """The words met most often (rows word, n, n_pieces), at most so many."""
+    short = vocabulary.where(F.octet_length("word") <= HOT_BYTES)
+    sizes = [tuple(r) for r in short.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect()]
+    least, held = 2**62, 0
+    for n, words in sorted(sizes, reverse=True):
+        if held + words > most:
+            break
+        least, held = n, held + words
+    rows = short.where(F.col("n") >= least).select("word", "n_pieces").toArrow()
+    return vocabulary.sparkSession.sparkContext.broadcast((rows.column("word").to_pylist(), np.append(rows.column("n_pieces").to_numpy(), 0)))
+
+
+def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
     """One row (id, n_bytes, n_tokens) for each row of docs; path is a tokenizers .json file on every machine."""
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
-    rows = kept(source.mapInArrow(partial(_postings, path=path), POSTINGS), "postings")
+    counts = source.select("text").mapInArrow(partial(_words, path=path), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    vocabulary = kept(counts.mapInArrow(partial(_pieces, path=path), "word binary, n bigint, n_pieces bigint"), "vocabulary")
+    rows = kept(source.mapInArrow(partial(_postings, path=path, hot=_hot(vocabulary, hot_words)), POSTINGS), "postings")
     postings = rows.where("word is not null").select("word", "block", "postings")
-    counted = rows.where("word is not null").select("word").distinct().mapInArrow(partial(_pieces, path=path), "word binary, n_pieces bigint")
-    sums = (
-        postings.join(counted, "word")
-        .select("block", "postings", "n_pieces")
-        .mapInArrow(_sums, "block bigint, ordinal int, n bigint")
-        .groupBy("block", "ordinal")
-        .agg(F.sum("n").alias("n"))
-    )
-    heads = rows.where("word is null").select("block", "ordinal", "id", "n_bytes", "n_special")
-    return heads.join(sums, ["block", "ordinal"], "left").select(F.col("id").alias(id_column), "n_bytes", (F.coalesce("n", F.lit(0)) + F.col("n_special")).alias("n_tokens"))
+    joined = postings.join(vocabulary.select("word", "n_pieces"), "word").select("block", "postings", "n_pieces")
+    sums = joined.groupBy("block").applyInArrow(lambda block: _sums(block), "block bigint, ordinal int, n bigint")
+    heads = rows.where("word is null").select("block", "ordinal", "id", "n_bytes", "n_tokens")
+    return heads.join(sums, ["block", "ordinal"], "left").select(F.col("id").alias(id_column), "n_bytes", (F.col("n_tokens") + F.coalesce("n", F.lit(0))).alias("n_tokens"))
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
