@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .vocabulary import vocabulary_path
-from .work import table
+from .work import kept, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what is sent to every task besides the rank map.
-HOT_WORDS, HOT_BYTES = 1 << 19, 64
+HOT_WORDS, HOT_BYTES = 1 << 20, 64
 #: Words up to this length, 64 at most, merge one pair at a time.
 SHORT_BYTES = 48
 #: A power of two.
@@ -171,7 +171,7 @@ def split_words(text: Column, pattern: str) -> Column:
 
 def hot_words(words: DataFrame, ranks: Column, most: int = HOT_WORDS) -> Column:
     """Ids of the words met most often (column word, a row for each occurrence), at most so many, as one value."""
-    counts = words.groupBy("word").count().where(F.octet_length("word") <= HOT_BYTES)
+    counts = kept(words.groupBy("word").count().where(F.octet_length("word") <= HOT_BYTES), "words")
     sizes = [(r["count"], r["n"]) for r in counts.groupBy(F.least("count", F.lit(100_000)).alias("count")).agg(F.count("*").alias("n")).collect()]
     least, held = 2**62, 0
     for count, n in sorted(sizes, reverse=True):
