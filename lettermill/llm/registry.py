@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .fingerprint import op6_fingerprints
 from .fm_index import OP9_SQL, op9_benchmark_phrases
+from .html_density import op5_page_texts
 from .line_spread import OP8_SQL, op8_spread_lines
 from .ngram_join import op2_jaccard_join
 from .token_counts import op3_token_counts
+from .toxicity import op4_toxicity
 from .wavelet import op10_token_files
 
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
+    "op5_page_texts": op5_page_texts,
+    "op6_fingerprints": op6_fingerprints,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_spread_lines": op8_spread_lines,
     "op9_benchmark_phrases": op9_benchmark_phrases,

@@ -70,6 +70,11 @@ _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased, and how many each text has."""
+    return words_at(data, offsets)[:2]
+
+
+def words_at(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """words(), and the byte where each word begins."""
     low = _LOWER[data]
     inside = _IN_WORD[low]
     before = np.empty_like(inside)
@@ -81,7 +86,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     # Once all else has gone, each word begins after as many bytes as words held before it.
     kept = np.cumsum(inside) - inside
     counts = np.diff(np.searchsorted(at, offsets))
-    return pieces(low[inside], kept[at]), counts
+    return pieces(low[inside], kept[at]), counts, at
 
 
 @lru_cache(1)
