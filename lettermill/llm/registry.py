@@ -6,6 +6,7 @@ from .bpe import op7_byte_bpe
 from .fingerprint import op6_fingerprints
 from .fm_index import OP9_SQL, op9_benchmark_phrases
 from .html_density import op5_page_texts
+from .language_crf import op1_language
 from .line_spread import OP8_SQL, op8_spread_lines
 from .ngram_join import op2_jaccard_join
 from .token_counts import op3_token_counts
@@ -13,6 +14,7 @@ from .toxicity import op4_toxicity
 from .wavelet import op10_token_files
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
