@@ -19,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import text as T
 from .word_features import features
 from .work import table
 
 #: Labelled rows that the fit uses at most, about.
-TRAIN_ROWS = 9000
+TRAIN_ROWS = 6000
 N_FEATURES = 1 << 18
 PREFIXES, SUFFIXES, LEAST_TEXTS = (3, 4, 5, 6, 7, 8), (), 8
 STEPS, RATE, DECAY = 150, 0.05, 3e-4
@@ -87,12 +88,14 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         share = (labels.sum() + 0.5) / (len(labels) + 10)
         return Model(weights, float(np.log(share / (1 - share))))
     codes, distinct, sentence, owner, _, _ = instances(texts)
+    codes, sentence = codes.astype(np.int32), sentence.astype(np.int32)
     found, n = features(distinct, N_FEATURES, PREFIXES, SUFFIXES)
     used, found = np.unique(found, return_inverse=True)
+    found = found.astype(np.int32)
     starts, row = np.cumsum(n) - n, np.repeat(np.arange(len(distinct)), n)
-    # A feature of a few documents can't be told from their labels.
-    seen = np.unique(np.repeat(codes, n[codes]) * 0 + found[np.repeat(starts[codes] - (np.cumsum(n[codes]) - n[codes]), n[codes]) + np.arange(n[codes].sum())] + owner[np.repeat(sentence, n[codes])].astype(np.int64) * len(used))
-    common = np.bincount(seen % len(used), minlength=len(used)) >= LEAST_TEXTS
+    # A feature that few words of few documents have can't be told from their labels.
+    texts_with = np.bincount(np.unique(codes.astype(np.int64) * len(labels) + owner[sentence]) // len(labels), minlength=len(distinct))
+    common = np.bincount(found, texts_with[row], len(used)) >= LEAST_TEXTS
     w, m, v = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
     mb = vb = 0.0
     for step in range(1, STEPS + 1):
@@ -138,15 +141,15 @@ def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
 def scored(docs: DataFrame, model: Model, text_column: str = "text", keep: list[str] = ()) -> DataFrame:
     """score and offending (begin, end in code points and score of each toxic sentence) for each row, with the columns to keep."""
     source = docs.select(F.col(text_column).alias("text"), *[F.col(c).alias(f"kept {c}") for c in keep])
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    found = source.mapInArrow(partial(_scored, model=docs.sparkSession.sparkContext.broadcast(model)), f"score double, offending array<struct<begin:bigint,end:bigint,score:double>>{more}")
+    schema = StructType.fromDDL("score double, offending array<struct<begin:bigint,end:bigint,score:double>>")
+    found = source.mapInArrow(partial(_scored, model=docs.sparkSession.sparkContext.broadcast(model)), StructType(schema.fields + source.schema.fields[1:]))
     return found.select(*[F.col(f"kept {c}").alias(c) for c in keep], "score", "offending")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that score as toxic; all columns stay."""
-    found = scored(docs, train(docs, labels), keep=docs.columns)
-    return found.where(F.col("score") < THRESHOLD).select(*docs.columns)
+    found = scored(docs.select("text", F.struct(*docs.columns).alias("row")), train(docs, labels), keep=["row"])
+    return found.where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
