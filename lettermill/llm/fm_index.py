@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import text as T
 from .wavelet import WaveletMatrix
@@ -205,8 +206,8 @@ def phrase_spans(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", t
     """
     blocks = _blocks(items, item_column, item_text, window)
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"), *[F.col(c).alias(f"kept {c}") for c in keep])
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
-    found = source.mapInArrow(partial(_searched, blocks=blocks), f"id bigint, n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<bigint>{more}")
+    schema = StructType.fromDDL("id bigint, n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<bigint>")
+    found = source.mapInArrow(partial(_searched, blocks=blocks), StructType(schema.fields + source.schema.fields[2:]))
     return found.select(F.col("id").alias(id_column), "n_words", "spans", "items", *[F.col(f"kept {c}").alias(c) for c in keep])
 
 
@@ -220,8 +221,8 @@ def contaminated() -> Column:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs (with doc_id and text) without the rows that are contaminated; all columns stay."""
-    found = phrase_spans(docs, items, keep=docs.columns).withColumn("n_hit", n_hit())
-    return found.where(~contaminated()).select(*docs.columns)
+    found = phrase_spans(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), items, keep=["row"]).withColumn("n_hit", n_hit())
+    return found.where(~contaminated()).select("row.*")
 
 
 def op9_benchmark_phrases(spark, sf_dir: str) -> DataFrame:
