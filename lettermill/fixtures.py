@@ -108,7 +108,7 @@ SQL = {
  split_part(text, chr(10), 1) AS subject, text, 'user' || user_id || '@example.org' AS "from", ['user' || ((user_id + 1) % 150) || '@example.org'] AS "to", CASE WHEN doc_id % 3 = 0 THEN ['list@example.org'] ELSE [] END AS cc, CAST([] AS VARCHAR[]) AS bcc,
  epoch_us(ts) // 1000 AS "date", epoch_us(ts) // 1000 AS internal_date, CAST(strlen(text) AS BIGINT) AS size, {_H.format("message_id")} AS thread_id, message_id,
  CASE WHEN event_type = 'purchase' THEN ['report-' || json_extract_string(props, '$.k') || '.pdf'] ELSE [] END AS attachments, event_type = 'purchase' AS has_attachment,
- list_filter([CASE WHEN quality = 1 THEN '/quality/high' WHEN quality = 0 THEN '/quality/low' END, CASE WHEN toxic = 1 THEN '/safety/toxic' END], x -> x IS NOT NULL) AS tags
+ list_filter([CASE WHEN quality = 1 THEN '/quality/high' WHEN quality = 0 THEN '/quality/low' END, CASE WHEN toxic = 1 THEN '/safety/toxic' END], lambda x: x IS NOT NULL) AS tags
  FROM (SELECT *, CAST(substr(source, 4) AS BIGINT) AS account_id, md5(text) || '@fixture' AS message_id FROM documents JOIN events ON doc_id = event_id LEFT JOIN labels USING (doc_id)))""",
     "e": "e AS (SELECT * FROM ea QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)",
     "acc": f"acc AS (SELECT id, 'account' || id || '@example.org' AS email, id % 5 <> 0 AS enabled, id % 7 AS created_by, {NOW} - id * 86400000 AS created_at, 10 + id * 5 AS sync_interval_min FROM (SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS id FROM documents) WHERE id % 4 <> 3)",

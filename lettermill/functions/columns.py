@@ -116,9 +116,12 @@ def tag_problem(tag: Column) -> Column:
 
 def has_tag(tags: Column, wanted: list[str]) -> Column:
     """Any of the wanted tags, or one below it."""
+    def one(w: str) -> Column:
+        return F.exists(tags, lambda t: (t == w) | t.startswith(w + "/"))
+
     found = F.lit(False)
     for w in wanted:
-        found = found | F.exists(tags, lambda t, w=w: (t == w) | t.startswith(w + "/"))
+        found = found | one(w)
     return found
 
 

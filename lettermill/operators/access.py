@@ -50,9 +50,10 @@ def allowed(asked: DataFrame, users: DataFrame, roles: DataFrame) -> DataFrame:
     wanted = asked.distinct().join(F.broadcast(implied), "permission")
     h = have.select("user_id", F.col("account_id").alias("on_account"), F.col("permission").alias("enough"))
     hit = wanted.join(h, ["user_id", "enough"]).where("(is_global and on_account is null) or (not is_global and on_account = account_id)")
-    hit = hit.select("user_id", "account_id", "permission").distinct().withColumn("hit", F.lit(True))
-    same = [asked[c].eqNullSafe(hit[c]) for c in ("user_id", "account_id", "permission")]
-    return asked.join(hit, same[0] & same[1] & same[2], "left").select(asked["user_id"], asked["account_id"], asked["permission"], F.coalesce("hit", F.lit(False)).alias("allowed"))
+    hit = hit.select("user_id", "account_id", "permission").distinct().withColumn("hit", F.lit(True)).alias("h")
+    a = asked.alias("a")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("user_id", "account_id", "permission")]
+    return a.join(hit, same[0] & same[1] & same[2], "left").select("a.user_id", "a.account_id", "a.permission", F.coalesce("hit", F.lit(False)).alias("allowed"))
 
 
 def read_scope(users: DataFrame, roles: DataFrame, accounts: DataFrame, all_permission: str = "data:read:all") -> DataFrame:

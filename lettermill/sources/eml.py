@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..functions.columns import default_message_id, scoped_id, thread_id
 from ..schemas import ATTACHMENTS
@@ -34,12 +35,12 @@ def html_to_text(page: str | None) -> str | None:
     return "\n".join(x for x in (re.sub(r"[^\S\n]+", " ", line).strip() for line in text.split("\n")) if x)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(html_to_text)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def folder_name(names: pd.Series) -> pd.Series:
     """Folder names from modified UTF-7."""
 
@@ -55,7 +56,7 @@ def folder_name(names: pd.Series) -> pd.Series:
     return names.map(one)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def encoded_folder_name(names: pd.Series) -> pd.Series:
     """Folder names in modified UTF-7."""
 
@@ -196,7 +197,7 @@ def _attachments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 data = p.get_payload(decode=True) or b""
                 cid = p.get("Content-ID")
                 rows.append((int(key), k, _file_name(p, int(key), k), p.get_content_type(), p.get_content_disposition() == "inline" or cid is not None, str(cid).strip("<>") if cid else None, len(data), data))
-        yield pd.DataFrame(rows, columns=ATTACHMENTS.names)
+        yield pd.DataFrame(rows, columns=["id", "ordinal", "filename", "mime", "inline", "content_id", "size", "data"])
 
 
 def attachments(raw: DataFrame) -> DataFrame:
