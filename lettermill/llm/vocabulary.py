@@ -47,20 +47,39 @@ class PretokenEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = pretoken_tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.sizes, self.used = np.empty(1 << 20, np.uint32), np.empty(1 << 18, np.int64), 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes words in parts, each as one sequence of pre-tokens."""
+        for at in range(0, len(words), 8192):
+            part = words[at : at + 8192]
+            coded = self.tokenizer.encode([w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
+            ids, n = np.array(coded.ids, np.uint32), np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part))
+            known = len(self.known)
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.append(self.flat, np.empty_like(self.flat))
+            while known + len(part) > len(self.sizes):
+                self.sizes = np.append(self.sizes, np.empty_like(self.sizes))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.sizes[known : known + len(part)] = n
+            self.used += len(ids)
+            self.known.update(zip(part, range(known, known + len(part))))
 
     def ids(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all values one after the other, and how many each has."""
+        """Ids of all values (distinct ones) one after the other, and how many each has."""
         keys = values.to_pylist()
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
         new = [k for k in keys if k not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for k, e in zip(part, self.tokenizer.encode_batch_fast([k.decode("utf-8") for k in part], add_special_tokens=False)):
-                self.known[k] = np.array(e.ids, "<u4").tobytes()
-        got = [self.known[k] for k in keys]
-        return np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+        if new and len(self.known) + len(new) > KEPT_WORDS:
+            self._forget()
+            new = keys
+        self._learn(new)
+        slots = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        sizes = self.sizes[: len(self.known)]
+        return spread(self.flat, sizes, slots), sizes[slots]
 
 
 @lru_cache(4)

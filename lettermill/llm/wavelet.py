@@ -31,6 +31,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Tokens after which a shard ends with the document at hand; bits of a plane in one row of the file; bits between rank samples.
 SHARD_TOKENS, PIECE_BITS, SAMPLE_BITS = 2 << 20, 1 << 20, 512
+STEP_BYTES = 2 << 20
 
 FILE = "shard bigint, part int, level int, piece int, n_tokens bigint, n_pieces int, bits binary, ranks binary, ids array<bigint>, sizes array<bigint>"
 _ARROW = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("level", pa.int32()), ("piece", pa.int32()), ("n_tokens", pa.int64()), ("n_pieces", pa.int32()), ("bits", pa.binary()), ("ranks", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
@@ -192,7 +193,7 @@ def _shard_rows(shard: int, part: int, n_bits: int, ids: np.ndarray, doc_ids: pa
 
 def _shards(batches: Iterator[pa.RecordBatch], path: str, n_bits: int) -> Iterator[pa.RecordBatch]:
     part, k, held, docs, counts, n = TaskContext.get().partitionId(), 0, [], [], [], 0
-    for step in T.steps(batches, "text"):
+    for step in T.steps(batches, "text", STEP_BYTES):
         ids, sizes = encode(step.column("text"), path)
         ends = np.cumsum(sizes + 1)
         with_end = np.full(int(ends[-1]), END_ID, np.uint32)
