@@ -165,7 +165,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     source = source.withColumns({"tie": F.coalesce(F.xxhash64("text"), F.lit(0)), "place": F.col("id").cast("double")})
     ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(source.select("place").where("place is not null").approxQuantile("place", [k / ranges for k in range(1, ranges)], 0.2 / ranges)))
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = sorted(set(source.select("place").where("place is not null").approxQuantile("place", shares, 0.2 / ranges))) if shares else []
     bucketed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="place", outputCol="dealt", handleInvalid="keep").transform(source) if cuts else source.withColumn("dealt", F.lit(0.0))
     # Ranges in the order of reading: descending, null ids at the end.
     source = bucketed.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - F.col("dealt").cast("int"))).drop("place", "dealt")
