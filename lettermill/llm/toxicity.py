@@ -41,9 +41,10 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(data)
     blank = np.append(data[1:] <= 32, True) if n else np.empty(0, bool)
     after = np.flatnonzero((data == 10) | (_END[data] & blank)) + 1
-    begins = np.unique(np.concatenate([offsets[:-1], after[after < n]]))
-    begins = np.concatenate([begins, np.repeat(offsets[:-1], np.diff(offsets) == 0)])
-    owner = np.concatenate([np.searchsorted(offsets, begins[: len(begins) - int((np.diff(offsets) == 0).sum())], "right") - 1, np.flatnonzero(np.diff(offsets) == 0)])
+    empty = np.diff(offsets) == 0
+    begins = np.unique(np.concatenate([offsets[:-1][~empty], after[after < n]]))
+    owner = np.concatenate([np.searchsorted(offsets, begins, "right") - 1, np.flatnonzero(empty)])
+    begins = np.concatenate([begins, offsets[:-1][empty]])
     # An empty text shares its place with the one after it, which then holds the first sentence there.
     pairs = np.unique(np.stack([owner, begins]), axis=1)
     return pairs[1], pairs[0]
