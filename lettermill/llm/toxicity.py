@@ -116,13 +116,22 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     return Model(weights, float(bias))
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fit to the bounded sample, in one task, so that the driver holds no texts."""
+    held = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("toxic", pa.int32())]))
+    texts = held.column("text").cast(pa.large_string()).combine_chunks()
+    model = fit(texts, held.column("toxic").to_numpy().astype(np.float64))
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Fits to at most about so many rows of labels (doc_id, toxic), whose crc32(doc_id) mod 5 is not 0, and their texts."""
-    usable = labels.where("toxic is not null and doc_id is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0).select("doc_id", "toxic")
+    usable = labels.where("toxic is not null and doc_id is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     n = usable.count()
     usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(n, 1))) + (n <= most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").orderBy("doc_id").select("text", "toxic").toArrow()
-    return fit(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy())
+    rows = docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").repartition(1).sortWithinPartitions("doc_id", "text", "toxic").select("text", "toxic")
+    found = rows.mapInArrow(_fitted, "weights binary, bias double").first()
+    return Model(np.frombuffer(found["weights"], np.float32), found["bias"]) if found else fit(pa.array([], pa.large_string()), np.empty(0))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
