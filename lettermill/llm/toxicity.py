@@ -26,10 +26,10 @@ from .word_features import features
 from .work import table
 
 #: Labelled rows that the fit uses at most, about.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 9000
 N_FEATURES = 1 << 18
 PREFIXES, SUFFIXES, LEAST_TEXTS = (3, 4, 5, 6, 7, 8), (), 8
-STEPS, RATE, DECAY = 150, 0.05, 3e-4
+STEPS, RATE, DECAY = 150, 0.05, 2e-4
 THRESHOLD = 0.5
 
 _END = np.zeros(256, bool)
