@@ -203,8 +203,9 @@ def decode(ids: Column, pieces: Column) -> Column:
     return F.encode(_let(pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")), "ISO-8859-1")
 
 
-def digests(docs: DataFrame, vocabulary: Ranks, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    encoded = encode(docs.select(id_column, text_column), vocabulary, pattern, text_column)
+def digests(docs: DataFrame, vocabulary: Ranks, pattern: str, id_column: str = "doc_id", text_column: str = "text", most: int = HOT_WORDS) -> DataFrame:
+    """n_tokens, and digests of the ids and of the bytes that they decode to, for each row of docs; most bounds what is sent to tasks."""
+    encoded = encode(docs.select(id_column, text_column), vocabulary, pattern, text_column, most=most)
     return encoded.withColumn(_PIECES, vocabulary.pieces).select(
         id_column,
         F.size("ids").cast("bigint").alias("n_tokens"),
