@@ -16,6 +16,10 @@ from lettermill.llm import bpe, fm_index, line_spread, ngram_join, toxicity
 from lettermill.llm.vocabulary import vocabulary_path
 from lettermill.llm.work import kept, table
 
+#: Words that the last stage folds once and sends to all tasks: fewer than the operator's own bound, as this driver also
+#: keeps the state of the stages before.
+HOT_WORDS = 1 << 18
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the sentence model, trained on labels, scores as toxic go."""
@@ -40,7 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes."""
-    return bpe.digests(docs, bpe.Ranks(spark, vocabulary_path(bpe.VOCABULARY)), PATTERN)
+    return bpe.digests(docs, bpe.Ranks(spark, vocabulary_path(bpe.VOCABULARY)), PATTERN, most=HOT_WORDS)
 
 
 STAGES = [
