@@ -43,6 +43,9 @@ _NOISE = re.compile(
     r"share|sharing|social|related|recommended|recommendations|more-stories|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|toolbar|skip-link|hidden|tags?|toc|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.I,
 )
+#: Names that tell how a container looks, and names of parts of the article.
+_STATE = re.compile(r"(?:has|with|no|without|is|not)[_-]", re.I)
+_OF_ARTICLE = re.compile(r"article|post|entry|story|content", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+)|([^\s=/]+)")
 _SPACES = re.compile(r"\s+")
@@ -73,8 +76,11 @@ def _is_noise(tag: str, attributes: str, parent: Node) -> bool:
         value = unescape(value.strip("\"'"))
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and (_NOISE.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))):
-            return True
+        if name in ("class", "id", "role"):
+            for word in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).split():
+                found = None if _STATE.match(word) else _NOISE.search(word)
+                if found and not (found[0].strip("_-").lower() == "header" and (inside is not None or _OF_ARTICLE.search(word))):
+                    return True
     return False
 
 

@@ -109,6 +109,8 @@ def test_page_text():
     assert html_density.main_text(PAGE) == "My & title\nOne two three four five six seven eight nine ten eleven.\nSecond paragraph with a link and more words than that, really.\nitem one is here\nitem two is here"
     cases = {None: "", "": "", "plain": "plain", "<p>a<p>b": "a\nb", "<script>x": "", "<div>&lt;x&gt; &#233;&nbsp;y</div>": "<x> é y", "<p>un<b>closed": "unclosed", "<<<": "<<<", "<div " + "a" * 50: "<div " + "a" * 50}
     assert {k: html_density.main_text(k) for k in cases} == cases
+    kept = '<body><div class="content has-sidebar"><div class="post-header"><h1>Title here</h1></div><p>The body of the article, long enough to be one.</p><div class="post-comments"><p>not this</p></div></div></body>'
+    assert html_density.main_text(kept) == "Title here\nThe body of the article, long enough to be one."
     deep = "<div>" * 3000 + "deep text here" + "</div>" * 3000
     assert html_density.main_text(deep) == "deep text here"
 
