@@ -531,6 +531,37 @@ def _(s, d):
     return X.table(s, d, "events").select("user_id").distinct().select("user_id", F.explode(forms).alias("address")).withColumn("valid", C.is_email(F.col("address")))
 
 
+@query("p13_content", "SELECT doc_id AS id, md5(text) AS text, '<img src=\"data:image/png;base64,' || to_base64(encode(lang)) || '\">' AS html, 1 AS n_attachments FROM documents")
+def _(s, d):
+    part = lambda kind, body, more="": F.concat(F.lit(f"--b\r\nContent-Type: {kind}\r\n{more}\r\n"), body, F.lit("\r\n"))
+    head = F.lit('Subject: x\r\nMIME-Version: 1.0\r\nContent-Type: multipart/related; boundary="b"\r\n\r\n')
+    image = part("image/png", F.base64(F.encode("lang", "UTF-8")), "Content-ID: <pic1>\r\nContent-Transfer-Encoding: base64\r\n")
+    raw = F.concat(head, part("text/plain", F.md5("text")), part("text/html", F.lit('<img src="cid:pic1">')), image, F.lit("--b--\r\n"))
+    rows = eml.content(X.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.encode(raw, "UTF-8").alias("eml")))
+    trimmed = lambda c: F.regexp_replace(c, "[\r\n]+$", "")
+    return rows.select("id", trimmed("text").alias("text"), trimmed("html").alias("html"), F.size("attachments").alias("n_attachments"))
+
+
+@query("s01_base64_batch", "SELECT count(*) AS total, count(*) FILTER (doc_id % 9 <> 0 AND doc_id % 7 <> 0) AS success, count(*) FILTER (doc_id % 9 = 0 OR doc_id % 7 = 0) AS failed FROM documents")
+def _(s, d):
+    url_safe = F.translate(F.base64("eml"), "+/\r\n", "-_")
+    coded = _messages(s, d).withColumn("coded", F.when(F.col("key") % 7 == 0, F.lit("*")).otherwise(url_safe))
+    return eml.batch_report(eml.envelopes(coded.withColumn("eml", eml.from_base64(F.col("coded"))).drop("coded")))
+
+
+@query("s06_export", "SELECT doc_id AS id, md5(text) || '@fixture' AS message_id FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 2 = 0")
+def _(s, d):
+    """Raw messages of a set of ids, as they would go out; their own ids show that the bytes are theirs."""
+    raw = _messages(s, d).where("eml is not null and key % 2 = 0").select(F.col("key").alias("id"), "eml")
+    return raw.select("id", F.regexp_extract(F.decode("eml", "UTF-8"), "Message-ID: <([^>]*)>", 1).alias("message_id"))
+
+
+@query("r05_user_summaries", "SELECT id AS user_id, CASE WHEN id % 10 = 0 THEN 'admin' WHEN id % 3 = 0 THEN 'Unknown Role,member' END AS global_roles, 2 AS n_accounts FROM u", "u")
+def _(s, d):
+    rows = access.summaries(X.users(s, d), access.builtin_roles(s))
+    return rows.select("user_id", F.array_join("global_roles", ",").alias("global_roles"), F.size("account_roles").alias("n_accounts"))
+
+
 # ---------------------------------------------------------------- ingest planning
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from ..functions.columns import default_message_id, scoped_id, thread_id
+from ..functions.columns import default_message_id, embedded_images, scoped_id, thread_id
 from ..schemas import ATTACHMENTS
 
 PARSED = "key bigint, error string, message_id string, in_reply_to string, `references` array<string>, subject string, `from` string, `to` array<string>, cc array<string>, bcc array<string>, date bigint, plain string, html string, attachments array<string>"
@@ -211,6 +211,16 @@ def attachment(raw: DataFrame, account_id: int, message: int, name: str) -> Data
     return found.where(F.col("filename") == name).orderBy("ordinal").limit(1)
 
 
+def content(raw: DataFrame) -> DataFrame:
+    """Text, HTML with inline images put in, and attachments of raw messages (id, eml)."""
+    parts = attachments(raw).where("data is not null")
+    inline = parts.where("inline and content_id is not null").groupBy("id").agg(F.collect_list(F.struct("content_id", "mime", "data")).alias("images"))
+    listed = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "filename", "mime", "size"))).alias("attachments"))
+    bodies = parse(raw.select(F.col("id").alias("key"), "eml")).select(F.col("key").alias("id"), F.col("plain").alias("text"), "html")
+    rows = bodies.join(inline, "id", "left").join(listed, "id", "left")
+    return rows.select("id", "text", F.when(F.col("images").isNull(), F.col("html")).otherwise(embedded_images(F.col("html"), F.col("images"))).alias("html"), "attachments")
+
+
 def export(raw: DataFrame, path: str) -> None:
     """Raw bytes by id, for a bulk download."""
     raw.select("id", "eml").write.option("compression", "zstd").parquet(path)
