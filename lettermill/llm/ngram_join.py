@@ -101,6 +101,9 @@ def _verified(pairs: pa.Table, threshold: float) -> pa.Table:
     _, first = np.unique(np.stack([side, names]), axis=1, return_index=True)
     left = [i for i in first.tolist() if side[i] < 2]
     right = [i for i in first.tolist() if side[i] in (0, 2)]
+    if not left or not right:
+        # Blocks are dealt by a hash: one of the two may hold nothing.
+        return pa.table({c: pa.array([], pa.int64()) for c in ("class", "links", "texts", "p", "q")})
     same = not (side == 2).any()
     flat, begin = np.concatenate([sets[i] for i in right]), np.cumsum([0] + [len(sets[i]) for i in right])
     universe, where = np.unique(flat, return_inverse=True)

@@ -48,6 +48,14 @@ def test_jaccard_classes(spark, small, block, monkeypatch):
     assert ngram_join.jaccard_classes(docs.limit(0)).count() == 0
 
 
+def test_jaccard_classes_with_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 10)
+    long = " ".join(f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100))
+    docs = spark.createDataFrame([(1, long), (2, long + " one"), (3, long + " two more"), (4, "a text of its own words")], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_linked_texts"]) for r in ngram_join.jaccard_classes(docs).collect()}
+    assert got == {1: (1, 2, 2), 2: (1, 2, 2), 3: (1, 2, 2), 4: (4, 0, 0)}
+
+
 def test_band_count_reaches_the_recall():
     b = ngram_join.band_count()
     assert 1 - (1 - 0.8**ngram_join.ROWS) ** b >= ngram_join.RECALL > 1 - (1 - 0.8**ngram_join.ROWS) ** (b - 1)
