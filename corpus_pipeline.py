@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on many sites leave the texts; every document stays."""
-    cleaned = line_spread.without_spread_lines(docs)
+    """Lines that stand on many sites, all near copies counted as one, leave the texts; every document stays."""
+    cleaned = line_spread.without_spread_lines(docs, over_classes=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 

@@ -5,6 +5,9 @@ costs each task one small sketch. Where an estimate lies too near the threshold
 Lines on at least MIN_SITES sites are boilerplate and leave every document, unless they make up more than MAX_SHARE of
 its characters: that is a copy of a spread text and the near-duplicate join's affair; it stays whole.
 
+Over classes (as in the pipeline) near-duplicate classes tell what is a copy, not the share: all copies of a text count as
+one site, that of their least id, so a spread text alone makes no boilerplate, and boilerplate leaves every document.
+
 Lines are what stands between line feeds, compared without blanks at either end; lines of fewer than three words
 are never boilerplate. Results for odd rows: a null text stays null and an empty one empty, with no lines removed; a
 null site is no site; rows with equal or null ids are each cleaned alike; all other columns stay as they are; an empty
@@ -16,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import table
+from .ngram_join import jaccard_classes
+from .work import kept, table
 
 MIN_SITES, MAX_SHARE = 5, 0.5
 LG_K, SIGMAS = 12, 4
@@ -44,9 +48,21 @@ def spread_lines(docs: DataFrame, site_column: str = "source", text_column: str
     return sure.union(exact)
 
 
-def without_spread_lines(docs: DataFrame, id_column: str = "doc_id", site_column: str = "source", text_column: str = "text", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def class_sites(docs: DataFrame, id_column: str = "doc_id", site_column: str = "source", text_column: str = "text") -> DataFrame:
+    """site and text of each row of docs; near copies have the site of the least id among them, rows without a site none."""
+    rows = docs.select(F.xxhash64(id_column, text_column).alias("row"), F.col(id_column).alias("id"), F.col(site_column).cast("string").alias("site"), F.col(text_column).alias("text"))
+    classes = kept(jaccard_classes(docs, id_column, text_column).where("class_id is not null").select("row", "class_id").distinct(), "row-classes")
+    sites = rows.where("site is not null").select("row", "id", "site").join(classes, "row").groupBy("class_id").agg(F.min(F.struct("id", "site"))["site"].alias("class_site"), F.count("*").alias("n")).where("n > 1")
+    moved = classes.join(sites, "class_id").select("row", "class_site").groupBy("row").agg(F.min("class_site").alias("class_site"))
+    return rows.join(moved, "row", "left").select(F.when(F.col("site").isNotNull(), F.coalesce("class_site", "site")).alias("site"), "text")
+
+
+def without_spread_lines(docs: DataFrame, id_column: str = "doc_id", site_column: str = "source", text_column: str = "text", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, over_classes: bool = False) -> DataFrame:
     """docs with boilerplate lines removed from the text, and how many lines each text had and lost (n_lines, n_removed)."""
-    boilerplate = spread_lines(docs, site_column, text_column, min_sites)
+    if over_classes:
+        boilerplate, max_share = spread_lines(class_sites(docs, id_column, site_column, text_column), "site", "text", min_sites), 1.0
+    else:
+        boilerplate = spread_lines(docs, site_column, text_column, min_sites)
     row = [F.col(id_column).cast("string").alias("row_id"), F.xxhash64(text_column).alias("row_hash")]
     places = docs.select(*row, F.posexplode(_lines(F.col(text_column))).alias("place", "own"))
     hits = places.where(F.col("own").rlike(_THREE_WORDS)).select("row_id", "row_hash", "place", F.length("own").alias("size"), _line_key(F.col("own")).alias("line"))
@@ -56,9 +72,9 @@ def without_spread_lines(docs: DataFrame, id_column: str = "doc_id", site_column
     joined = held.alias("d").join(gone.alias("g"), F.col("d.row_id").eqNullSafe(F.col("g.row_id")) & (F.col("d.row_hash") == F.col("g.row_hash")), "left")
     text = F.col(f"row.{text_column}")
     wanted = F.coalesce(F.col("gone_size") <= max_share * F.length(text), F.lit(False))
-    kept = F.array_join(F.filter(_lines(text), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    left = F.array_join(F.filter(_lines(text), lambda _, i: ~F.array_contains("gone", i)), "\n")
     return joined.select(
-        *[(F.when(wanted, kept).otherwise(text) if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns],
+        *[(F.when(wanted, left).otherwise(text) if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns],
         F.coalesce(F.size(_lines(text)), F.lit(0)).cast("bigint").alias("n_lines"),
         F.when(wanted, F.size("gone")).otherwise(0).cast("bigint").alias("n_removed"),
     )

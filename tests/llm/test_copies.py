@@ -3,6 +3,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lettermill.llm import fingerprint, fm_index, line_spread, ngram_join
 
@@ -132,6 +133,17 @@ def test_line_spread(spark):
     assert few.where("n_removed > 0").count() == 0
 
 
+def test_pipeline_removes_dominant_boilerplate_and_keeps_spread_texts(spark):
+    import corpus_pipeline
+
+    line = "We use cookies on this site and ask all of our readers to accept every one of them before they go on"
+    rows = [(i, " ".join(f"{w}{'abcdef'[i]}" for w in "some own words of text number".split()) + f"\n{line}", f"site{i}") for i in range(6)]
+    copies = [(100 + i, "A poem that stands on many sites\nand has a second line of words" + (" " if i % 2 else ""), f"site{i}") for i in range(8)]
+    docs = spark.createDataFrame(rows + copies, "doc_id bigint, text string, source string").withColumn("n_chars", F.length("text").cast("bigint"))
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate_lines(spark, docs, "").collect()}
+    assert got == {**{i: t.split("\n")[0] for i, t, _ in rows}, **{i: t for i, t, _ in copies}}
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 50])
 def test_fingerprints(spark, small, ranges):
     docs = documents(spark, small)
