@@ -3,7 +3,8 @@
 For every node of a page: characters, characters in links, tags and link tags below it; its density is characters per
 tag, adjusted by a logarithm to a base that grows with the share of links. The density sum of a node adds up those of
 its children. From the node of the largest sum the path goes up to the body; the least density on it is the threshold.
-The subtree of the largest sum among the nodes that reach the threshold is the article; inside it the parts go whose
+The article is the nearest article or main element around that node. Where there is none, each subtree on the path or
+beside it that reaches the threshold gives its node of the largest sum, in page order. Inside the article the parts go whose
 markup names them as navigation, header, footer, sidebar, notice, advert, form or comment, as do lists of links below the threshold.
 
 A block is the text between the edges of block elements; its white space becomes single blanks, and a line break is
@@ -176,8 +177,8 @@ def measure(root: Node) -> None:
         node.density_sum = sum(c.density for c in node.children())
 
 
-def article(root: Node) -> tuple[Node | None, float]:
-    """The subtree of the page's text, and the threshold."""
+def article(root: Node) -> tuple[list[Node], float]:
+    """The subtrees of the page's text in page order, and the threshold."""
     measure(root)
     nodes = [n for n in _in_order(root) if not n.noise and n.chars]
     inside: list[Node] = []
@@ -188,21 +189,38 @@ def article(root: Node) -> tuple[Node | None, float]:
         if up is None:
             inside.append(node)
     if not inside:
-        return None, 0.0
+        return [], 0.0
     best = max(inside, key=lambda n: n.density_sum)
     threshold, node = best.density, best
     while node is not None and node.tag != "html":
         threshold = min(threshold, node.density)
         node = node.parent
-    reached = [n for n in inside if n.density >= threshold]
-    best = max(reached, key=lambda n: n.density_sum) if reached else best
     # Siblings with prose of their own belong to the same article: rise to what the markup calls one.
     node = best
     while node is not None:
         if node.tag in ("article", "main"):
-            return node, threshold
+            return [node], threshold
         node = node.parent
-    return (best if best.density_sum > 0 else next((n for n in inside if n.tag == "body"), root)), threshold
+    if best.density_sum <= 0:
+        return [next((n for n in inside if n.tag == "body"), root)], threshold
+    # On the path and beside it, each subtree that reaches the threshold gives its node of the largest sum.
+    largest = {}
+    for node in reversed(inside):
+        largest[node] = max([node, *(largest[c] for c in node.children() if c in largest)], key=lambda n: n.density_sum)
+    chosen, wait = {best}, list(root.children())
+    while wait:
+        node = wait.pop()
+        if node in largest and node.density >= threshold:
+            chosen.add(largest[node])
+            wait += node.children()
+    out, wait = [], [root]
+    while wait:
+        node = wait.pop()
+        if node in chosen:
+            out.append(node)
+        else:
+            wait += reversed(list(node.children()))
+    return out, threshold
 
 
 def blocks(node: Node, threshold: float) -> list[str]:
@@ -237,8 +255,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    node, threshold = article(root)
-    return "\n".join(blocks(node, threshold)) if node is not None else ""
+    nodes, threshold = article(root)
+    return "\n".join(line for node in nodes for line in blocks(node, threshold))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

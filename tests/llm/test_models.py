@@ -115,6 +115,15 @@ def test_page_text():
     assert html_density.main_text(deep) == "deep text here"
 
 
+def test_page_text_of_several_sections():
+    links = "<ul>" + "".join(f"<li><a href=x>Link {i}</a>" for i in range(10)) + "</ul>"
+    for link in ("", "<a href=x>with a link of some words</a>"):
+        lines = [f"Paragraph {k} of the page " + "has words and words " * 14 + "to read." for k in range(10)]
+        parts = ["<div class=part>" + "".join(f"<p>{x} {link}" for x in lines[k : k + 5]) + "</div>" for k in (0, 5)]
+        page = f"<body><div class=top>{links}</div><div class=content>{''.join(parts)}</div></body>"
+        assert [x.split(" has ")[0] for x in html_density.main_text(page).split("\n")] == [x.split(" has ")[0] for x in lines]
+
+
 def test_pages(spark, small):
     import html
     import re
