@@ -5,7 +5,8 @@ tag, adjusted by a logarithm to a base that grows with the share of links. The d
 its children. From the node of the largest sum the path goes up to the body; the least density on it is the threshold.
 The article is the nearest article or main element around that node. Where there is none, each subtree on the path or
 beside it that reaches the threshold gives its node of the largest sum, in page order. Inside the article the parts go whose
-markup names them as navigation, header, footer, sidebar, notice, advert, form or comment, as do lists of links below the threshold.
+markup names them as navigation, header, footer, sidebar, notice, advert, form or comment, unless they hold all of the page's articles or, on a page without any, most of its prose. Lists of links
+below the threshold go where the whole body is the article.
 
 A block is the text between the edges of block elements; its white space becomes single blanks, and a line break is
 white space. Blocks are joined by line feeds in the order of the page. Unclosed elements end where HTML ends them.
@@ -32,7 +33,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text is never part of a page's text; the raw ones hold no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = RAW | frozenset("head noscript template svg math canvas audio video object select option button input label form fieldset nav footer aside dialog menu".split())
+DROPPED = RAW | frozenset("head noscript template svg canvas audio video object select option button input label form fieldset nav footer aside dialog menu".split())
+#: Dropped elements that may wrap a page's article all the same.
+WRAPPERS = frozenset("form fieldset".split())
 _CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"}
 _OWN_KIND = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table body html div section article main aside nav header footer form blockquote".split())
@@ -45,7 +48,9 @@ _NOISE = re.compile(
     re.I,
 )
 #: Names that tell how a container looks, and names of parts of the article.
-_STATE = re.compile(r"(?:has|with|no|without|is|not)[_-]", re.I)
+_STATE = re.compile(r"(?:^|[_-])(?:has|with|no|without|is|not|layout)[_-]", re.I)
+#: What readers add may be longer than the article and hold articles of its own.
+_REPLIES = re.compile(r"comment|disqus|respond|replies|reply", re.I)
 _OF_ARTICLE = re.compile(r"article|post|entry|story|content", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+)|([^\s=/]+)")
@@ -53,10 +58,10 @@ _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "density_sum")
+    __slots__ = ("tag", "noise", "wraps", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "density_sum")
 
     def __init__(self, tag: str, noise: bool, parent: Node | None):
-        self.tag, self.noise, self.parent, self.items = tag, noise, parent, []
+        self.tag, self.noise, self.wraps, self.parent, self.items = tag, noise, noise and (tag in WRAPPERS or tag not in DROPPED), parent, []
 
     def children(self) -> Iterator[Node]:
         return (x for x in self.items if isinstance(x, Node))
@@ -127,6 +132,7 @@ def parse(page: str) -> Node:
             if node is not root and node.tag in ends:
                 here = node.parent
         node = Node(tag, _is_noise(tag, found[3], here), here)
+        node.wraps = node.wraps and not _REPLIES.search(found[3])
         here.items.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -146,6 +152,23 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
+def unwrap(root: Node) -> None:
+    """Takes the mark of noise from what holds all of the page's articles, or most of the prose of a page without any."""
+    nodes = _in_order(root)
+    prose, articles = dict.fromkeys(nodes, 0), dict.fromkeys(nodes, 0)
+    for node in reversed(nodes):
+        if node.noise and not node.wraps or node.tag == "a":
+            continue
+        articles[node] += node.tag in ("article", "main")
+        prose[node] += sum(len(_SPACES.sub("", x)) for x in node.items if isinstance(x, str))
+        if node.parent is not None:
+            prose[node.parent] += prose[node]
+            articles[node.parent] += articles[node]
+    for node in nodes:
+        if node.noise and node.wraps and (articles[node] == articles[root] if articles[root] else 2 * prose[node] > prose[root]):
+            node.noise = False
+
+
 def measure(root: Node) -> None:
     """Fills in counts, densities and density sums; noise counts as nothing."""
     nodes = _in_order(root)
@@ -179,6 +202,7 @@ def measure(root: Node) -> None:
 
 def article(root: Node) -> tuple[list[Node], float]:
     """The subtrees of the page's text in page order, and the threshold."""
+    unwrap(root)
     measure(root)
     nodes = [n for n in _in_order(root) if not n.noise and n.chars]
     inside: list[Node] = []
@@ -242,7 +266,7 @@ def blocks(node: Node, threshold: float) -> list[str]:
             close()
         elif item.tag == "br":
             held.append(" ")
-        elif not item.noise and not (item is not node and item.tag in ("ul", "ol", "dl", "table", "div", "section") and item.chars and item.link_chars > 0.5 * item.chars and item.density < threshold):
+        elif not item.noise and not (item is not node and node.tag in ("body", "html") and item.tag in ("ul", "ol", "dl", "table", "div", "section") and item.chars and item.link_chars > 0.5 * item.chars and item.density < threshold):
             if item.tag in BLOCK:
                 close()
                 wait.append(None)

@@ -124,6 +124,19 @@ def test_page_text_of_several_sections():
         assert [x.split(" has ")[0] for x in html_density.main_text(page).split("\n")] == [x.split(" has ")[0] for x in lines]
 
 
+def test_page_text_inside_wrappers():
+    inner = "<h1>Title here</h1><p>The body of the article, long enough to be one, with <math><mi>x</mi></math> in it.</p>"
+    want = "Title here\nThe body of the article, long enough to be one, with x in it."
+    for name in ("content-with-sidebar", "layout-sidebar", "search-result-article", "post-legal-news", "hidden"):
+        assert html_density.main_text(f"<body><div class='{name}'><article>{inner}</article></div></body>") == want
+        assert html_density.main_text(f"<body><div class='{name}'><div>{inner}</div></div><div class=sidebar><p>Side text.</p></div></body>") == want
+    assert html_density.main_text(f"<body><form action=x><div>{inner}</div><input name=q></form></body>") == want
+    sources = "<ul>" + "".join(f"<li><a href=x>Source {i}</a>" for i in range(3)) + "</ul>"
+    assert html_density.main_text(f"<body><article>{inner}{sources}</article></body>") == want + "\nSource 0\nSource 1\nSource 2"
+    replies = "<div class=comments>" + "<article><p>A long answer of a reader, longer than all of the article above.</article>" * 9 + "</div>"
+    assert html_density.main_text(f"<body><div>{inner}</div>{replies}</body>") == want
+
+
 def test_pages(spark, small):
     import html
     import re
