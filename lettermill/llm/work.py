@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; set to a new one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; a new one where it is unset and all tasks run on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -25,11 +28,30 @@ def kept(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Rows of a few bytes each that may go to every task.
+SMALL_ROWS = 1 << 19
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """A kept table of keys: broadcast if it has SMALL_ROWS rows at most, else joined by a shuffle."""
+    return F.broadcast(frame) if frame.count() <= SMALL_ROWS else frame
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """The frame with its lineage cut in the shared folder."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_of(frame: DataFrame) -> Column:
+    """All columns of a row as one, named row."""
+    return F.struct(*[F.col(quoted(c)) for c in frame.columns]).alias("row")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
