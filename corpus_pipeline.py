@@ -27,9 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on many sites, all near copies counted as one, leave the texts; every document stays."""
-    cleaned = line_spread.without_spread_lines(docs, over_classes=True)
-    return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """Lines that stand on many sites, all near copies counted as one, leave the texts, and passages that repeat all but the first; every document stays."""
+    cleaned = line_spread.without_repeated_lines(docs, over_classes=True, counts=None)
+    return cleaned.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else cleaned
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 
 from . import text as T
 from .wavelet import WaveletMatrix
-from .work import table
+from .work import quoted, row_of, table
 
 WINDOW = 13
 SHARD_BYTES, SAMPLE = 4 << 20, 16
@@ -205,10 +205,10 @@ def phrase_spans(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", t
     Columns of docs named in keep, none of them n_words, spans or items, come along.
     """
     blocks = _blocks(items, item_column, item_text, window)
-    source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"), *[F.col(c).alias(f"kept {c}") for c in keep])
+    source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"), *[F.col(quoted(c)).alias(f"kept {c}") for c in keep])
     schema = StructType.fromDDL("id bigint, n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<bigint>")
     found = source.mapInArrow(partial(_searched, blocks=blocks), StructType(schema.fields + source.schema.fields[2:]))
-    return found.select(F.col("id").alias(id_column), "n_words", "spans", "items", *[F.col(f"kept {c}").alias(c) for c in keep])
+    return found.select(F.col("id").alias(id_column), "n_words", "spans", "items", *[F.col(quoted(f"kept {c}")).alias(c) for c in keep])
 
 
 def n_hit() -> Column:
@@ -221,7 +221,7 @@ def contaminated() -> Column:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs (with doc_id and text) without the rows that are contaminated; all columns stay."""
-    found = phrase_spans(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), items, keep=["row"]).withColumn("n_hit", n_hit())
+    found = phrase_spans(docs.select("doc_id", "text", row_of(docs)), items, keep=["row"]).withColumn("n_hit", n_hit())
     return found.where(~contaminated()).select("row.*")
 
 

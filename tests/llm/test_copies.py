@@ -44,11 +44,42 @@ def test_jaccard_classes(spark, small, block, monkeypatch):
     want = sorted((str(r["doc_id"]), least.get(top(i)), links[i]) for i, r in enumerate(rows))
     got = ngram_join.jaccard_classes(docs).collect()
     assert sorted((str(r["doc_id"]), r["class_id"], r["n_links"]) for r in got) == want
-    kept = {r["doc_id"] for r in ngram_join.one_of_each(docs).collect()}
-    assert kept == {*least.values(), None}
+    one_of_each = ngram_join.one_of_each(docs)
+    assert one_of_each.columns == docs.columns
+    # Of each class with words one row stays, also of repeated rows; rows without words all stay.
+    wanted = collections.Counter(str(i) for i in least.values() if i is not None) + collections.Counter()
+    heads = {top(i) for i, x in enumerate(sets) if x}
+    assert len(heads) + sum(x is None for x in sets) == one_of_each.count()
+    assert {str(r["doc_id"]) for r in one_of_each.collect()} == {*wanted, "None"}
     assert ngram_join.jaccard_classes(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_counts_rows(spark):
+    text = "a text of ten words that stands in several rows"
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, "another text of its own with six more words"), (None, "another text of its own with six more words"), (5, None), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as gone", "2 as `row`", "3 as `a.b`", "4 as key")
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(str(tuple(r)[:2]) for r in got.collect()) == sorted(map(str, [rows[0], rows[4], *rows[6:]]))
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_links_of_one_large_group_stay_few(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 64)
+    held = {}
+    monkeypatch.setattr(ngram_join, "kept", lambda frame, name, own=ngram_join.kept: held.setdefault(name, own(frame, name)))
+    base = [f"w{i}" for i in range(60)]
+    n = 400
+    rows = [(i, " ".join(base[: i % 60] + [f"x{'abcdefghij'[i % 10]}{'abcdefghijklmnopqrstuvwxyz'[i // 20]}"] + base[i % 60 + 1 :])) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.jaccard_classes(docs).collect()
+    sets = [shingle_set(t) for _, t in rows]
+    want = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    assert [r["n_links"] for r in sorted(got, key=lambda r: r["id"] if "id" in r else r["doc_id"])] == want and {r["class_id"] for r in got} == {0}
+    links = held["links"].where("p is not null").count() + held["far-links"].where("p is not null").count()
+    assert links < 2 * n
+
+
 def test_jaccard_classes_with_empty_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 10)
     long = " ".join(f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100))
@@ -113,35 +144,40 @@ def test_sql(spark, small, name):
     assert spark_rows(QUERIES[name](spark, small)) == sql_rows(connection(small), ORACLE_SQL[name])
 
 
-def test_line_spread(spark):
-    line = "We use cookies on this site"
-    rows = [(i, f"own text number {i} is here\n  {line} \n\nshort", f"site{i % 6}", 1) for i in range(12)]
-    copies = [(100 + i, f"{line} again\nand one more line", f"site{i % 6}", 1) for i in range(8)]
-    odd = [(200, None, "site0", 1), (201, "", "site1", 1), (202, line, None, 1), (None, f"x y z q\n{line}\n" + "much more of its own text " * 3, "site1", 1), (203, f"a b c\n{line}", "site2", 1), (203, f"a b c\n{line}", "site2", 1)]
-    docs = spark.createDataFrame(rows + copies + odd, "doc_id bigint, text string, source string, line int")
-    got = line_spread.without_spread_lines(docs)
+@pytest.mark.parametrize("most", [0, 1 << 19])
+def test_line_spread(spark, most, monkeypatch):
+    from lettermill.llm import work
+
+    monkeypatch.setattr(work, "SMALL_ROWS", most)
+    monkeypatch.setattr(line_spread, "SMALL_ROWS", most)
+    line, passage = "We use cookies on this site", " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"own text number {i} is here\n  {line} \n\nshort {i}", f"site{i % 6}", 1) for i in range(12)]
+    copies = [(100 + i, "a poem of one line\nand one more line", f"site{i % 6}", 1) for i in range(8)]
+    longs = [(300 + i, f"text {i} around it\n{passage}", "site0", 1) for i in range(3)]
+    odd = [(200, None, "site0", 1), (201, "", "site1", 1), (202, line, None, 1), (None, f"x y z q\n{line}\nmore", "site1", 1), (203, f"a b c\n{line}", "site2", 1), (203, f"a b c\n{line}", "site2", 1)]
+    docs = spark.createDataFrame(rows + copies + longs + odd, "doc_id bigint, text string, source string, line int")
+    got = line_spread.without_repeated_lines(docs)
     assert got.columns == [*docs.columns, "n_lines", "n_removed"]
-    by_id = {}
-    for r in got.collect():
-        by_id.setdefault(r["doc_id"], []).append(r)
-    assert all(by_id[i][0]["text"] == f"own text number {i} is here\n\nshort" and by_id[i][0]["n_removed"] == 1 for i in range(12))
-    assert all(by_id[100 + i][0]["n_removed"] == 0 for i in range(8)), "copies of a spread text stay whole"
-    assert by_id[200][0]["text"] is None and by_id[201][0]["text"] == "" and by_id[202][0]["text"] == line
-    assert by_id[None][0]["n_removed"] == 1 and len(by_id[203]) == 2
-    assert line_spread.without_spread_lines(docs.limit(0)).count() == 0
-    few = line_spread.without_spread_lines(docs, min_sites=7)
-    assert few.where("n_removed > 0").count() == 0
-
-
-def test_pipeline_removes_dominant_boilerplate_and_keeps_spread_texts(spark):
-    import corpus_pipeline
-
-    line = "We use cookies on this site and ask all of our readers to accept every one of them before they go on"
+    found = sorted((str(r["doc_id"]), r["text"], r["n_lines"], r["n_removed"]) for r in got.collect())
+    want = [(str(i), f"own text number {i} is here\n\nshort {i}", 4, 1) for i in range(12)] + [(str(i), t, 2, 0) for i, t, _, _ in copies]
+    want += [(str(i), t if i == 300 else t.split("\n")[0], 2, int(i > 300)) for i, t, _, _ in longs]
+    want += [("200", None, 0, 0), ("201", "", 1, 0), ("202", "", 1, 1), ("None", "x y z q\nmore", 3, 1), ("203", "a b c", 2, 1), ("203", "a b c", 2, 1)]
+    assert found == sorted(want, key=lambda r: (r[0], r[1] or ""))
+    assert line_spread.without_repeated_lines(docs.limit(0)).count() == 0
+    assert line_spread.without_repeated_lines(docs, min_sites=7, long_words=100).where("n_removed > 0").count() == 0
+    clash = docs.selectExpr("*", "7 as n_lines", "8 as `a.b`", "9 as gone")
+    assert {r["n_lines"] for r in line_spread.without_repeated_lines(clash, counts=None).collect()} == {7}
+    assert line_spread.without_repeated_lines(clash).columns == [*docs.columns, "a.b", "gone", "n_lines", "n_removed"]
+
+
+def test_lines_over_classes(spark):
+    line, passage = "We use cookies on this site and ask all of our readers to accept every one of them before they go on", " ".join(f"word{i}" for i in range(60))
     rows = [(i, " ".join(f"{w}{'abcdef'[i]}" for w in "some own words of text number".split()) + f"\n{line}", f"site{i}") for i in range(6)]
     copies = [(100 + i, "A poem that stands on many sites\nand has a second line of words" + (" " if i % 2 else ""), f"site{i}") for i in range(8)]
-    docs = spark.createDataFrame(rows + copies, "doc_id bigint, text string, source string").withColumn("n_chars", F.length("text").cast("bigint"))
-    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate_lines(spark, docs, "").collect()}
-    assert got == {**{i: t.split("\n")[0] for i, t, _ in rows}, **{i: t for i, t, _ in copies}}
+    near = [(300 + i, f"{passage}\nand its end number {i}", "site0") for i in range(3)]
+    docs = spark.createDataFrame(rows + copies + near, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_spread.without_repeated_lines(docs, over_classes=True).collect()}
+    assert got == {**{i: t.split("\n")[0] for i, t, _ in rows}, **{i: t for i, t, _ in copies + near}}
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 50])
