@@ -1,11 +1,11 @@
 """Main text of web pages by composite text density.
 
 For every node of a page: characters, characters in links, tags and link tags below it; its density is characters per
-tag, adjusted by a logarithm to a base that grows with the share of links. The density sum of a node adds up those of
-its children. From the node of the largest sum the path goes up to the body; the least density on it is the threshold.
-The article is the nearest article or main element around that node. Where there is none, each subtree on the path or
-beside it that reaches the threshold gives its node of the largest sum, in page order. Inside the article the parts go whose
-markup names them as navigation, header, footer, sidebar, notice, advert, form or comment, unless they hold all of the page's articles or, on a page without any, most of its prose. Lists of links
+tag, adjusted by a logarithm to a base that grows with the share of links. The density sum of a node adds up those of the
+blocks below it. From the node of the largest sum the path goes up to the body; the least density on it is the threshold.
+Each subtree on the path or beside it that reaches the threshold gives its node of the largest sum, in page order: these are
+the article. Parts go whose markup names them as navigation, header, footer, sidebar, notice, advert, form or comment,
+unless they hold all of the page's articles or, on a page without any, most of its prose. Lists of links
 below the threshold go where the whole body is the article.
 
 A block is the text between the edges of block elements; its white space becomes single blanks, and a line break is
@@ -40,6 +40,8 @@ _CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "t
 _OWN_KIND = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table body html div section article main aside nav header footer form blockquote".split())
 
+_ENDED = frozenset({"p"}.union(*_OWN_KIND.values()))
+
 #: Words in a class, id or role that name what is not the article.
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|adslot|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|nav|navbar|navigation|menu|menubar|breadcrumbs?|masthead|topbar|site-header|page-header|header|footer|"
@@ -52,16 +54,21 @@ _STATE = re.compile(r"(?:^|[_-])(?:has|with|no|without|is|not|layout)[_-]", re.I
 #: What readers add may be longer than the article and hold articles of its own.
 _REPLIES = re.compile(r"comment|disqus|respond|replies|reply", re.I)
 _OF_ARTICLE = re.compile(r"article|post|entry|story|content", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+)|([^\s=/]+)")
 _SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "wraps", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "density_sum")
+    __slots__ = ("tag", "noise", "wraps", "within", "scope", "open", "parent", "items", "chars", "link_chars", "tags", "link_tags", "density", "density_sum")
 
     def __init__(self, tag: str, noise: bool, parent: Node | None):
         self.tag, self.noise, self.wraps, self.parent, self.items = tag, noise, noise and (tag in WRAPPERS or tag not in DROPPED), parent, []
+        # Whether it stands in an article; the nearest element that ends searches for open paragraphs and cells, and what is open below that one.
+        self.within = tag in ("article", "main") or parent is not None and parent.within
+        self.scope = self if parent is None or tag in _SCOPE else parent.scope
+        self.open: dict[str, int] | None = {} if self.scope is self else None
 
     def children(self) -> Iterator[Node]:
         return (x for x in self.items if isinstance(x, Node))
@@ -70,10 +77,8 @@ class Node:
 def _is_noise(tag: str, attributes: str, parent: Node) -> bool:
     if tag in DROPPED:
         return True
-    inside = parent
-    while inside is not None and inside.tag not in ("article", "main"):
-        inside = inside.parent
-    if tag == "header" and inside is None:
+    inside = parent.within
+    if tag == "header" and not inside:
         return True
     if not attributes.strip() or tag in ("body", "html", "article", "main"):
         return False
@@ -85,60 +90,132 @@ def _is_noise(tag: str, attributes: str, parent: Node) -> bool:
         if name in ("class", "id", "role"):
             for word in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).split():
                 found = None if _STATE.match(word) else _NOISE.search(word)
-                if found and not (found[0].strip("_-").lower() == "header" and (inside is not None or _OF_ARTICLE.search(word))):
+                if found and not (found[0].strip("_-").lower() == "header" and (inside or _OF_ARTICLE.search(word))):
                     return True
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """Text ("", text), tags (name, attributes) and ends (/name), with the place after each; send() a place to go on from there.
+
+    Every character is passed over a bounded number of times: what never ends is text up to the end of the page.
+    """
+    at, end, lone = 0, len(page), set()
+    while at < end:
+        less = page.find("<", at)
+        if less < 0:
+            yield "", page[at:], "", end
+            return
+        if page.startswith("<!--", less):
+            after = page.find("-->", less + 4)
+            after = end if after < 0 else after + 3
+            name = None
+        elif page.startswith(("<!", "<?"), less):
+            after = page.find(">", less) + 1
+            name = None
+        elif name := _NAME.match(page, less + 1):
+            after = name.end()
+            while found := _STOP.search(page, after):
+                after = found.end()
+                if found[0] == ">":
+                    break
+                # A quote that never closes is a mark like any other.
+                close = -1 if found[0] in lone else page.find(found[0], after)
+                if close < 0:
+                    lone.add(found[0])
+                else:
+                    after = close + 1
+            else:
+                after = 0
+        else:
+            yield "", page[at : less + 1], "", less + 1
+            at = less + 1
+            continue
+        if not after:
+            yield "", page[at:], "", end
+            return
+        if less > at:
+            yield "", page[at:less], "", less
+        at = after
+        if name:
+            moved = yield ("/" if page[less + 1] == "/" else "") + name[1].lower(), page[name.end() : after - 1], "", after
+            at = moved or at
+
+
 def parse(page: str) -> Node:
     """The tree of a page; texts stand in it with their references decoded."""
     root = here = Node("html", False, None)
-    at, end = 0, len(page)
-    while at < end:
-        found = _TAG.search(page, at)
-        text = page[at : found.start() if found else end]
-        if text:
-            here.items.append(unescape(text))
-        if not found:
+    depth: dict[str, int] = {}
+    texts: list[str] = []
+
+    def up(node: Node) -> Node:
+        """Closes what is open up to the node; each element is closed once, so all calls together pass over each once."""
+        nonlocal here
+        while here is not node:
+            depth[here.tag] -= 1
+            if here.tag in _ENDED:
+                here.parent.scope.open[here.tag] -= 1
+            here = here.parent
+        return here
+
+    def down(node: Node) -> Node:
+        depth[node.tag] = depth.get(node.tag, 0) + 1
+        if node.tag in _ENDED:
+            counts = node.parent.scope.open
+            counts[node.tag] = counts.get(node.tag, 0) + 1
+        return node
+
+    def flush() -> None:
+        if texts:
+            here.items.append(unescape("".join(texts)))
+            texts.clear()
+
+    found, go = tokens(page), None
+    while True:
+        try:
+            tag, content, _, at = found.send(go)
+        except StopIteration:
             break
-        at = found.end()
-        if not found[2]:
+        go = None
+        if not tag:
+            texts.append(content)
             continue
-        tag = found[2].lower()
-        if found[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+        flush()
+        if tag[0] == "/":
+            tag = tag[1:]
+            if depth.get(tag):
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                up(node.parent)
             elif tag == "br" or tag == "p":
                 here.items.append(Node(tag, False, here))
             continue
         if tag in ("html", "body"):
             if tag == "body" and here.tag == "head":
-                here = here.parent
+                up(here.parent)
             if tag == "body" and here is root:
                 here.items.append(Node("body", False, here))
-                here = here.items[-1]
+                here = down(here.items[-1])
             continue
         if here.tag == "head" and tag not in ("meta", "link", "base", "title", "script", "style", "noscript", "template"):
-            here = here.parent
-        if tag in _CLOSES_P or tag in _OWN_KIND:
-            # An open paragraph, item or cell ends here, with what was left open inside it.
-            ends = ({"p"} if tag in _CLOSES_P else set()) | _OWN_KIND.get(tag, set())
+            up(here.parent)
+        ends = ({"p"} if tag in _CLOSES_P else set()) | _OWN_KIND.get(tag, set())
+        # An open paragraph, item or cell ends here, with what was left open inside it.
+        if any(here.scope.open.get(x) for x in ends):
             node = here
-            while node is not root and node.tag not in ends and node.tag not in _SCOPE:
+            while node.tag not in ends:
                 node = node.parent
-            if node is not root and node.tag in ends:
-                here = node.parent
-        node = Node(tag, _is_noise(tag, found[3], here), here)
-        node.wraps = node.wraps and not _REPLIES.search(found[3])
+            up(node.parent)
+        node = Node(tag, _is_noise(tag, content, here), here)
+        node.wraps = node.wraps and not _REPLIES.search(content)
         here.items.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-        elif tag not in VOID and not found[3].endswith("/"):
-            here = node
+            close = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            go = (page.find(">", close.end()) + 1 if close else 0) or len(page)
+        elif tag not in VOID and not content.endswith("/"):
+            here = down(node)
+    flush()
     return root
 
 
@@ -196,22 +273,23 @@ def measure(root: Node) -> None:
         base = math.log(node.chars * node.link_chars / max(1, plain) + share * node.chars + math.e)
         ratio = node.chars / max(1, node.link_chars) * max(1, node.tags) / max(1, node.link_tags)
         node.density = node.chars / max(1, node.tags) * math.log(max(ratio, 1.0)) / math.log(max(base, 1.0) + 1.0)
-    for node in nodes:
-        node.density_sum = sum(c.density for c in node.children())
+    # Inline elements are part of the text that they stand in: a sum is over the blocks below a node, through inline ones.
+    for node in reversed(nodes):
+        node.density_sum = sum(c.density if c.tag in BLOCK else c.density_sum for c in node.children())
 
 
 def article(root: Node) -> tuple[list[Node], float]:
     """The subtrees of the page's text in page order, and the threshold."""
     unwrap(root)
     measure(root)
-    nodes = [n for n in _in_order(root) if not n.noise and n.chars]
     inside: list[Node] = []
-    for node in nodes:
-        up = node.parent
-        while up is not None and not up.noise:
-            up = up.parent
-        if up is None:
-            inside.append(node)
+    wait = [root]
+    while wait:
+        node = wait.pop()
+        if not node.noise:
+            wait += node.children()
+            if node.chars:
+                inside.append(node)
     if not inside:
         return [], 0.0
     best = max(inside, key=lambda n: n.density_sum)
@@ -219,12 +297,6 @@ def article(root: Node) -> tuple[list[Node], float]:
     while node is not None and node.tag != "html":
         threshold = min(threshold, node.density)
         node = node.parent
-    # Siblings with prose of their own belong to the same article: rise to what the markup calls one.
-    node = best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return [node], threshold
-        node = node.parent
     if best.density_sum <= 0:
         return [next((n for n in inside if n.tag == "body"), root)], threshold
     # On the path and beside it, each subtree that reaches the threshold gives its node of the largest sum.

@@ -1,8 +1,12 @@
 import itertools
 import math
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 import zlib
 
 from lettermill.llm import html_density, language_crf, text, toxicity
@@ -137,9 +141,26 @@ def test_page_text_inside_wrappers():
     assert html_density.main_text(f"<body><div>{inner}</div>{replies}</body>") == want
 
 
+@pytest.mark.parametrize("page", ["<a " * 333_000, "<div>" * 200_000, "</b>" * 200_000, '<a "' * 250_001 + ">", "<a " * 300_000 + '">"', "<script>" + "</script " * 100_000, "<dd><div>" + "<b>" * 50_000 + "<dd></dd>" * 50_000, "<b>" * 100_000 + "<h1></h1>" * 100_000])
+def test_long_and_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    html_density.main_text(page)
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("names", [False, True])
+def test_density_finds_articles_by_itself(names):
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    right = 0
+    for r in pages:
+        plain = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        plain = plain if names else re.sub(r' class="[^"]*"', "", plain)
+        right += html_density.main_text(plain) == html_density.main_text(r["html"])
+    assert len(pages) == 250 and right >= 245
+
+
 def test_pages(spark, small):
     import html
-    import re
 
     pages = spark.read.parquet(f"{small}/pages.parquet").withColumnRenamed("html", "h").selectExpr("page_id", "url", "h as html", "1 as text")
     odd = spark.createDataFrame([(1, None, None, 1), (None, "u", "", 1), (1, "u", PAGE, 1)], "page_id bigint, url string, html string, text int")
