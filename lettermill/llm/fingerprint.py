@@ -31,6 +31,8 @@ from .work import table
 
 #: Bytes of a chunk: the least, where the mask loosens, and the most; bits that must be zero before and after NORMAL.
 LEAST, NORMAL, MOST, STRICT_BITS, LOOSE_BITS = 12, 40, 160, 6, 4
+#: Bytes of text in a range of ids, about, at most.
+RANGE_BYTES = 256 << 20
 _ENTRY = 18  # hex digits of an entry: five bytes of digest, four of length
 
 RESULT = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -160,16 +162,23 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ranges: int | None = None) -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs."""
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
+
+    ranges: parts of the ids that are read side by side; by default twice the shuffle partitions, and more where one would hold over RANGE_BYTES.
+    """
     spark = docs.sparkSession
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     source = source.withColumns({"tie": F.coalesce(F.xxhash64("text"), F.lit(0)), "place": F.col("id").cast("double")})
-    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
+    total, of_none = source.agg(size, F.coalesce(F.sum(F.when(F.col("id").isNull(), F.octet_length("text"))), F.lit(0))).first()
+    ranges = max(ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     shares = [k / ranges for k in range(1, ranges)]
-    cuts = sorted(set(source.select("place").where("place is not null").approxQuantile("place", shares, 0.2 / ranges))) if shares else []
+    cuts = sorted(set(source.select("place").where("place is not null").approxQuantile("place", shares, max(0.2 / ranges, 1e-6)))) if shares else []
     bucketed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="place", outputCol="dealt", handleInvalid="keep").transform(source) if cuts else source.withColumn("dealt", F.lit(0.0))
-    # Ranges in the order of reading: descending, null ids at the end.
-    source = bucketed.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - F.col("dealt").cast("int"))).drop("place", "dealt")
+    # Ranges in the order of reading: descending ids; null ids at the end, in ranges of their hashes.
+    more = 1 + ranges * of_none // max(1, total)
+    none = F.lit(len(cuts) + 1) + F.least(F.floor((0.5 - F.col("tie") / 2.0**64) * more), F.lit(more - 1)).cast("int")
+    source = bucketed.withColumn("bucket", F.when(F.col("id").isNull(), none).otherwise(F.lit(len(cuts)) - F.col("dealt").cast("int"))).drop("place", "dealt")
     first = sorted((r["bucket"], r["first"]["id"], r["first"]["tie"]) for r in source.groupBy("bucket").agg(F.max(F.struct("id", "tie")).alias("first")).collect())
     # One row for each range: the first document there, and the range before, for which it is the next one.
     heads = spark.createDataFrame([(b, i, t, first[k - 1][0]) for k, (b, i, t) in enumerate(first)], "bucket int, head_id bigint, head_tie bigint, before int")
@@ -177,7 +186,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     place = lambda bucket, extra: F.struct(F.col(bucket).alias("bucket"), F.lit(extra).alias("extra"))
     dealt = source.join(F.broadcast(heads), "bucket").select("id", "text", "tie", F.explode(F.when(is_head, F.array(place("bucket", 0), place("before", 1))).otherwise(F.array(place("bucket", 0)))).alias("at"))
     dealt = dealt.select("id", "text", "tie", "at.bucket", "at.extra")
-    ordered = dealt.repartition(ranges, "bucket").sortWithinPartitions("bucket", "extra", F.col("id").desc_nulls_last(), F.col("tie").desc())
+    # A task for each range.
+    ordered = dealt.repartitionById(len(cuts) + 1 + more, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.col("id").desc_nulls_last(), F.col("tie").desc())
     return ordered.select("id", "text", "bucket", "extra").mapInArrow(_in_order, RESULT).withColumnRenamed("id", id_column)
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lettermill.llm import fingerprint, fm_index, line_spread, ngram_join
+from lettermill.llm import text as T
 
 from .helpers import documents, words
 from ..oracle import connection, spark_rows, sql_rows
@@ -180,9 +181,49 @@ def test_lines_over_classes(spark):
     assert got == {**{i: t.split("\n")[0] for i, t, _ in rows}, **{i: t for i, t, _ in copies + near}}
 
 
+def chunk_loop(data):
+    """Chunks of bytes, one byte at a time, with 16 bytes of hash that start afresh at the begin of the text."""
+    gear, out, start = fingerprint._gear().tolist(), [], 0
+    sums = []
+    for i in range(len(data)):
+        sums.append(sum(gear[data[j]] << (i - j) for j in range(max(0, i - 15), i + 1)) & 0xFFFFFFFF)
+    while start < len(data):
+        end = len(data)
+        for i in range(start + fingerprint.LEAST - 1, len(data)):
+            bits = fingerprint.STRICT_BITS if i < start + fingerprint.NORMAL - 1 else fingerprint.LOOSE_BITS
+            if (sums[i] >> 10) % (1 << bits) == 0 or i + 1 == start + fingerprint.MOST:
+                end = i + 1
+                break
+        out.append(data[start:end])
+        start = end
+    return out
+
+
+def shared_bytes(one, two):
+    a, b = (collections.Counter() for _ in range(2))
+    for counts, text in ((a, one), (b, two)):
+        for c in chunk_loop(text.encode()):
+            counts[c] += len(c)
+    if not one or not two:
+        return float(one == two)
+    return sum(min(n, b[c]) for c, n in a.items()) / min(len(one.encode()), len(two.encode()))
+
+
+def test_chunks_against_a_loop():
+    made = np.random.default_rng(3)
+    texts = ["", "a", "short text", "é" * 300, "abab" * 100] + ["".join(made.choice(list("abcdefgh \n"), int(made.integers(1, 900)))) for _ in range(30)]
+    data, offsets = T.from_texts(texts)
+    starts, owners = fingerprint.chunks(data, offsets)
+    ends = np.append(starts[1:], len(data))
+    got = [[data[a:b].tobytes() for a, b, o in zip(starts, ends, owners) if o == k] for k in range(len(texts))]
+    assert got == [chunk_loop(t.encode()) for t in texts]
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 50])
 def test_fingerprints(spark, small, ranges):
     docs = documents(spark, small)
+    more = spark.createDataFrame([(f"text {i} without an id " * 9,) for i in range(40)], "text string")
+    assert fingerprint.fingerprints(more.selectExpr("cast(null as bigint) as doc_id", "text"), ranges=ranges).where("n_chars > 0").count() == 40
     rows = [(r[0], r[1] or "") for r in docs.select("doc_id", "text").collect()]
     rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
     want = sorted((str(i), len(t), hashlib.sha256(fingerprint.edited(t, rows[(k + 1) % len(rows)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(rows))
@@ -192,6 +233,11 @@ def test_fingerprints(spark, small, ranges):
     for r in got:
         assert abs(fingerprint.containment(r["fingerprint"], r["edited_fingerprint"]) - r["near_edited"]) < 1e-9
         assert by_text.setdefault(texts[str(r["doc_id"])], r["fingerprint"]) == r["fingerprint"]
+    following = {str(i): rows[(k + 1) % len(rows)][1] for k, (i, _) in enumerate(rows)}
+    for r in got[::7]:
+        if r["doc_id"] is not None and r["doc_id"] < 900000:
+            one, two = texts[str(r["doc_id"])], following[str(r["doc_id"])]
+            assert abs(r["near_next"] - shared_bytes(one, two)) < 1e-9 and abs(r["near_edited"] - shared_bytes(one, fingerprint.edited(one, two))) < 1e-9
     long = [r["near_edited"] for r in got if 1000 < r["n_chars"] < 100000]
     assert np.median(long) > 0.6 and np.median([r["near_next"] for r in got]) < 0.1
     assert fingerprint.fingerprints(docs.limit(0)).count() == 0
