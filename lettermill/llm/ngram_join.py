@@ -227,6 +227,8 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     groups = classes.select("class", "copies", "one").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     heads = groups.groupBy("label").agg(F.min("one").alias("head"))
     found_classes = groups.join(heads, "label").join(linked, "class", "left").select("class", "head", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
+    # Kept first, so that the last join has nothing else in its stage and Spark can split the rows of a class with many copies.
+    found_classes = kept(found_classes, "found-classes")
     return signed.drop("bands", "n_shingles").join(found_classes, "class", "left").select(
         F.col("id").alias(id_column),
         "row",
