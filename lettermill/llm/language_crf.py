@@ -2,12 +2,12 @@
 
 Each word has emissions for every language from hashed features (affixes, byte n-grams, the word) and from lexicons, lists of
 words that training saw in one language only; learned transitions join neighbours. Forward-backward gives each word
-the probability of each language given its whole run of words, so foreign words within a text keep labels of their
-own; a document takes the language of the largest mean probability. Runs are lines, cut after RUN words.
+the probability of each language given its whole chain of words, so foreign words within a text keep labels of their
+own; a document takes the language of the largest mean probability. A chain is a line of any length.
 
 Training joins stretches of documents of different languages into code-switched runs, next to plain ones, so that
-transitions are learned on both. It uses a bounded sample of documents (TRAIN_ROWS, by a hash of the id, the only
-bound); prediction reads whole texts of all rows and shuffles nothing.
+transitions are learned on both. It uses a bounded sample of documents (TRAIN_ROWS and TRAIN_BYTES, in the order of a hash
+of the id) in one task; prediction reads whole texts of all rows and shuffles nothing.
 
 Results for odd rows: a text that is null or has no letter is `und` with score 0.0; rows with null languages teach
 nothing; with one language in training all texts get it, with none all are `und`; rows with equal or null ids stay apart;
@@ -16,6 +16,7 @@ columns besides those named are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,13 +27,13 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .word_features import features
-from .work import table
+from .work import share_of, table
 
-#: Labelled documents that the fit uses at most, about.
-TRAIN_ROWS = 2000
+#: Labelled documents that the fit uses at most, about, and bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 2000, 16 << 20
 N_FEATURES = 1 << 17
 PREFIXES, SUFFIXES, GRAMS = (1, 2, 3), (1, 2, 3, 4), (2, 3)
-#: Words in a run; words in a run of training; share of training runs that switch languages.
+#: Words of a chain that are worked on at a time; words in a chain of training; share of training runs that switch languages.
 RUN, TRAIN_RUN, SWITCHED = 64, 32, 0.5
 EPOCHS, BATCH, RATE, DECAY = 3, 512, 0.05, 1e-6
 #: Documents of one language, and of no other, in which a word must be to be in a lexicon.
@@ -63,29 +64,57 @@ class Model:
         return out
 
     def marginals(self, emitted: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Probabilities of the languages of all words of runs of so many words each."""
-        return forward_backward(emitted, sizes, self.moves)[0]
+        """Probabilities of the languages of all words of chains of so many words each."""
+        return chain_marginals(emitted, sizes, self.moves)
 
+    def packed(self) -> bytes:
+        held = io.BytesIO()
+        np.savez(held, languages=np.array(self.languages, np.str_), weights=self.weights, known=self.lexicon[0], of=self.lexicon[1], lexicon_weights=self.lexicon_weights, moves=self.moves)
+        return held.getvalue()
 
-def forward_backward(emitted: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of all words, and expected transitions over all runs."""
-    n_words, n_lang = emitted.shape
+    @staticmethod
+    def unpacked(held: bytes) -> Model:
+        x = np.load(io.BytesIO(held))
+        return Model(x["languages"].tolist(), x["weights"], (x["known"], x["of"]), x["lexicon_weights"], x["moves"])
+
+
+def _scaled(emitted: np.ndarray) -> np.ndarray:
+    return np.exp(emitted - emitted.max(1, keepdims=True)) if len(emitted) else emitted
+
+
+def _passes(psi: np.ndarray, sizes: np.ndarray, step: np.ndarray, entry: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward messages of all words, and where the runs begin.
+
+    entry: the forward message of the word before each run, all zero where none is before; leave: the backward one at its last word.
+    """
+    n_words, n_lang = psi.shape
     order = np.argsort(-sizes, kind="stable")
     start = (np.cumsum(sizes) - sizes)[order]
     size = sizes[order]
     longest = int(size[0]) if len(size) else 0
     live = np.searchsorted(-size, -np.arange(1, longest + 1), "right")
-    psi = np.exp(emitted - emitted.max(1, keepdims=True)) if n_words else emitted
-    step = np.exp(moves)
     alpha, beta = np.empty((n_words, n_lang)), np.ones((n_words, n_lang))
+    if leave is not None and len(sizes):
+        beta[start + size - 1] = leave[order]
     for t in range(longest):
         at = start[: live[t]] + t
-        a = psi[at] if t == 0 else (alpha[at - 1] @ step) * psi[at]
+        if t:
+            a = (alpha[at - 1] @ step) * psi[at]
+        else:
+            a = psi[at] if entry is None else np.where(entry[order].any(1, keepdims=True), entry[order] @ step, 1.0) * psi[at]
         alpha[at] = a / a.sum(1, keepdims=True)
     for t in range(longest - 2, -1, -1):
         at = start[: live[t + 1]] + t
         b = (psi[at + 1] * beta[at + 1]) @ step.T
         beta[at] = b / b.sum(1, keepdims=True)
+    return alpha, beta, start
+
+
+def forward_backward(emitted: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of all words, and expected transitions over all runs."""
+    n_words, n_lang = emitted.shape
+    psi, step = _scaled(emitted), np.exp(moves)
+    alpha, beta, start = _passes(psi, sizes, step)
     both = alpha * beta
     both /= np.maximum(both.sum(1, keepdims=True), 1e-300)
     pairs = np.zeros((n_lang, n_lang))
@@ -98,6 +127,47 @@ def forward_backward(emitted: np.ndarray, sizes: np.ndarray, moves: np.ndarray)
     return both, pairs
 
 
+def chain_marginals(emitted: np.ndarray, sizes: np.ndarray, moves: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Marginals of all words of chains of any length.
+
+    Chains are worked on in runs side by side. Of each run of a long chain the product of its steps is made first; these
+    products carry the messages from run to run, so the result is that of the whole chain.
+    """
+    psi, step = _scaled(emitted), np.exp(moves)
+    n_runs = -(-sizes // run)
+    chain = np.repeat(np.arange(len(sizes)), n_runs)
+    place = np.arange(len(chain)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+    size = np.minimum(run, sizes[chain] - run * place)
+    start = np.cumsum(size) - size
+    entry, leave = np.zeros((len(chain), psi.shape[1])), np.ones((len(chain), psi.shape[1]))
+    long = np.flatnonzero(n_runs[chain] > 1)
+    if len(long):
+        product = np.broadcast_to(np.eye(psi.shape[1]), (len(long), psi.shape[1], psi.shape[1])).copy()
+        for t in range(run):
+            live = np.flatnonzero(size[long] > t)
+            moved = product[live] if t == 0 else product[live] @ step
+            if t == 0:
+                later = place[long[live]] > 0
+                moved[later] = moved[later] @ step
+            moved = moved * psi[start[long[live]] + t][:, None, :]
+            product[live] = moved / moved.sum((1, 2), keepdims=True)
+        where = np.full(len(chain), -1)
+        where[long] = np.arange(len(long))
+        last = int(n_runs.max())
+        for k in range(1, last):
+            r = np.flatnonzero(place == k)
+            before = np.where(entry[r - 1].any(1, keepdims=True), entry[r - 1], 1.0)
+            a = (before[:, None, :] @ product[where[r - 1]])[:, 0]
+            entry[r] = a / a.sum(1, keepdims=True)
+        for k in range(last - 1, 0, -1):
+            r = np.flatnonzero(place == k)
+            b = (product[where[r]] @ leave[r][:, :, None])[:, :, 0]
+            leave[r - 1] = b / b.sum(1, keepdims=True)
+    alpha, beta, _ = _passes(psi, size, step, entry, leave)
+    both = alpha * beta
+    return both / np.maximum(both.sum(1, keepdims=True), 1e-300)
+
+
 def _lexicon(codes: np.ndarray, texts: np.ndarray, gold: np.ndarray, distinct: pa.Array, n_lang: int) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.unique(np.stack([codes, texts]), axis=1)
     seen = np.zeros((len(distinct), n_lang), np.int64)
@@ -171,25 +241,39 @@ def fit(texts: pa.Array, labels: list[str]) -> Model:
     return model
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fit to the bounded sample, in one task; rows beyond TRAIN_BYTES are left out."""
+    texts, labels, held = [], [], 0
+    for step in T.steps(batches, "text"):
+        size = int(T.utf8(step.column("text"))[1][-1])
+        if held + size <= TRAIN_BYTES:
+            held += size
+            texts.append(step.column("text").cast(pa.large_string()))
+            labels += step.column("lang").to_pylist()
+    model = fit(pa.concat_arrays(texts) if texts else pa.array([], pa.large_string()), labels)
+    yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], names=["model"])
+
+
 def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Fits to at most about so many rows of docs with a language, whose crc32(doc_id) mod 4 is not 2."""
     usable = docs.where("lang is not null and text is not null and doc_id is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
     n = usable.count()
-    usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(n, 1))) + (n <= most))
-    rows = usable.select("doc_id", "text", "lang").orderBy("doc_id", "text").toArrow()
-    return fit(rows.column("text").combine_chunks(), rows.column("lang").to_pylist())
+    some = usable.where(share_of("doc_id", most / max(n, most)))
+    rows = some.select("doc_id", "text", "lang").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text", "lang").select("text", "lang")
+    found = rows.mapInArrow(_fitted, "model binary").first()
+    model = Model.unpacked(found["model"]) if found else fit(pa.array([], pa.large_string()), [])
+    if n and not model.languages:
+        raise ValueError("no labelled text fits into TRAIN_BYTES")
+    return model
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sizes of the runs: words of one line of one text, RUN at most."""
+def chains_of(data: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sizes of the chains: the words of one line of one text."""
     lines = np.cumsum(data == 10)
     text = np.repeat(np.arange(len(counts)), counts)
     line = lines[at] if len(at) else at
     fresh = np.append(True, (text[1:] != text[:-1]) | (line[1:] != line[:-1]))[: len(at)]
-    first = np.flatnonzero(fresh)
-    size = np.diff(np.append(first, len(at)))
-    pieces = -(-size // RUN)
-    return np.minimum(RUN, np.repeat(size, pieces) - RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)))
+    return np.diff(np.append(np.flatnonzero(fresh), len(at)))
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -205,7 +289,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
         language, score, n_other = np.full(m, -1), np.zeros(m), np.zeros(m, np.int64)
         if n_lang and len(values):
             codes, distinct = T.coded(values)
-            probable = held.marginals(held.emissions(distinct)[codes], runs_of(data, offsets, at, counts))
+            probable = held.marginals(held.emissions(distinct)[codes], chains_of(data, at, counts))
             text = np.repeat(np.arange(m), counts)
             mean = np.stack([np.bincount(text, probable[:, k], m) for k in range(n_lang)], 1) / np.maximum(counts, 1)[:, None]
             language = np.where(lettered & (counts > 0), mean.argmax(1), -1)

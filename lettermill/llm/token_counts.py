@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .vocabulary import encoder, special_strings, vocabulary_path
-from .work import kept, table
+from .work import kept, most_frequent, table
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -164,15 +164,9 @@ def _sums(rows: pa.Table) -> pa.Table:
 
 
 def _hot(vocabulary: DataFrame, most: int) -> Broadcast:
-    """The words met most often (rows word, n, n_pieces), at most so many."""
+    """The words met most often (rows word, n, n_pieces), at most about so many."""
     short = vocabulary.where(F.octet_length("word") <= HOT_BYTES)
-    sizes = [tuple(r) for r in short.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().collect()]
-    least, held = 2**62, 0
-    for n, words in sorted(sizes, reverse=True):
-        if held + words > most:
-            break
-        least, held = n, held + words
-    rows = short.where(F.col("n") >= least).select("word", "n_pieces").toArrow()
+    rows = short.where(most_frequent(short, "word", "n", most)).select("word", "n_pieces").toArrow()
     return vocabulary.sparkSession.sparkContext.broadcast((rows.column("word").to_pylist(), np.append(rows.column("n_pieces").to_numpy(), 0)))
 
 

@@ -18,13 +18,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import text as T
 from .word_features import features
-from .work import quoted, row_of, table
+from .work import quoted, row_of, share_of, table
 
 #: Labelled rows that the fit uses at most, about, and bytes of their texts.
 TRAIN_ROWS, TRAIN_BYTES = 9000, 40 << 20
@@ -179,11 +179,6 @@ def _fitted(batches: Iterator[pa.RecordBatch], weigh: dict[int, float]) -> Itera
     yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
 
 
-def chosen(share: float) -> Column:
-    """True for about this share of ids, by all 64 bits of a hash, so that a small share of many rows is met as well."""
-    return F.xxhash64("doc_id") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
-
-
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Fits to at most about so many rows of labels (doc_id, toxic), whose crc32(doc_id) mod 5 is not 0, and their texts.
 
@@ -194,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     toxic, clean = n.get(1, 0), n.get(0, 0)
     taken = {1: min(toxic, max(most // 2, most - clean)), 0: min(clean, max(most - toxic, most - most // 2))}
     share = {y: taken[y] / max(1, n.get(y, 0)) for y in (0, 1)}
-    some = usable.where(F.when(F.col("toxic") == 1, chosen(share[1])).otherwise(chosen(share[0])))
+    some = usable.where(F.when(F.col("toxic") == 1, share_of("doc_id", share[1])).otherwise(share_of("doc_id", share[0])))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text", "toxic").select("text", "toxic")
     found = rows.mapInArrow(partial(_fitted, weigh={y: 1 / s for y, s in share.items() if s}), "weights binary, bias double").first()
     return Model(np.frombuffer(found["weights"], np.float32), found["bias"]) if found else fit(Sample())

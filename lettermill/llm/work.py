@@ -43,6 +43,26 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def share_of(column: str, share: float) -> Column:
+    """True for about this share of the values of a column, by all 64 bits of a hash, so that a small share of many is met as well."""
+    return F.xxhash64(column) <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+
+
+def most_frequent(counts: DataFrame, word: str, n: str, most: int) -> Column:
+    """True for at most about so many rows of counts, a row for each word: those of the largest n, and a share of those where they end.
+
+    Counts from 2 ** 16 on are told apart by steps of one in a hundred, so what comes to the driver is bounded.
+    """
+    step = F.when(F.col(n) < 1 << 16, F.col(n).cast("bigint")).otherwise((1 << 16) + F.floor(64 * (F.log2(n) - 16)))
+    held, least, share = 0, 0, 1.0
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        if held + row["words"] > most:
+            least, share = row["step"], (most - held) / row["words"]
+            break
+        held += row["words"]
+    return (step > least) | (step == least) & share_of(word, share) & F.lit(share > 0)
+
+
 def quoted(name: str) -> str:
     """A column's name as an expression, dots and all."""
     return "`" + name.replace("`", "``") + "`"

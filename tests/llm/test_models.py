@@ -34,6 +34,32 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(pairs, expected)
 
 
+@pytest.mark.parametrize("run", [1, 4, 64])
+def test_long_chains_are_not_cut(run):
+    made = np.random.default_rng(1)
+    sizes = np.array([50, 1, 7, 4, 130, 8])
+    emitted, moves = made.normal(size=(sizes.sum(), 3)), 2 * made.normal(size=(3, 3))
+    assert np.allclose(language_crf.chain_marginals(emitted, sizes, moves, run), language_crf.forward_backward(emitted, sizes, moves)[0])
+    assert language_crf.chain_marginals(np.empty((0, 3)), np.empty(0, np.int64), moves, run).shape == (0, 3)
+
+
+def test_small_shares_of_many_rows_and_frequent_words(spark):
+    from lettermill.llm.work import most_frequent, share_of
+
+    share = 2000 / 1e11
+    bound = int(-(2**63) + share * 2**64)
+    assert 0.99 < (bound + 2**63) / 2**64 / share < 1.01
+    n = spark.range(400_000)
+    assert abs(n.where(share_of("id", 0.001)).count() - 400) < 100 and n.where(share_of("id", 0.0)).count() == 0 and n.where(share_of("id", 1.0)).count() == 400_000
+    # 900 words above any clip, 300 of them wanted; then many words of one count.
+    words = spark.range(900).selectExpr("concat('w', id) as word", "200000 + 5000 * id as n").union(spark.range(5000).selectExpr("concat('r', id) as word", "3L as n"))
+    top = [r["n"] for r in words.where(most_frequent(words, "word", "n", 300)).collect()]
+    assert 200 < len(top) < 330 and min(top) > 200000 + 5000 * 500
+    some = [r["n"] for r in words.where(most_frequent(words, "word", "n", 2000)).collect()]
+    assert some.count(3) == len(some) - 900 and 900 < some.count(3) < 1300
+    assert words.where(most_frequent(words, "word", "n", 10_000)).count() == 5900 and words.where(most_frequent(words, "word", "n", 0)).count() == 0
+
+
 def test_language_of_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -66,6 +92,42 @@ def test_sentences():
     assert [data[b:e].tobytes().decode() for b, e in zip(begins[owner == 0], [*begins[owner == 0][1:], offsets[1]])] == ["Hello there.", " You!", "  \n", "next?", " yes"]
 
 
+def test_noisy_or_and_its_gradient():
+    """Scores against a loop over words, and the fit against numeric slopes of the likelihood."""
+    rows = [("good words here. grim day!", 1), ("good day", 0), ("grim grim grim", 1), ("", 0), ("more good words", 0)] * 4
+    sample = toxicity.Sample()
+    sample.add(pa.array([t for t, _ in rows], pa.large_string()), np.array([y for _, y in rows]))
+    model = toxicity.fit(sample)
+    from lettermill.llm.word_features import features
+
+    def logit(sentence):
+        found = sorted(set(re.findall("[a-z]+", sentence)))
+        return model.bias + sum(float(model.weights[f]) for w in found for f in features(pa.array([w.encode()], pa.large_binary()), toxicity.N_FEATURES, toxicity.PREFIXES, toxicity.SUFFIXES)[0])
+
+    def score(text_):
+        clean = 1.0
+        for part in re.split(r"(?<=[.!?])(?=\s)", text_) or [""]:
+            clean *= 1 - 1 / (1 + math.exp(-logit(part)))
+        return 1 - clean
+
+    got = model.scores(pa.array([t for t, _ in rows], pa.large_string()))[0]
+    assert np.allclose(got, [score(t) for t, _ in rows], rtol=1e-5)
+    assert all((s > 0.5) == bool(y) for s, (_, y) in zip(got, rows))
+
+    # The slope of a step: p (1 - y / toxic) for each sentence, against differences of the likelihood.
+    def loss(x, y):
+        toxic = 1 - np.prod(1 - 1 / (1 + np.exp(-x)))
+        return -(y * np.log(toxic) + (1 - y) * np.log(1 - toxic))
+
+    x = np.array([0.3, -1.2, 0.7])
+    for y in (0, 1):
+        toxic = 1 - np.prod(1 - toxicity.sigmoid(x))
+        slope = toxicity.sigmoid(x) * (1 - y / toxic)
+        for k in range(3):
+            d = np.eye(3)[k] * 1e-6
+            assert abs((loss(x + d, y) - loss(x - d, y)) / 2e-6 - slope[k]) < 1e-5
+
+
 def test_toxic_sentences_are_found_from_document_labels(spark):
     made = np.random.default_rng(4)
     plain = ["".join(made.choice(list("abcdefghijklm"), 5)) for _ in range(300)]
