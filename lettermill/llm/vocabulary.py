@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Distinct pre-tokens whose ids a worker keeps; beyond that it starts afresh.
+#: Distinct pre-tokens whose ids a worker keeps at most, unless one call brings more.
 KEPT_WORDS = 400_000
 
 
@@ -42,44 +42,56 @@ def pretoken_tokenizer(path: str):
     return Tokenizer.from_str(json.dumps(spec))
 
 
+class _Known:
+    """Words with their ids, one after the other."""
+
+    def __init__(self):
+        self.places: dict[bytes, int] = {}
+        self.flat, self.sizes, self.used = np.empty(1 << 19, np.uint32), np.empty(1 << 17, np.int64), 0
+
+    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.places)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.empty_like(self.flat))
+        while n + len(words) > len(self.sizes):
+            self.sizes = np.append(self.sizes, np.empty_like(self.sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.sizes[n : n + len(words)] = sizes
+        self.used += len(ids)
+        self.places.update(zip(words, range(n, n + len(words))))
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        places = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        sizes = self.sizes[: len(self.places)]
+        return spread(self.flat, sizes, places), sizes[places]
+
+
 class PretokenEncoder:
-    """Ids of distinct pre-tokens; those met before come from a bounded memory."""
+    """Ids of distinct pre-tokens; those met lately come from a bounded memory of two parts, the older of which goes when the newer is full."""
 
     def __init__(self, path: str):
         self.tokenizer = pretoken_tokenizer(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.sizes, self.used = np.empty(1 << 20, np.uint32), np.empty(1 << 18, np.int64), 0
+        self.new, self.old = _Known(), _Known()
 
     def _learn(self, words: list[bytes]) -> None:
         """Encodes words in parts, each as one sequence of pre-tokens."""
         for at in range(0, len(words), 8192):
             part = words[at : at + 8192]
             coded = self.tokenizer.encode([w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids, n = np.array(coded.ids, np.uint32), np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part))
-            known = len(self.known)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.append(self.flat, np.empty_like(self.flat))
-            while known + len(part) > len(self.sizes):
-                self.sizes = np.append(self.sizes, np.empty_like(self.sizes))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.sizes[known : known + len(part)] = n
-            self.used += len(ids)
-            self.known.update(zip(part, range(known, known + len(part))))
+            self.new.add(part, np.array(coded.ids, np.uint32), np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)))
 
     def ids(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all values (distinct ones) one after the other, and how many each has."""
         keys = values.to_pylist()
-        new = [k for k in keys if k not in self.known]
-        if new and len(self.known) + len(new) > KEPT_WORDS:
-            self._forget()
-            new = keys
-        self._learn(new)
-        slots = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        sizes = self.sizes[: len(self.known)]
-        return spread(self.flat, sizes, slots), sizes[slots]
+        missing = [k for k in keys if k not in self.new.places]
+        if len(self.new.places) + len(missing) > KEPT_WORDS // 2:
+            self.new, self.old, missing = _Known(), self.new, keys
+        again = [k for k in missing if k in self.old.places]
+        if again:
+            self.new.add(again, *self.old.ids(again))
+            missing = [k for k in missing if k not in self.old.places]
+        self._learn(missing)
+        return self.new.ids(keys)
 
 
 @lru_cache(4)

@@ -1,10 +1,10 @@
 """Token ids as succinct files: a wavelet matrix for each shard, in one compressed file that answers queries.
 
 A shard is a run of documents in ascending id order with a bounded number of tokens. Its matrix has one bit plane for
-each bit of an id, from the highest; below each plane the ids stand with their zeros first. A file holds a row for the
-documents of the shard and a row for each piece of a plane, with the number of ones before every 512th bit, so that
-access, rank, select, counting and occurrence lookup read a few words only. Files are Parquet with zstd, so any store
-that Spark writes to will do.
+each bit of an id, from the highest; below each plane the ids stand with their zeros first. A shard is one row of a file:
+its planes, the number of ones before every 512th bit of each, and the ids and sizes of its documents, so that
+access, rank, select, counting and occurrence lookup read a few words only. A task writes all of its shards to one file,
+in groups of few shards. Files are Parquet with zstd, so any store that Spark writes to will do.
 
 Results for odd rows: a null text counts as empty and has the end id only; rows with equal ids stand in the order of
 their texts, null ids come first; columns besides id and text are ignored; an empty table gives no rows.
@@ -29,12 +29,14 @@ from .work import shared_folder, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Tokens after which a shard ends with the document at hand; bits of a plane in one row of the file; bits between rank samples.
-SHARD_TOKENS, PIECE_BITS, SAMPLE_BITS = 2 << 20, 1 << 20, 512
+#: Tokens after which a shard ends with the document at hand; bits between rank samples.
+SHARD_TOKENS, SAMPLE_BITS = 2 << 20, 512
 STEP_BYTES = 2 << 20
+#: Bytes after which the writer begins another group of shards; it looks at its size after each shard.
+GROUP = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 
-FILE = "shard bigint, part int, level int, piece int, n_tokens bigint, n_pieces int, bits binary, ranks binary, ids array<bigint>, sizes array<bigint>"
-_ARROW = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("level", pa.int32()), ("piece", pa.int32()), ("n_tokens", pa.int64()), ("n_pieces", pa.int32()), ("bits", pa.binary()), ("ranks", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
+FILE = "shard bigint, part int, n_tokens bigint, planes array<binary>, ranks array<binary>, ids array<bigint>, sizes array<bigint>"
+_ARROW = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary())), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
 
 class WaveletMatrix:
@@ -47,6 +49,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray, n_bits: int, sample: int = SAMPLE_BITS) -> WaveletMatrix:
+        if len(values) and int(values.max()) >> n_bits:
+            raise ValueError(f"{int(values.max())} does not fit into {n_bits} bits")
         values = np.asarray(values, np.uint16 if n_bits <= 16 else np.uint32)
         planes, ranks = [], []
         for level in range(n_bits):
@@ -174,21 +178,10 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
-def _shard_rows(shard: int, part: int, n_bits: int, ids: np.ndarray, doc_ids: pa.Array, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _shard_row(shard: int, part: int, n_bits: int, ids: np.ndarray, doc_ids: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
     matrix = WaveletMatrix.build(ids, n_bits)
-    per_plane = max(1, -(-len(ids) // PIECE_BITS))
-    rows: dict[str, list] = {name: [] for name in _ARROW.names}
-
-    def add(level, piece, bits, ranks, own_ids=None, own_sizes=None):
-        for name, value in zip(_ARROW.names, (shard, part, level, piece, len(ids), n_bits * per_plane, bits, ranks, own_ids, own_sizes)):
-            rows[name].append(value)
-
-    add(-1, 0, None, None, doc_ids.to_pylist(), sizes.tolist())
-    for level in range(n_bits):
-        for piece in range(per_plane):
-            b, r = PIECE_BITS // 8, PIECE_BITS // SAMPLE_BITS
-            add(level, piece, matrix.planes[level].view(np.uint8)[piece * b : (piece + 1) * b].tobytes(), matrix.ranks[level][piece * r : (piece + 1) * r].astype("<u4").tobytes())
-    yield pa.RecordBatch.from_pydict(rows, schema=_ARROW)
+    planes = [p.view(np.uint8)[: -(-len(ids) // 8)].tobytes() for p in matrix.planes]
+    return pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "n_tokens": [len(ids)], "planes": [planes], "ranks": [[r.astype("<u4").tobytes() for r in matrix.ranks]], "ids": [doc_ids.to_pylist()], "sizes": [sizes.tolist()]}, schema=_ARROW)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], path: str, n_bits: int) -> Iterator[pa.RecordBatch]:
@@ -200,48 +193,30 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, n_bits: int) -> Iterat
         keep = np.ones(len(with_end), bool)
         keep[ends - 1] = False
         with_end[keep] = ids
-        held.append(with_end.astype(np.uint16 if n_bits <= 16 else np.uint32))
+        held.append(with_end)
         docs.append(step.column("id"))
         counts.append(sizes + 1)
         n += len(with_end)
         if n >= SHARD_TOKENS:
-            yield from _shard_rows(part << 32 | k, part, n_bits, np.concatenate(held), pa.concat_arrays(docs), np.concatenate(counts))
+            yield _shard_row(part << 32 | k, part, n_bits, np.concatenate(held), pa.concat_arrays(docs), np.concatenate(counts))
             k, held, docs, counts, n = k + 1, [], [], [], 0
     if n:
-        yield from _shard_rows(part << 32 | k, part, n_bits, np.concatenate(held), pa.concat_arrays(docs), np.concatenate(counts))
+        yield _shard_row(part << 32 | k, part, n_bits, np.concatenate(held), pa.concat_arrays(docs), np.concatenate(counts))
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, id_column: str = "doc_id", text_column: str = "text", n_bits: int = 16) -> None:
-    """Encodes the texts, appends END_ID to each document and writes a file for each shard into folder."""
+    """Encodes the texts, appends END_ID to each document and writes a file of shards for each range of ids into folder."""
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
     ordered = source.repartitionByRange(F.col("id").asc()).sortWithinPartitions("id", "text")
-    ordered.mapInArrow(partial(_shards, path=path, n_bits=n_bits), FILE).write.option("compression", "zstd").partitionBy("shard").parquet(folder)
+    ordered.mapInArrow(partial(_shards, path=path, n_bits=n_bits), FILE).write.option("compression", "zstd").options(**GROUP).parquet(folder)
 
 
 def read_matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, WaveletMatrix]]:
-    """The shards whose rows come by: what the first row of each says, and its matrix.
-
-    A shard is far smaller than a row group, so its rows come to one task in the order they were written in.
-    """
-    head, bits, ranks, left = None, {}, {}, 0
+    """What the row of each shard says, and its matrix."""
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["level"] < 0:
-                if left:
-                    raise ValueError(f"shard {head['shard']} lacks {left} pieces")
-                head, bits, ranks, left = row, {}, {}, row["n_pieces"]
-                continue
-            if head is None or row["shard"] != head["shard"]:
-                raise ValueError(f"a piece of shard {row['shard']} has no head before it")
-            bits.setdefault(row["level"], []).append(row["bits"])
-            ranks.setdefault(row["level"], []).append(row["ranks"])
-            left -= 1
-            if not left:
-                join = lambda parts, kind: np.frombuffer(b"".join(parts), kind)
-                yield head, WaveletMatrix(head["n_tokens"], [join(bits[k], np.uint8) for k in sorted(bits)], [join(ranks[k], "<u4") for k in sorted(ranks)])
-                bits, ranks = {}, {}
-    if left:
-        raise ValueError(f"shard {head['shard']} lacks {left} pieces")
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            yield row, WaveletMatrix(row["n_tokens"], [np.frombuffer(x, np.uint8) for x in row.pop("planes")], [np.frombuffer(x, "<u4") for x in row.pop("ranks")])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +247,7 @@ def find_token(spark: SparkSession, folder: str, token: int) -> DataFrame:
 def read_token_files(spark: SparkSession, folder: str, id_column: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of all documents, from the files; start counts the ids of all documents before."""
     files = token_files(spark, folder)
-    shards = files.where("level = -1").groupBy("part", "shard").agg(F.max("n_tokens").alias("n"))
+    shards = files.select("part", "shard", F.col("n_tokens").alias("n"))
     parts = shards.groupBy("part").agg(F.sum("n").alias("n_part"))
     # One row for each range of the sort: this window is as small as the number of partitions.
     parts = parts.select("part", (F.sum("n_part").over(Window.orderBy("part")) - F.col("n_part")).alias("before_part"))

@@ -11,7 +11,7 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-from lettermill.llm import bpe, text, token_counts, wavelet
+from lettermill.llm import bpe, text, token_counts, vocabulary, wavelet
 
 from .helpers import documents
 
@@ -62,7 +62,9 @@ def test_bpe_round_trip_and_library(spark, small):
     assert bpe.digests(docs.limit(0), vocabulary, P.PATTERN).count() == 0
 
 
-def test_token_files(spark, small, tmp_path):
+@pytest.mark.parametrize("shard", [wavelet.SHARD_TOKENS, 5000])
+def test_token_files(spark, small, tmp_path, shard, monkeypatch):
+    monkeypatch.setattr(wavelet, "SHARD_TOKENS", shard)
     docs = documents(spark, small)
     rows = sorted(((r[0], r[1] or "") for r in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     library = Tokenizer.from_file(P.path(wavelet.VOCABULARY))
@@ -83,6 +85,23 @@ def test_token_files(spark, small, tmp_path):
     assert wavelet.read_token_files(spark, empty).count() == 0
 
 
+def test_ids_that_do_not_fit_are_an_error():
+    with pytest.raises(ValueError):
+        wavelet.WaveletMatrix.build(np.array([1, 70_000]), 16)
+
+
+def test_encoder_keeps_words_of_late(monkeypatch):
+    monkeypatch.setattr(vocabulary, "KEPT_WORDS", 60)
+    path = P.path(wavelet.VOCABULARY)
+    library, held, made = Tokenizer.from_file(path), vocabulary.PretokenEncoder(path), random.Random(5)
+    for _ in range(30):
+        words = list(dict.fromkeys(" " + "".join(made.choice("abé") for _ in range(made.randrange(1, 5))) for _ in range(made.randrange(1, 40))))
+        ids, n = held.ids(pa.array([w.encode() for w in words], pa.large_binary()))
+        want = [library.encode(w, add_special_tokens=False).ids for w in words]
+        assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+        assert len(held.new.places) <= max(30, len(words)) and len(held.old.places) <= 60
+
+
 @pytest.mark.parametrize("sample", [64, 512])
 def test_wavelet_matrix(sample):
     v = np.random.default_rng(2).integers(0, 70, 3000)
