@@ -1,10 +1,12 @@
 """Byte-level BPE with Spark's own functions: encoding folds ranked merges, decoding joins binary pieces.
 
-Bytes stand as the characters U+0000 to U+00FF of a string, pieces between the marks < = U+0100 and > = U+0101, so a
-merge of a long word is one replacement in a string. The rank map is a literal: an array of small maps, in which a piece lies by the
-CRC-32 of its bytes, as a look-up in one large map would pass over all of its keys. A merge step of a long word replaces all
-occurrences of the pair at once where no piece that the merge makes possible ranks before the merge itself, and the
-leftmost one otherwise, which gives what merging one pair at a time gives.
+The bytes of a word become an array of piece numbers. The rank map is a literal: an array of small maps, in which a pair of
+neighbours lies by a number made of both, as a look-up in one large map would pass over all of its keys. A merge step takes
+the least rank of all neighbours, leftmost first, and looks up the two pairs that the merge makes.
+
+Long words are folded in chunks and put together. Two encodings joined are the encoding of both texts if the two pieces at
+the seam, taken alone, stay apart; where they don't, a few pieces to either side are folded anew, until both seams
+hold. So the work grows with the length of a word, not with its square, and ids are those of the whole word.
 
 Distinct words are counted over the whole corpus. The words met most often, at most HOT_WORDS of them and none longer
 than HOT_BYTES, are folded once each; their ids go to the tasks as one value of bounded size. Other words are
@@ -24,16 +26,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .vocabulary import vocabulary_path
-from .work import kept, table
+from .work import kept, most_frequent, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what is sent to every task besides the rank map.
 HOT_WORDS, HOT_BYTES = 1 << 20, 64
-#: Words up to this length, 64 at most, merge one pair at a time.
-SHORT_BYTES = 48
-#: A power of two.
-BUCKETS = 1 << 16
-_OPEN, _CLOSE = "Ā", "ā"
+#: Bytes of a word that are folded as a whole; bytes of a chunk of a longer one; pieces to either side that a seam is folded anew with.
+WHOLE_BYTES, CHUNK_BYTES, SEAMS = 64, 32, (2, 8)
+#: Pieces before a seam that are held back; more than any of SEAMS.
+KEPT_PIECES = 16
+#: Powers of two.
+BUCKETS, PAIR_BUCKETS = 1 << 16, 1 << 17
+#: No id: what stands before the first and after the last piece of a word.
+EDGE = 1 << 19
 _HOT, _RANKS, _PIECES = "hot ids of words", "ranks of pieces", "pieces by id"
 
 
@@ -55,32 +60,40 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _as_maps(pieces: DataFrame) -> Column:
-    """One value that maps each piece to its value: an array of BUCKETS small maps. pieces: rows (piece, value)."""
-    buckets = pieces.groupBy(_bucket(F.col("piece"), BUCKETS).alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("piece", "value"))).alias("entries"))
-    filled = pieces.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(buckets, "bucket", "left")
+def _as_maps(rows: DataFrame, bucket: Column, buckets: int = BUCKETS) -> Column:
+    """One value that maps each key to its value: an array of small maps, in which entries stand in the order of rows' order column. rows: order, key, value."""
+    small = rows.groupBy(bucket.alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("order", "key", "value"))).alias("entries"))
+    filled = rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(small, "bucket", "left")
     ordered = filled.agg(F.sort_array(F.collect_list(F.struct("bucket", "entries"))).alias("all"))
-    return ordered.select(F.transform("all", lambda x: F.map_from_entries(x["entries"]))).scalar()
+    return ordered.select(F.transform("all", lambda x: F.map_from_entries(F.transform(x["entries"], lambda e: F.struct(e["key"], e["value"]))))).scalar()
+
+
+def _pair(a: Column, b: Column) -> Column:
+    """A number for two neighbours; odd and larger than any id, the factor also spreads pairs over the buckets."""
+    return a * 1048583 + b
+
+
+def _pair_bucket(pair: Column) -> Column:
+    return pair.bitwiseAND(F.lit(PAIR_BUCKETS - 1)).cast("int")
 
 
 class Ranks:
-    """A vocabulary as two values: maps with twice the rank of each piece, odd where its merges must go one by one; and the pieces by id."""
+    """A vocabulary as two values: ranks (whole: ids of pieces; pairs: ids of what two pieces make; bytes: ids of bytes), and the pieces by id."""
 
     def __init__(self, spark: SparkSession, path: str):
         ranks = read_ranks(path)
-        one_by_one = set()
-        for piece, rank in ranks.items():
-            for cut in range(1, len(piece)):
-                for part in (piece[cut:], piece[:cut]):
-                    if ranks.get(part, -1) > rank:
-                        one_by_one.add(part)
-        names, values = [p.decode("latin-1") for p in ranks], [2 * r + (p in one_by_one) for p, r in ranks.items()]
-        literal = spark.createDataFrame(pa.table({"piece": pa.array(names), "value": pa.array(values, pa.int32())}))
-        self.ranks = _as_maps(literal)
         # Ids run from 0 without a gap, or else the pieces would not stand at the places of their ids.
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("the ranks have gaps")
-        by_id = literal.agg(F.sort_array(F.collect_list(F.struct(_halved(F.col("value")).alias("id"), "piece"))).alias("all"))
+        names, ids = [p.decode("latin-1") for p in ranks], list(ranks.values())
+        literal = spark.createDataFrame(pa.table({"key": pa.array(names), "value": pa.array(ids, pa.int32())})).withColumn("order", F.lit(0))
+        made = [(ranks[p[:k]], ranks[p[k:]], r) for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks]
+        pairs = spark.createDataFrame(pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("a", "b", "value"), zip(*made))}))
+        pairs = pairs.select(F.lit(0).alias("order"), _pair(F.col("a"), F.col("b")).alias("key"), "value")
+        single = F.array(*[F.lit(ranks[bytes([b])]).cast("bigint") for b in range(256)])
+        sizes = literal.agg(F.sort_array(F.collect_list(F.struct("value", F.length("key").alias("n")))).alias("all")).select(F.col("all.n")).scalar()
+        self.ranks = spark.range(1).select(F.struct(_as_maps(literal, _bucket(F.col("key"), BUCKETS)).alias("whole"), _as_maps(pairs, _pair_bucket(F.col("key")), PAIR_BUCKETS).alias("pairs"), single.alias("bytes"), sizes.alias("sizes"))).scalar()
+        by_id = literal.agg(F.sort_array(F.collect_list(F.struct(F.col("value").alias("id"), F.col("key").alias("piece")))).alias("all"))
         self.pieces = by_id.select(F.col("all.piece")).scalar()
 
 
@@ -89,78 +102,90 @@ def byte_string(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def _halved(value: Column) -> Column:
-    return F.shiftright(value, 1)
+def _merged(start: Column, ranks: Column) -> Column:
+    """Ranked merges folded over an array of piece numbers.
 
+    The state holds the pieces between two that stand for nothing, and the rank of each with the one after it, so that a merge
+    always has a neighbour on either side.
+    """
+    rank = lambda a, b: F.try_element_at(F.get(ranks["pairs"], _pair_bucket(_pair(a, b))), _pair(a, b))
+    edge, none = F.array(F.lit(EDGE).cast("bigint")), F.array(F.lit(None).cast("bigint"))
 
-def _fold_short(word: Column, ranks: Column) -> Column:
-    """Merges one pair at a time; the state holds the pieces and the rank of each piece with the one after it."""
+    def joined(state: Column, best: Column, i: Column) -> Column:
+        # The pair i stands between the pieces i and i + 1, counted from 1.
+        pieces, pairs = state["pieces"], state["pairs"]
+        n = F.size(pairs)
+        return F.struct(
+            F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(best), F.slice(pieces, i + 2, n)).alias("pieces"),
+            F.concat(F.slice(pairs, F.lit(1), i - 2), F.array(rank(F.get(pieces, i - 2), best), rank(best, F.get(pieces, i + 1))), F.slice(pairs, i + 2, n)).alias("pairs"),
+        )
 
     def step(state: Column, best: Column) -> Column:
-        pieces, pairs = state["pieces"], state["pairs"]
+        return F.when(best.isNull(), state).otherwise(_let(F.array_position(state["pairs"], best).cast("int"), lambda i: joined(state, best, i)))
 
-        def merged(i: Column) -> Column:
-            return _let(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), lambda piece: joined(i, piece))
-
-        def joined(i: Column, piece: Column) -> Column:
-            n = F.size(pairs)
-            none = F.array().cast("array<int>")
-            left = F.when(i > 1, F.array(_look_up(ranks, F.concat(F.get(pieces, i - 2), piece)))).otherwise(none)
-            right = F.when(i < n, F.array(_look_up(ranks, F.concat(piece, F.get(pieces, i + 1))))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(piece), F.slice(pieces, i + 2, n)).alias("pieces"),
-                F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(pairs, i + 2, n)).alias("pairs"),
-            )
-
-        return F.when(best.isNull(), state).otherwise(_let(best.bitwiseAND(F.lit(63)) + 1, merged))
-
-    first = F.split(word, "")
-    start = _let(first, lambda p: F.struct(p.alias("pieces"), F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: _look_up(ranks, F.concat(a, b))).alias("pairs")))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(word)),
-        start,
-        lambda state, _: _let(F.array_min(F.transform(state["pairs"], lambda rank, i: F.shiftleft(rank, 6).bitwiseOR(i))), lambda best: step(state, best)),
-        lambda state: F.transform(state["pieces"], lambda p: _halved(_look_up(ranks, p))),
-    )
+    def folded(p: Column) -> Column:
+        pairs = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), rank)
+        begin = F.struct(F.concat(edge, p, edge).alias("pieces"), F.concat(none, pairs, none).alias("pairs"))
+        return F.aggregate(F.slice(p, F.lit(2), F.size(p)), begin, lambda state, _: _let(F.array_min(state["pairs"]), lambda best: step(state, best)), lambda state: F.slice(state["pieces"], F.lit(2), F.size(state["pieces"]) - 2))
 
+    return _let(start, lambda p: F.when(F.size(p) < 2, p).otherwise(folded(p)))
 
-def _fold_long(word: Column, ranks: Column) -> Column:
-    """Merges all occurrences of the best pair in one replacement; pieces stand between marks in a string."""
-    rank = lambda piece: _look_up(ranks, piece)
-    split = lambda text: F.split(F.substring(text, F.lit(2), F.length(text) - 2), _CLOSE + _OPEN)
 
-    def merged(state: Column, pieces: Column) -> Column:
-        pairs = F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: rank(F.concat(a, b)))
+def _numbers(word: Column, ranks: Column) -> Column:
+    """The pieces of single bytes of a word given as a byte string."""
+    return F.transform(F.split(word, ""), lambda c: F.get(ranks["bytes"], F.ascii(c)))
 
-        def step(best: Column) -> Column:
-            def joined(i: Column) -> Column:
-                a, b = F.get(pieces, i - 1), F.get(pieces, i)
-                pair, whole = F.concat(F.lit(_OPEN), a, F.lit(_CLOSE + _OPEN), b, F.lit(_CLOSE)), F.concat(F.lit(_OPEN), a, b, F.lit(_CLOSE))
-                # Before the pair stand i - 1 pieces with two marks each.
-                first = F.length(F.array_join(F.slice(pieces, F.lit(1), i - 1), "")) + 2 * i - 1
-                text = state["text"]
-                once = F.concat(F.substring(text, F.lit(1), first - 1), whole, F.substring(text, first + F.length(pair), F.length(text)))
-                return F.struct(F.when(best["rank"] % 2 == 0, F.replace(text, pair, whole)).otherwise(once).alias("text"), F.lit(True).alias("more"))
 
-            over = F.struct(state["text"].alias("text"), F.lit(False).alias("more"))
-            return F.when(best.isNull(), over).otherwise(_let((best["i"] + 1), joined))
+def _stitched(word: Column, ranks: Column) -> Column:
+    """The pieces of a long word: those of its chunks, put together seam by seam."""
+    span = lambda x: F.aggregate(x, F.lit(0), lambda n, piece: n + F.get(ranks["sizes"], piece.cast("int")))
 
-        return _let(F.array_min(F.filter(F.transform(pairs, lambda rank, i: F.struct(rank.alias("rank"), i.alias("i"))), lambda p: p["rank"].isNotNull())), step)
+    def whole(numbers: Column) -> Column:
+        anew = lambda begin, n: _merged(F.slice(numbers, begin + 1, n), ranks)
 
-    marked = F.concat(F.lit(_OPEN), F.array_join(F.split(word, ""), _CLOSE + _OPEN), F.lit(_CLOSE))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(word)),
-        F.struct(marked.alias("text"), F.lit(True).alias("more")),
-        lambda state, _: F.when(state["more"], _let(split(state["text"]), lambda pieces: merged(state, pieces))).otherwise(state),
-        lambda state: F.transform(split(state["text"]), lambda p: _halved(rank(p))),
-    )
+        def holds(left: Column, right: Column, at: Column) -> Column:
+            """Whether the pieces that meet at a byte stay apart when they are folded alone."""
+            a, b = F.slice(left, F.lit(-1), F.lit(1)), F.slice(right, F.lit(1), F.lit(1))
+            return F.when((F.size(a) == 0) | (F.size(b) == 0), True).otherwise(_let(span(a), lambda n: anew(at - n, n + span(b)) == F.concat(a, b)))
+
+        def seam(k: int, left: Column, right: Column, at: Column, otherwise: Column) -> Column:
+            """Both, with k pieces to either side folded anew, where the two seams that this makes hold."""
+            head, tail = F.slice(left, F.lit(1), F.greatest(F.size(left) - k, F.lit(0))), F.slice(right, F.lit(k + 1), F.size(right))
+            sizes = F.struct(span(F.slice(left, F.greatest(F.size(left) - k + 1, F.lit(1)), F.lit(k))).alias("x"), span(F.slice(right, F.lit(1), F.lit(k))).alias("y"))
+            put = lambda z, m: F.when(holds(head, m, at - z["x"]) & holds(m, tail, at + z["y"]), F.concat(head, m, tail)).otherwise(otherwise)
+            return _let(sizes, lambda z: _let(anew(at - z["x"], z["x"] + z["y"]), lambda m: put(z, m)))
+
+        def joined(state: Column, at: Column) -> Column:
+            """The state holds the pieces that are sure, in parts, and the last ones, which the next seam may touch; null where a seam fails."""
+            left = state["last"]
+
+            def both(right: Column) -> Column:
+                out = F.lit(None).cast("array<bigint>")
+                for k in reversed(SEAMS):
+                    out = seam(k, left, right, at, out)
+                return F.when(holds(left, right, at), F.concat(left, right)).otherwise(out)
+
+            def moved(pieces: Column) -> Column:
+                full = F.size(pieces) > 4 * KEPT_PIECES
+                sure = F.concat(state["sure"], F.array(F.slice(pieces, F.lit(1), F.size(pieces) - KEPT_PIECES)))
+                return F.struct(F.when(full, sure).otherwise(state["sure"]).alias("sure"), F.when(full, F.slice(pieces, F.lit(-KEPT_PIECES), F.lit(KEPT_PIECES))).otherwise(pieces).alias("last"))
+
+            return F.when(left.isNull(), state).otherwise(_let(_let(anew(at, F.lit(CHUNK_BYTES)), both), moved))
+
+        begin = F.struct(F.array().cast("array<array<bigint>>").alias("sure"), F.array().cast("array<bigint>").alias("last"))
+        found = F.aggregate(F.sequence(F.lit(0), F.size(numbers) - 1, F.lit(CHUNK_BYTES)), begin, joined, lambda state: F.when(state["last"].isNotNull(), F.flatten(F.concat(state["sure"], F.array(state["last"])))))
+        # No seam is known that needs more than the largest of SEAMS; the word would be folded as a whole then.
+        return F.coalesce(found, _merged(numbers, ranks))
+
+    return _let(_numbers(word, ranks), whole)
 
 
 def fold_merges(word: Column, ranks: Column) -> Column:
     """The ids of a word given as a byte string: ranked merges folded over its bytes."""
 
     def folded(w: Column) -> Column:
-        return _let(_look_up(ranks, w), lambda known: F.when(known.isNotNull(), F.array(_halved(known))).when(F.length(w) <= SHORT_BYTES, _fold_short(w, ranks)).otherwise(_fold_long(w, ranks)))
+        short = F.when(F.length(w) <= WHOLE_BYTES, _merged(_numbers(w, ranks), ranks)).otherwise(_stitched(w, ranks))
+        return _let(_look_up(ranks["whole"], w), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(short.cast("array<int>")))
 
     return _let(word, folded)
 
@@ -170,18 +195,13 @@ def split_words(text: Column, pattern: str) -> Column:
 
 
 def hot_words(words: DataFrame, ranks: Column, most: int = HOT_WORDS) -> Column:
-    """Ids of the words met most often (column word, a row for each occurrence), at most so many, as one value."""
+    """Ids of the words met most often (column word, a row for each occurrence), at most about so many, as one value."""
     counts = kept(words.groupBy("word").count().where(F.octet_length("word") <= HOT_BYTES), "words")
-    sizes = [(r["count"], r["n"]) for r in counts.groupBy(F.least("count", F.lit(100_000)).alias("count")).agg(F.count("*").alias("n")).collect()]
-    least, held = 2**62, 0
-    for count, n in sorted(sizes, reverse=True):
-        if held + n > most:
-            break
-        least, held = count, held + n
-    hot = counts.where(F.col("count") >= least).select("word")
+    hot = counts.where(most_frequent(counts, "word", "count", most))
     held = hot.repartition("word").withColumn(_RANKS, ranks)
-    folded = held.select(F.col("word").alias("piece"), _let(F.col(_RANKS), lambda r: fold_merges(byte_string(F.col("word")), r)).alias("value"))
-    return _as_maps(folded)
+    # What is met most often stands first, where a look-up finds it at once.
+    folded = held.select((-F.col("count")).alias("order"), F.col("word").alias("key"), _let(F.col(_RANKS), lambda r: fold_merges(byte_string(F.col("word")), r)).alias("value"))
+    return _as_maps(folded, _bucket(F.col("key"), BUCKETS))
 
 
 def encode(docs: DataFrame, vocabulary: Ranks, pattern: str, text_column: str = "text", ids_column: str = "ids", most: int = HOT_WORDS) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import uuid
 import zlib
 
@@ -62,6 +63,19 @@ def test_bpe_round_trip_and_library(spark, small):
     assert bpe.digests(docs.limit(0), vocabulary, P.PATTERN).count() == 0
 
 
+def test_bpe_of_long_words(spark):
+    """Seams of chunks, and a word of 200,000 letters."""
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path(bpe.VOCABULARY)), special_tokens={})
+    made = random.Random(7)
+    words = ["".join(made.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "etaoinshr", "éñü中") for n in (65, 100, 333, 2000)] + ["a" * 3000, "the" * 500, "ing" * 200]
+    words.append("".join(made.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)))
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string").repartition(4)
+    began = time.time()
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, bpe.Ranks(spark, P.path(bpe.VOCABULARY)), P.PATTERN).collect()}
+    assert time.time() - began < 60
+    assert all(got[i] == library.encode_ordinary(w) for i, w in enumerate(words))
+
+
 @pytest.mark.parametrize("shard", [wavelet.SHARD_TOKENS, 5000])
 def test_token_files(spark, small, tmp_path, shard, monkeypatch):
     monkeypatch.setattr(wavelet, "SHARD_TOKENS", shard)
