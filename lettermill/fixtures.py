@@ -94,6 +94,7 @@ def threaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         "conv_id",
         "turn",
+        (F.col("conv_id") % 7).alias("account_id"),
         F.col("role").alias("from"),
         "text",
         name(F.col("turn").cast("string")).alias("message_id"),
@@ -115,7 +116,7 @@ SQL = {
     "mb": "mb AS (SELECT account_id, mailbox_id AS id, mailbox_name AS name, count(*) AS \"exists\", 1 AS uid_validity FROM e GROUP BY ALL)",
     "mr": "mr AS (SELECT account_id, CASE WHEN id % 5 = 0 THEN name || '-new' ELSE name END AS name, \"exists\", CASE WHEN id % 11 = 0 THEN NULL WHEN id % 7 = 0 THEN 2 ELSE 1 END AS uid_validity, id % 3 = 0 AS subscribed, CASE WHEN id % 13 = 0 THEN '\\Noselect' WHEN id % 4 = 0 THEN '\\Sent' ELSE '\\HasNoChildren' END AS flag FROM mb)",
     "u": "u AS (SELECT id, 'user' || id AS username, 'user' || id || '@example.org' AS email, CASE WHEN id % 2 = 0 THEN 200100000000000 ELSE 200200000000000 END AS role, id % 20 AS a1, (id + 7) % 20 AS a2 FROM (SELECT DISTINCT user_id AS id FROM events))",
-    "th": "th AS (SELECT conv_id, turn, role AS \"from\", text, conv_id || ':' || turn AS message_id, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) END AS in_reply_to, CASE WHEN turn > 0 THEN conv_id || ':0' END AS first_reference FROM conversations)",
+    "th": "th AS (SELECT conv_id, turn, conv_id % 7 AS account_id, role AS \"from\", text, conv_id || ':' || turn AS message_id, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) END AS in_reply_to, CASE WHEN turn > 0 THEN conv_id || ':0' END AS first_reference FROM conversations)",
 }
 _NEEDS = {"e": ["ea"], "mb": ["ea", "e"], "mr": ["ea", "e", "mb"]}
 

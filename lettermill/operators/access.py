@@ -56,18 +56,25 @@ def allowed(asked: DataFrame, users: DataFrame, roles: DataFrame) -> DataFrame:
     return a.join(hit, same[0] & same[1] & same[2], "left").select("a.user_id", "a.account_id", "a.permission", F.coalesce("hit", F.lit(False)).alias("allowed"))
 
 
-def read_scope(users: DataFrame, roles: DataFrame, accounts: DataFrame, all_permission: str = "data:read:all") -> DataFrame:
-    """(user_id, account_id) that each user may read: all with the global permission, else those with any role."""
-    everything = permissions(users, roles).where(F.col("account_id").isNull() & F.col("permission").isin(all_permission, "system:root")).select("user_id").distinct()
-    # Every account for the few users that may read all: one list value, spread over their rows.
-    all_accounts = accounts.agg(F.collect_set("id").alias("ids")).scalar()
-    wide = everything.withColumn("ids", all_accounts).select("user_id", F.explode("ids").alias("account_id"))
-    return wide.unionByName(grants(users).where("account_id is not null").select("user_id", "account_id")).distinct()
+def read_scope(users: DataFrame, roles: DataFrame, all_permission: str = "data:read:all") -> DataFrame:
+    """(user_id, account_id, everything): the accounts on which each user has any role, and for those with the global
+    permission one row without an account, which stands for all of them."""
+    wide = permissions(users, roles).where(F.col("account_id").isNull() & F.col("permission").isin(all_permission, "system:root")).select("user_id").distinct()
+    wide = wide.select("user_id", F.lit(None).cast("bigint").alias("account_id"), F.lit(True).alias("everything"))
+    return wide.unionByName(grants(users).where("account_id is not null").select("user_id", "account_id", F.lit(False).alias("everything")).distinct())
 
 
 def scoped(rows: DataFrame, scope: DataFrame, user_id: int) -> DataFrame:
-    """The rows of accounts that a user may read."""
-    return rows.join(scope.where(F.col("user_id") == user_id).select("account_id"), "account_id", "left_semi")
+    """The rows of accounts that a user may read; one who may read everything costs no join."""
+    mine = scope.where(F.col("user_id") == user_id)
+    everything = mine.agg(F.coalesce(F.bool_or("everything"), F.lit(False))).scalar()
+    own = mine.where("not everything").select("account_id", F.lit(True).alias("_mine")).distinct()
+    return rows.join(own, "account_id", "left").where(F.col("_mine").isNotNull() | everything).drop("_mine")
+
+
+def scope_size(scope: DataFrame, accounts: DataFrame, user_id: int) -> DataFrame:
+    """n: how many accounts a user may read."""
+    return scoped(accounts.withColumn("account_id", F.col("id")), scope, user_id).agg(F.count("*").alias("n"))
 
 
 def wrong_permissions(roles: DataFrame) -> DataFrame:

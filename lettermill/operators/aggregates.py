@@ -59,10 +59,24 @@ def facets(envelopes: DataFrame) -> DataFrame:
     return path.distinct().groupBy("path").agg(F.count("*").alias("n"))
 
 
-def dashboard(envelopes: DataFrame, accounts: DataFrame, now: int) -> dict[str, DataFrame]:
-    """All parts over one narrow slice of the columns, which the caller may cache."""
+def dashboard(envelopes: DataFrame, accounts: DataFrame, now: int, stored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All parts over one narrow slice of the columns, which the caller may cache; for a scoped caller, of the rows and accounts in scope.
+
+    stored (bytes) is the size of the store, none for a scoped caller.
+    """
     part = envelopes.select("id", "account_id", "subject", "from", "date", "size", "has_attachment")
-    return {"scalars": scalars(part), "activity": daily_activity(part, now), "senders": top(part, "from"), "accounts": top_accounts(part, accounts), "largest": largest(part), "account_count": accounts.agg(F.count("*").alias("n"))}
+    none = accounts.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("bytes"))
+    return {"scalars": scalars(part), "activity": daily_activity(part, now), "senders": top(part, "from"), "accounts": top_accounts(part, accounts), "largest": largest(part), "account_count": accounts.agg(F.count("*").alias("n")), "stored": none if stored is None else stored}
+
+
+def dashboard_rows(parts: dict[str, DataFrame]) -> DataFrame:
+    """The parts of a dashboard as one table (part, key, n)."""
+    row = lambda name, n: F.struct(F.lit(name).alias("part"), F.lit("").alias("key"), F.col(n).cast("bigint").alias("n"))
+    rows = parts["scalars"].select(F.inline(F.array(row("count", "email_count"), row("size", "total_size"), row("with_attachment", "with_attachment"), row("without_attachment", "without_attachment"))))
+    rows = rows.union(parts["account_count"].select(F.lit("accounts"), F.lit(""), "n")).union(parts["stored"].select(F.lit("stored"), F.lit(""), "bytes"))
+    for name, frame, key, n in (("activity", "activity", "day", "n"), ("sender", "senders", "from", "n"), ("account", "accounts", "account_id", "n"), ("largest", "largest", "id", "size")):
+        rows = rows.union(parts[frame].select(F.lit(name), F.col(key).cast("string"), F.col(n)))
+    return rows
 
 
 def activity_rollup(envelopes: DataFrame) -> DataFrame:

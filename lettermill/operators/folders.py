@@ -23,13 +23,18 @@ def gone(remote: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def selected(remote: DataFrame) -> DataFrame:
-    """Folders to read: never those that can't be opened; subscribed ones if an account has any, else the inbox and sent folders."""
+    """Folders to read: never those that can't be opened; subscribed ones if an account has any, else the inbox and sent folders; see without_folder()."""
     usable = remote.where(F.lower("flag") != "\\noselect")
     any_subscribed = F.max(F.col("subscribed").cast("int")).over(Window.partitionBy("account_id")) == 1
     plain = (F.lower("name") == "inbox") | (F.lower("flag") == "\\sent")
     return usable.withColumn("chosen", F.when(any_subscribed, F.col("subscribed")).otherwise(plain)).where("chosen").drop("chosen")
 
 
+def without_folder(remote: DataFrame) -> DataFrame:
+    """Accounts (account_id, error) of which no folder fits; a run can't begin for them."""
+    return remote.select("account_id").distinct().join(selected(remote), "account_id", "left_anti").withColumn("error", F.lit("no subscribed folder, inbox or sent folder"))
+
+
 def plan(remote: DataFrame, local: DataFrame) -> DataFrame:
     """What to do with each folder: rebuild, incremental, load, create, skip or keep."""
     r = remote.select(*_KEY, F.col("uid_validity").alias("remote_validity"), F.col("exists").alias("remote_exists"))

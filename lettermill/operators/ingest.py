@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import DAY_MS
+
 COOL_DOWN_MS, LEAST_LOAD, ERRORS_KEPT, BATCH = 60_000, 100, 30, 50
 
 
@@ -23,6 +27,35 @@ def window_bound(now: Column, amount: int, unit: str) -> Column:
     return F.date_sub(now, amount) if unit == "days" else F.add_months(now, -amount * (12 if unit == "years" else 1))
 
 
+def first_day(now: datetime.date, fixed: str | None = None, amount: int | None = None, unit: str | None = None) -> Column:
+    """The first day of a window: either a fixed one, as YYYY-MM-DD, before today, or so many days, months or years ago; never before 1970."""
+    if (fixed is None) == (amount is None):
+        raise ValueError("either a fixed day or an amount is needed, not both")
+    if fixed is not None:
+        day = datetime.datetime.strptime(fixed, "%Y-%m-%d").date()
+        if day >= now:
+            raise ValueError(f"{fixed} is not in the past")
+        bound, year = F.lit(day), day.year
+    else:
+        bound = window_bound(F.lit(now), amount, unit)
+        year = {"days": (now.toordinal() - amount - 1) // 365.2425 + 1, "months": (now.year * 12 + now.month - 1 - amount) // 12, "years": now.year - amount}[unit]
+    if year < 1970:
+        raise ValueError("a window begins in 1970 at the earliest")
+    return bound
+
+
+def in_window(rows: DataFrame, now: datetime.date, since: dict | None = None, before: dict | None = None, column: str = "date") -> DataFrame:
+    """Messages since a day, or of before a day; since as first_day() takes it, before as an amount and unit only, and not both."""
+    if since and before:
+        raise ValueError("since and before exclude each other")
+    if before and before.get("fixed") is not None:
+        raise ValueError("before takes an amount only")
+    if not (since or before):
+        return rows
+    bound = F.unix_date(first_day(now, **(since or before))).cast("bigint") * DAY_MS
+    return rows.where(F.col(column) >= bound) if since else rows.where(F.col(column) < bound)
+
+
 def after_high_water(candidates: DataFrame, high: DataFrame, before: int | None = None) -> DataFrame:
     """Messages with a uid above what the folder holds (all of a folder that holds none), and older than before where that is set."""
     rows = candidates.join(high, ["account_id", "mailbox_id"], "left").where(F.col("uid") > F.coalesce("max_uid", F.lit(-1)))

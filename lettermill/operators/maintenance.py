@@ -12,12 +12,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of deletions that may go to every task.
+MOST_SENT = 200_000
+#: Bytes of a file of a snapshot, about.
+FILE_BYTES = 256 << 20
+
+
 def latest(rows: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """The last row of each key; Spark cuts each task's rows to one for a key before the shuffle."""
     w = Window.partitionBy(key).orderBy(F.col(seq).desc())
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def _small(ends: DataFrame) -> DataFrame:
+    """Deletions by folder or account: broadcast if they are few, else joined by a shuffle, in which Spark splits large accounts."""
+    return F.broadcast(ends) if ends.limit(MOST_SENT + 1).count() <= MOST_SENT else ends
+
+
 def deduplicated(ids: DataFrame) -> DataFrame:
     return ids.dropDuplicates()
 
@@ -29,9 +40,10 @@ def current(log: DataFrame, tag_log: DataFrame | None = None) -> DataFrame:
     """
     rows = latest(log.where("op = 'upsert'")).drop("op")
     ends = log.where("op <> 'upsert'")
+    # Rows are dealt by id once, for the last version and for single deletions; those of folders and accounts go to them.
     one = ends.where("op = 'delete'").groupBy("id").agg(F.max("seq").alias("end_one"))
-    box = ends.where("op = 'delete_mailbox'").groupBy("account_id", "mailbox_id").agg(F.max("seq").alias("end_box"))
-    account = ends.where("op = 'delete_account'").groupBy("account_id").agg(F.max("seq").alias("end_account"))
+    box = _small(ends.where("op = 'delete_mailbox'").groupBy("account_id", "mailbox_id").agg(F.max("seq").alias("end_box")))
+    account = _small(ends.where("op = 'delete_account'").groupBy("account_id").agg(F.max("seq").alias("end_account")))
     rows = rows.join(one, "id", "left").join(box, ["account_id", "mailbox_id"], "left").join(account, "account_id", "left")
     alive = rows.where("seq > coalesce(greatest(end_one, end_box, end_account), -1)").drop("end_one", "end_box", "end_account")
     return alive if tag_log is None else retagged(alive, tag_log)
@@ -73,7 +85,13 @@ def compact(log: DataFrame, tag_log: DataFrame | None, root: str) -> str:
     path = f"{root}/snapshot-{uuid4().hex}"
     upto = log.agg(F.max("seq")).first()[0]
     rows = current(log, tag_log).withColumn("month", F.date_format(F.timestamp_millis("date"), "yyyy-MM"))
-    rows.repartition("month", F.pmod("id", F.lit(8))).sortWithinPartitions("month", "date").write.option("compression", "zstd").partitionBy("month").parquet(path)
+    if "size" in rows.columns:
+        # As many files for each month as its bytes ask for.
+        months = rows.groupBy("month").agg(F.ceil(F.sum("size") / FILE_BYTES).cast("int").alias("_files"))
+        rows = rows.join(F.broadcast(months), "month").withColumn("_file", F.pmod(F.xxhash64("id"), F.greatest("_files", F.lit(1)))).drop("_files")
+    else:
+        rows = rows.withColumn("_file", F.lit(0))
+    rows.repartition("month", "_file").sortWithinPartitions("month", "date").drop("_file").write.option("compression", "zstd").partitionBy("month").parquet(path)
     spark.createDataFrame([(path, upto)], "path string, seq bigint").coalesce(1).write.mode("append").parquet(f"{root}/pointers")
     return path
 

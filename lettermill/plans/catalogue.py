@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 from collections.abc import Callable
 
@@ -13,7 +14,9 @@ from ..functions import columns as C
 from ..operators import access, aggregates, folders, ingest, maintenance
 from ..operators import search as S
 from ..sources import eml
+from ..streaming import ingest as stream
 from . import token_index
+from .scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,10 +75,28 @@ def _(s, d):
     return X.envelopes(s, d).groupBy(C.size_bucket(F.col("size")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def _index(s, d):
+    """The index of all messages, written once for a query; look-ups then open the parts of their words."""
+    path = scratch(s, "index")
+    token_index.write(X.envelopes(s, d), path)
+    return token_index.read(s, path)
+
+
 @query("f15_index_search", f"SELECT id FROM e WHERE list_has_all({_TOK.format(_ALL)}, ['rights', 'reserved'])", "e")
 def _(s, d):
-    e = X.envelopes(s, d)
-    return token_index.with_all(token_index.postings(e), ["rights", "reserved"])
+    return token_index.with_all(_index(s, d), ["rights", "reserved"])
+
+
+@query(
+    "f15_index_backed_search",
+    f"SELECT id, uid, \"date\" FROM e WHERE size >= 300 AND ((list_has_any({_TOK.format(_ALL)}, ['licensed', 'released']) AND NOT list_has_any({_TOK.format(_ALL)}, ['apache'])) OR (list_has_all({_TOK.format(_ALL)}, ['the', 'and']) AND contains(' ' || array_to_string({_TOK.format(_ALL)}, ' ') || ' ', ' all rights reserved ')))",
+    "e",
+)
+def _(s, d):
+    e, index = X.envelopes(s, d), _index(s, d)
+    one = token_index.search(e, index, S.Search(any_words="licensed released", no_words="Apache", min_size=300))
+    two = token_index.search(e, index, S.Search(all_words="the and", phrase="All rights reserved", min_size=300))
+    return one.union(two).select(*_IDS).distinct()
 
 
 @query("f15_index_postings", f"SELECT token, count(*) AS n_messages, sum(n)::BIGINT AS n_positions FROM (SELECT id, token, field, count(*) AS n FROM (SELECT id, 'subject' AS field, unnest({_TOK.format('subject')}) AS token FROM e UNION ALL SELECT id, 'text', unnest({_TOK.format('text')}) FROM e UNION ALL SELECT id, 'attachments', unnest({_TOK.format('array_to_string(attachments, chr(10))')}) FROM e) GROUP BY ALL) GROUP BY 1", "e")
@@ -111,21 +132,28 @@ def _(s, d):
     return S.page(X.envelopes(s, d).where("account_id = 0 and mailbox_name = 'en'"), 1, 20).select(*_IDS)
 
 
-@query("q03_thread_listing", f"SELECT conv_id, turn, {_H.format('coalesce(first_reference, message_id)')} AS thread_id FROM th WHERE {_H.format('coalesce(first_reference, message_id)')} = {_H.format(repr('7:0'))}", "th")
+@query("q03_thread_listing", f"SELECT conv_id, turn, {_H.format('coalesce(first_reference, message_id)')} AS thread_id FROM th WHERE account_id = 0 AND {_H.format('coalesce(first_reference, message_id)')} = {_H.format(repr('7:0'))}", "th")
 def _(s, d):
     t = X.threaded(s, d).withColumn("thread_id", C.thread_id(F.col("in_reply_to"), F.col("references"), F.col("message_id")))
-    return S.page(t.where(F.col("thread_id") == C.hash53(F.lit("7:0"))), 1, 1000, by="turn", key="message_id", limit_size=False).select("conv_id", "turn", "thread_id")
+    return S.page(t.where((F.col("account_id") == 0) & (F.col("thread_id") == C.hash53(F.lit("7:0")))), 1, 1000, by="turn", key="message_id", limit_size=False).select("conv_id", "turn", "thread_id")
 
 
-@query("q04_envelope_by_id", "SELECT e.id, e.uid FROM e JOIN (SELECT id FROM ea WHERE doc_id % 50 = 0 GROUP BY 1) i ON i.id = e.id".replace("doc_id", "uid"), "e")
+@query("q04_envelope_by_id", "SELECT e.id, e.uid FROM e WHERE id IN (SELECT id FROM ea WHERE has_attachment)", "e")
 def _(s, d):
-    wanted = X.envelopes_all(s, d).where("uid % 50 = 0").select("id").distinct()
+    wanted = X.envelopes_all(s, d).where("has_attachment").select("id").distinct()
     return X.envelopes(s, d).join(wanted, "id", "left_semi").select("id", "uid")
 
 
-@query("q05_raw_by_id", "SELECT id, sha256(text) AS eml_sha256 FROM e WHERE account_id = 2", "e")
+def _raw(s, d):
+    """The raw log of all messages: their latest bytes."""
+    return maintenance.latest(X.envelopes_all(s, d).select("id", "account_id", "mailbox_id", F.encode("text", "UTF-8").alias("eml"), "seq")).drop("seq")
+
+
+@query("q05_raw_by_id", "SELECT id, sha256(text) AS eml_sha256 FROM e WHERE account_id = 2 AND id = (SELECT min(id) FROM e WHERE account_id = 2)", "e")
 def _(s, d):
-    return X.envelopes(s, d).where("account_id = 2").select("id", F.sha2(F.encode("text", "UTF-8"), 256).alias("eml_sha256"))
+    raw = _raw(s, d)
+    wanted = raw.where("account_id = 2").agg(F.min("id")).scalar()
+    return raw.where((F.col("account_id") == 2) & (F.col("id") == wanted)).select("id", F.sha2("eml", 256).alias("eml_sha256"))
 
 
 @query("q06_reading_order", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM th", "th")
@@ -221,10 +249,10 @@ def _(s, d):
     return X.envelopes(s, d).groupBy("account_id", "mailbox_id").agg(F.count("*").alias("n"))
 
 
-@query("a10_thread_counts", f"SELECT {_H.format('coalesce(first_reference, message_id)')} AS thread_id, count(*) AS n FROM th GROUP BY 1", "th")
+@query("a10_thread_counts", f"SELECT account_id, {_H.format('coalesce(first_reference, message_id)')} AS thread_id, count(*) AS n FROM th GROUP BY ALL", "th")
 def _(s, d):
     t = C.thread_id(F.col("in_reply_to"), F.col("references"), F.col("message_id"))
-    return X.threaded(s, d).groupBy(t.alias("thread_id")).agg(F.count("*").alias("n"))
+    return X.threaded(s, d).groupBy("account_id", t.alias("thread_id")).agg(F.count("*").alias("n"))
 
 
 _FACETS = "SELECT path, count(DISTINCT id) AS n FROM (SELECT id, unnest([regexp_extract(tag, '^/[^/]+'), tag]) AS path FROM (SELECT id, unnest(tags) AS tag FROM e)) GROUP BY 1"
@@ -245,17 +273,37 @@ def _(s, d):
     return X.accounts(s, d).agg(F.count("*").alias("n"))
 
 
-@query(
-    "a14_dashboard",
-    f"SELECT 'count' AS part, '' AS key, count(*) AS n FROM e UNION ALL SELECT 'size', '', sum(size)::BIGINT FROM e UNION ALL (SELECT 'sender', \"from\", count(*) FROM e GROUP BY ALL ORDER BY 3 DESC, 2 LIMIT 10) UNION ALL (SELECT 'account', CAST(account_id AS VARCHAR), count(*) FROM e GROUP BY account_id ORDER BY 3 DESC, account_id LIMIT 10) UNION ALL (SELECT 'largest', CAST(id AS VARCHAR), size FROM e ORDER BY size DESC, id LIMIT 10)",
-    "e",
-)
+@query("a13_scope_size", "SELECT u.id AS user_id, count(DISTINCT acc.id) AS n FROM u, acc WHERE u.id IN (7, 10) AND (u.id % 10 = 0 OR acc.id IN (a1, a2)) GROUP BY 1", "acc", "u")
+def _(s, d):
+    scope = access.read_scope(X.users(s, d), access.builtin_roles(s))
+    sizes = [access.scope_size(scope, X.accounts(s, d), k).select(F.lit(k).cast("bigint").alias("user_id"), "n") for k in (7, 10)]
+    return sizes[0].union(sizes[1]).where("n > 0")
+
+
+def _dashboard_sql(e: str, acc: str) -> str:
+    return (
+        f"SELECT 'count' AS part, '' AS key, count(*) AS n FROM {e} UNION ALL SELECT 'size', '', coalesce(sum(size), 0)::BIGINT FROM {e} UNION ALL SELECT 'with_attachment', '', count(*) FILTER (has_attachment) FROM {e} UNION ALL SELECT 'without_attachment', '', count(*) FILTER (NOT has_attachment) FROM {e} "
+        f"UNION ALL SELECT 'accounts', '', count(*) FROM {acc} UNION ALL SELECT 'stored', '', 0 UNION ALL SELECT 'activity', CAST(c.day AS VARCHAR), count(e.id) FROM (SELECT unnest(range({NOW // 86400000 - 30}, {NOW // 86400000 + 1})) * 86400000 AS day) c LEFT JOIN (SELECT * FROM {e} WHERE \"date\" BETWEEN {NOW - 30 * 86400000} AND {NOW}) e ON e.\"date\" // 86400000 * 86400000 = c.day GROUP BY c.day "
+        f"UNION ALL (SELECT 'sender', \"from\", count(*) FROM {e} GROUP BY ALL ORDER BY 3 DESC, 2 LIMIT 10) UNION ALL (SELECT 'account', CAST(account_id AS VARCHAR), count(*) FROM {e} GROUP BY account_id ORDER BY 3 DESC, account_id LIMIT 10) UNION ALL (SELECT 'largest', CAST(id AS VARCHAR), size FROM {e} ORDER BY size DESC, id LIMIT 10)"
+    )
+
+
+@query("a14_dashboard", _dashboard_sql("e", "acc"), "e", "acc")
 def _(s, d):
-    parts = aggregates.dashboard(X.envelopes(s, d), X.accounts(s, d), NOW)
-    rows = parts["scalars"].select(F.explode(F.array(F.struct(F.lit("count").alias("part"), F.lit("").alias("key"), F.col("email_count").alias("n")), F.struct(F.lit("size").alias("part"), F.lit("").alias("key"), F.col("total_size").alias("n")))).alias("x")).select("x.*")
-    for name, frame, key, n in (("sender", "senders", "from", "n"), ("account", "accounts", "account_id", "n"), ("largest", "largest", "id", "size")):
-        rows = rows.union(parts[frame].select(F.lit(name), F.col(key).cast("string"), F.col(n)))
-    return rows
+    return aggregates.dashboard_rows(aggregates.dashboard(X.envelopes(s, d), X.accounts(s, d), NOW))
+
+
+@query("a14_scoped_dashboard", ", se AS (SELECT * FROM e WHERE account_id IN (SELECT unnest([a1, a2]) FROM u WHERE id = 7)), sa AS (SELECT * FROM acc WHERE id IN (SELECT unnest([a1, a2]) FROM u WHERE id = 7)) " + _dashboard_sql("se", "sa"), "e", "acc", "u")
+def _(s, d):
+    scope = access.read_scope(X.users(s, d), access.builtin_roles(s))
+    mine = access.scoped(X.accounts(s, d).withColumn("account_id", F.col("id")), scope, 7).drop("account_id")
+    stored = eml.stored_bytes(s, d, scoped=True)
+    return aggregates.dashboard_rows(aggregates.dashboard(access.scoped(X.envelopes(s, d), scope, 7), mine, NOW, stored))
+
+
+@query("p18_stored_bytes")
+def _(s, d):
+    return eml.stored_bytes(s, d)
 
 
 @query("a15_activity_rollup", 'SELECT account_id, "from", count(*) AS n FROM e GROUP BY ROLLUP (account_id, "from")', "e")
@@ -271,11 +319,10 @@ def _(s, d):
     return S.with_names(X.envelopes(s, d), X.accounts(s, d), X.mailboxes(s, d)).select("id", "account_email", "mailbox_name")
 
 
-@query("j03_envelope_and_raw", "SELECT e.id, e.uid, length(r.text) AS n_chars FROM e JOIN (SELECT id, text FROM e WHERE uid % 2 = 0) r ON r.id = e.id", "e")
+@query("j03_envelope_and_raw", "SELECT id, uid, length(text) AS n_chars FROM e", "e")
 def _(s, d):
-    e = X.envelopes(s, d)
-    raw = e.where("uid % 2 = 0").select("id", "text")
-    return e.select("id", "uid").join(raw, "id").select("id", "uid", F.length("text").cast("bigint").alias("n_chars"))
+    raw = _raw(s, d).select("id", "eml")
+    return X.envelopes(s, d).select("id", "uid").join(raw, "id").select("id", "uid", F.length(F.decode("eml", "UTF-8")).cast("bigint").alias("n_chars"))
 
 
 for _name, _sql, _op in (
@@ -286,10 +333,10 @@ for _name, _sql, _op in (
     query(_name, _sql, "mb", "mr")(lambda s, d, op=_op: op(X.mailboxes_remote(s, d), X.mailboxes(s, d)).select("account_id", "name"))
 
 
-@query("o03_pruned_subscriptions", "SELECT account_id, name FROM mb WHERE id % 3 = 0 AND (account_id, name) IN (SELECT (account_id, name) FROM mr)", "mb", "mr")
+@query("o03_pruned_subscriptions", "SELECT account_id, name FROM mb WHERE \"exists\" > 2 AND (account_id, name) IN (SELECT (account_id, name) FROM mr)", "mb", "mr")
 def _(s, d):
     local, remote = X.mailboxes(s, d), X.mailboxes_remote(s, d)
-    subscribed = local.where("id % 3 = 0")
+    subscribed = local.where("exists > 2")
     return subscribed.join(folders.gone(remote, local), ["account_id", "name"], "left_anti").select("account_id", "name")
 
 
@@ -329,15 +376,16 @@ def _(s, d):
     return access.allowed(asked, u, access.builtin_roles(s))
 
 
-@query("r03_read_scope", "SELECT u.id AS user_id, acc.id AS account_id FROM u, acc WHERE u.id % 10 = 0 UNION SELECT id, unnest([a1, a2]) FROM u", "acc", "u")
+@query("r03_read_scope", "SELECT id AS user_id, NULL::BIGINT AS account_id, true AS everything FROM u WHERE id % 10 = 0 UNION SELECT id, unnest([a1, a2]), false FROM u", "u")
 def _(s, d):
-    return access.read_scope(X.users(s, d), access.builtin_roles(s), X.accounts(s, d))
+    return access.read_scope(X.users(s, d), access.builtin_roles(s))
 
 
-@query("r03_scoped_counts", "SELECT account_id, count(*) AS n FROM e WHERE account_id IN (SELECT unnest([a1, a2]) FROM u WHERE id = 7) GROUP BY 1", "e", "u")
+@query("r03_scoped_counts", "SELECT k.id AS user_id, account_id, count(*) AS n FROM e, (SELECT * FROM u WHERE id IN (7, 10)) k WHERE k.id % 10 = 0 OR account_id IN (a1, a2) GROUP BY ALL", "e", "u")
 def _(s, d):
-    scope = access.read_scope(X.users(s, d), access.builtin_roles(s), X.accounts(s, d))
-    return access.scoped(X.envelopes(s, d), scope, 7).groupBy("account_id").agg(F.count("*").alias("n"))
+    scope = access.read_scope(X.users(s, d), access.builtin_roles(s))
+    counts = [access.scoped(X.envelopes(s, d), scope, k).groupBy("account_id").agg(F.count("*").alias("n")).select(F.lit(k).cast("bigint").alias("user_id"), "account_id", "n") for k in (7, 10)]
+    return counts[0].union(counts[1])
 
 
 @query("r04_wrong_permissions", "SELECT id AS role_id, 'system:root' AS permission FROM u WHERE id % 2 = 1 UNION ALL SELECT id, 'data:read' FROM u WHERE id % 2 = 0", "u")
@@ -374,9 +422,9 @@ def _(s, d):
     return maintenance.latest(X.envelopes_all(s, d)).select("id", "uid", "size")
 
 
-@query("s05_raw_upsert", "SELECT id, sha256(text) AS eml_sha256 FROM e", "e")
+@query("s05_raw_upsert", "SELECT id, account_id, sha256(text) AS eml_sha256 FROM e", "e")
 def _(s, d):
-    return maintenance.latest(X.envelopes_all(s, d).select("id", "text", "seq")).select("id", F.sha2("text", 256).alias("eml_sha256"))
+    return _raw(s, d).select("id", "account_id", F.sha2("eml", 256).alias("eml_sha256"))
 
 
 @query("m02_m03_m04_current_view", f", {_ALIVE} SELECT id, account_id, uid FROM alive", "e")
@@ -416,7 +464,15 @@ def _(s, d):
 
 @query("s02_batch_report", "SELECT count(*) AS total, count(*) FILTER (doc_id % 9 <> 0) AS success, count(*) FILTER (doc_id % 9 = 0) AS failed FROM documents")
 def _(s, d):
-    return eml.batch_report(_messages(s, d).join(eml.parse(_messages(s, d)), "key"))
+    return eml.batch_report(eml.parse(_messages(s, d)))
+
+
+@query("s08_restored_bytes", "SELECT e.id, mb.name AS folder, 'ok' AS status, sha256(text) AS eml_sha256 FROM (SELECT * FROM e WHERE account_id = 1 ORDER BY id LIMIT 100) e JOIN mb ON mb.account_id = e.account_id AND mb.id = e.mailbox_id", "e", "mb")
+def _(s, d):
+    """A restore takes a hundred messages at most."""
+    e = X.envelopes(s, d)
+    ids = e.where("account_id = 1").select("id").orderBy("id").limit(eml.MOST_RESTORED)
+    return eml.restored(ids, e, _raw(s, d), X.mailboxes(s, d)).select("id", "folder", "status", F.sha2("eml", 256).alias("eml_sha256"))
 
 
 @query("s08_restore", "SELECT i.id, CASE WHEN i.id IS NOT NULL AND e.id IS NOT NULL THEN mb.name END AS folder, CASE WHEN e.id IS NULL THEN 'no_envelope' WHEN e.uid % 2 = 1 THEN 'no_raw' WHEN mb.id IS NULL THEN 'no_folder' ELSE 'ok' END AS status FROM (SELECT DISTINCT id + CASE WHEN uid % 5 = 0 THEN 1 ELSE 0 END AS id FROM e) i LEFT JOIN e ON e.id = i.id LEFT JOIN (SELECT * FROM mb WHERE id % 3 <> 0) mb ON mb.account_id = e.account_id AND mb.id = e.mailbox_id", "e", "mb")
@@ -491,6 +547,19 @@ def _(s, d):
     return eml.attachments(_with_attachment(s, d)).select("id", "filename", "mime", "size")
 
 
+@query("p11_nested_mail", "SELECT doc_id AS key, 'outer ' || lang AS text, 'fwd.eml' AS attachments, 'Subject: inner' AS inner_head, md5(text) AS inner_text FROM documents")
+def _(s, d):
+    """An HTML message with a text message attached: its own text is that of the HTML, and the other one is an attachment."""
+    inner = F.concat(F.lit("Subject: inner\r\nContent-Type: text/plain\r\n\r\n"), F.md5("text"))
+    head = F.lit('Subject: x\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="o"\r\n\r\n--o\r\nContent-Type: text/html\r\n\r\n<p>outer ')
+    raw = F.concat(head, "lang", F.lit('</p>\r\n--o\r\nContent-Type: message/rfc822\r\nContent-Disposition: attachment; filename="fwd.eml"\r\n\r\n'), inner, F.lit("\r\n--o--\r\n"))
+    docs = X.table(s, d, "documents").select(F.col("doc_id").alias("key"), F.lit(1).cast("bigint").alias("account_id"), F.lit("INBOX").alias("mailbox"), F.encode(raw, "UTF-8").alias("eml"))
+    own = eml.envelopes(docs).select("key", "text", F.array_join("attachments", ",").alias("attachments"))
+    part = eml.attachments(docs.withColumnRenamed("key", "id")).select(F.col("id").alias("key"), F.decode("data", "UTF-8").alias("data"))
+    lines = F.split(F.replace("data", F.lit("\r"), F.lit("")), "\n")
+    return own.join(part, "key").select("key", "text", "attachments", F.get(lines, F.lit(0)).alias("inner_head"), F.get(lines, F.lit(3)).alias("inner_text"))
+
+
 @query("s07_attachment_bytes", "SELECT doc_id AS id, sha256(text) AS data_sha256 FROM documents WHERE doc_id = 17")
 def _(s, d):
     return eml.attachment(_with_attachment(s, d), 1, 17, "email17_attachment0").select("id", F.sha2("data", 256).alias("data_sha256"))
@@ -549,11 +618,67 @@ def _(s, d):
     return eml.batch_report(eml.envelopes(coded.withColumn("eml", eml.from_base64(F.col("coded"))).drop("coded")))
 
 
-@query("s06_export", "SELECT doc_id AS id, md5(text) || '@fixture' AS message_id FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 2 = 0")
+@query("s06_export", "SELECT id, sha256(text) AS eml_sha256 FROM e WHERE id IN (SELECT id FROM ea WHERE has_attachment)", "e")
 def _(s, d):
-    """Raw messages of a set of ids, as they would go out; their own ids show that the bytes are theirs."""
-    raw = _messages(s, d).where("eml is not null and key % 2 = 0").select(F.col("key").alias("id"), "eml")
-    return raw.select("id", F.regexp_extract(F.decode("eml", "UTF-8"), "Message-ID: <([^>]*)>", 1).alias("message_id"))
+    """Raw messages of a set of ids, written out and read again."""
+    wanted = X.envelopes_all(s, d).where("has_attachment").select("id")
+    return eml.export(_raw(s, d), scratch(s, "export"), wanted).select("id", F.sha2("eml", 256).alias("eml_sha256"))
+
+
+@query(
+    "s01_import_rules",
+    "SELECT CASE WHEN a.enabled IS NULL THEN 'unknown account' WHEN NOT a.enabled THEN 'disabled account' WHEN a.id % 2 = 0 AND lang = 'es' THEN 'unknown folder' WHEN doc_id % 9 = 0 THEN 'missing body' ELSE 'ok' END AS outcome, count(*) AS n FROM (SELECT *, CAST(substr(source, 4) AS BIGINT) AS account_id FROM documents) d LEFT JOIN acc a ON a.id = d.account_id GROUP BY 1 "
+    "UNION ALL SELECT 'new folders', count(*) FROM (SELECT DISTINCT account_id, lang FROM (SELECT *, CAST(substr(source, 4) AS BIGINT) AS account_id FROM documents) d JOIN acc a ON a.id = d.account_id WHERE a.enabled AND a.id % 2 = 1 AND lang = 'es') HAVING count(*) > 0",
+    "acc",
+)
+def _(s, d):
+    """Accounts with even numbers are synced; no account has a folder es yet."""
+    coded = F.translate(F.base64("eml"), "+/\r\n", "-_")
+    batch = _messages(s, d).select("key", "account_id", "mailbox", coded.alias("coded"))
+    accounts = X.accounts(s, d).withColumn("synced", F.col("id") % 2 == 0)
+    folder = X.table(s, d, "documents").select(F.substring("source", 4, 9).cast("bigint").alias("account_id"), F.col("lang").alias("name")).where("name <> 'es'").distinct()
+    rows, made = eml.imported(batch, accounts, folder)
+    counted = rows.groupBy(F.coalesce("error", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n"))
+    return counted.union(made.agg(F.count("*").alias("n")).select(F.lit("new folders"), "n").where("n > 0"))
+
+
+def _landed(s, d):
+    """Documents as a landing folder of pulled messages."""
+    path = scratch(s, "landing")
+    _messages(s, d).select("account_id", "mailbox", F.col("key").alias("uid"), (F.col("key") * 1000).alias("internal_date"), F.lit(None).cast("bigint").alias("size"), F.col("eml").alias("body"), F.col("key").alias("seq")).write.parquet(path)
+    return path
+
+
+@query("s03_pulled_batch", f"SELECT doc_id AS uid, {_H.format('account_id || ' + repr(':') + ' || md5(text) || ' + repr('@fixture'))} AS id, doc_id * 1000 AS internal_date, sha256(text) AS text_sha256 FROM (SELECT *, CAST(substr(source, 4) AS BIGINT) AS account_id FROM documents) WHERE doc_id % 9 <> 0")
+def _(s, d):
+    good, _ = eml.split_errors(stream.pulled(stream.landed(s, _landed(s, d))))
+    return good.select("uid", "id", "internal_date", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("t01_t02_streamed_logs", f"SELECT {_H.format('account_id || ' + repr(':') + ' || md5(text) || ' + repr('@fixture'))} AS id, max(doc_id) AS uid FROM (SELECT *, CAST(substr(source, 4) AS BIGINT) AS account_id FROM documents) WHERE doc_id % 9 <> 0 GROUP BY 1")
+def _(s, d):
+    root = scratch(s, "logs")
+    stream.run(s, _landed(s, d), root).awaitTermination()
+    return maintenance.current(stream.written(s, root, "envelopes")).select("id", "uid")
+
+
+@query("t06_planned_rows", f"SELECT d.uid FROM (SELECT *, doc_id AS uid, CAST(substr(source, 4) AS BIGINT) AS account_id FROM documents) d JOIN acc ON acc.id = d.account_id LEFT JOIN (SELECT account_id, mailbox_id, max(uid) AS m FROM ea WHERE uid < 150 GROUP BY ALL) h ON h.account_id = d.account_id AND h.mailbox_id = {_H.format('d.account_id || ' + repr(':') + ' || d.lang')} WHERE enabled AND (acc.id % 3 = 0 OR acc.id % 5 <> 1 AND acc.id * 600000 > sync_interval_min * 60000 AND d.uid > coalesce(m, -1))", "ea", "acc")
+def _(s, d):
+    high = aggregates.max_uid(X.envelopes_all(s, d).where("uid < 150"))
+    return stream.planned(stream.landed(s, _landed(s, d)), X.accounts(s, d), _state(s, d), high, NOW).select("uid")
+
+
+@query("t07_error_state", "SELECT user_id AS account_id, event_id FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 30")
+def _(s, d):
+    """The state that a stream of error events leaves behind; its batch twin is i11."""
+    path, out = scratch(s, "errors"), scratch(s, "error-state")
+    e = X.table(s, d, "events").where("event_type = 'error'")
+    e.select(F.col("user_id").alias("account_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.format_string("%012d", "event_id").alias("error")).repartition(4).write.parquet(path)
+    events = s.readStream.schema("account_id bigint, at bigint, error string").option("maxFilesPerTrigger", 2).parquet(path)
+    keep = lambda rows, k: rows.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/part={k}")
+    stream.error_state(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", scratch(s, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    last = maintenance.latest(s.read.parquet(out), "account_id", "batch")
+    return last.select("account_id", F.explode("error").alias("error")).select("account_id", F.col("error").cast("bigint").alias("event_id"))
 
 
 @query("r05_user_summaries", "SELECT id AS user_id, CASE WHEN id % 10 = 0 THEN 'admin' WHEN id % 3 = 0 THEN 'Unknown Role,member' END AS global_roles, 2 AS n_accounts FROM u", "u")
@@ -580,6 +705,11 @@ def _(s, d):
     return folders.selected(X.mailboxes_remote(s, d)).select("account_id", "name")
 
 
+@query("i02_accounts_without_folder", "SELECT DISTINCT account_id FROM mr WHERE account_id NOT IN (SELECT account_id FROM (SELECT *, bool_or(subscribed) OVER (PARTITION BY account_id) AS any_one FROM mr WHERE lower(flag) <> '\\noselect') WHERE CASE WHEN any_one THEN subscribed ELSE lower(name) = 'inbox' OR lower(flag) = '\\sent' END)", "mr")
+def _(s, d):
+    return folders.without_folder(X.mailboxes_remote(s, d)).select("account_id")
+
+
 @query("i03_reconcile_plan", "SELECT coalesce(mr.account_id, mb.account_id) AS account_id, coalesce(mr.name, mb.name) AS name, CASE WHEN mr.account_id IS NULL THEN 'keep' WHEN mb.account_id IS NULL AND mr.\"exists\" > 0 THEN 'load' WHEN mb.account_id IS NULL THEN 'create' WHEN mr.uid_validity IS NULL THEN 'skip' WHEN mr.uid_validity = mb.uid_validity THEN 'incremental' ELSE 'rebuild' END AS action FROM mr FULL JOIN mb ON mb.account_id = mr.account_id AND mb.name = mr.name", "mb", "mr")
 def _(s, d):
     return folders.plan(X.mailboxes_remote(s, d), X.mailboxes(s, d))
@@ -597,6 +727,13 @@ def _(s, d):
     return day.select("day", ingest.window_bound(F.col("day"), 10, "days").alias("ten_days"), ingest.window_bound(F.col("day"), 3, "months").alias("three_months"), ingest.window_bound(F.col("day"), 2, "years").alias("two_years"))
 
 
+@query("i05_messages_in_windows", 'SELECT id, \'since\' AS window FROM e WHERE "date" >= epoch_ms(DATE \'2024-01-10\') UNION ALL SELECT id, \'before\' FROM e WHERE "date" < epoch_ms(DATE \'2024-01-11\')', "e")
+def _(s, d):
+    e, now = X.envelopes(s, d).select("id", "date"), datetime.date(2024, 1, 31)
+    since = ingest.in_window(e, now, since={"fixed": "2024-01-10"}).select("id", F.lit("since").alias("window"))
+    return since.union(ingest.in_window(e, now, before={"amount": 20, "unit": "days"}).select("id", F.lit("before")))
+
+
 @query("i06_load_size", 'SELECT account_id, name, CASE WHEN 30 < "exists" THEN least("exists", 100) ELSE "exists" END AS n FROM mb', "mb")
 def _(s, d):
     return X.mailboxes(s, d).select("account_id", "name", ingest.load_size(F.col("exists"), 30).cast("bigint").alias("n"))

@@ -2,32 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
+from ..operators.search import Search, condition
 
+BUCKETS = 64
 _FIELDS = {"subject": F.col, "text": F.col, "attachments": lambda c: F.array_join(c, "\n")}
 
 
 def postings(envelopes: DataFrame) -> DataFrame:
-    """(token, id, field, positions); partial sums keep frequent tokens spread over tasks by id."""
-    parts = [envelopes.select("id", F.lit(name).alias("field"), F.posexplode(tokens(text(name))).alias("position", "token")) for name, text in _FIELDS.items()]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy("token", "id", "field").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    """(token, id, field, positions): places of a token among those of all fields, one field after the other."""
+    before, parts = F.lit(0), []
+    for name, text in _FIELDS.items():
+        found = tokens(text(name))
+        place = F.struct(F.lit(name).alias("field"), before.alias("before"), found.alias("tokens"))
+        parts.append(place)
+        before = before + F.size(found)
+    rows = envelopes.select("id", F.inline(F.array(*parts))).select("id", "field", "before", F.posexplode("tokens").alias("k", "token"))
+    return rows.groupBy("token", "id", "field").agg(F.array_sort(F.collect_list(F.col("before") + F.col("k"))).alias("positions"))
+
 
+def _part(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
-def write(envelopes: DataFrame, path: str, buckets: int = 64) -> None:
-    """An index in parts by a hash of the token, sorted by token, so that a look-up opens one part and few row groups."""
-    rows = postings(envelopes).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+
+def write(envelopes: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """An index in parts by a hash of the token (parts: how many), sorted by token, so that a look-up opens one part and few row groups."""
+    rows = postings(envelopes).withColumns({"parts": F.lit(buckets), "part": _part(F.col("token"), buckets)})
     rows.repartition(buckets, "part", F.pmod("id", F.lit(8))).sortWithinPartitions("part", "token").write.option("compression", "zstd").partitionBy("part").parquet(path)
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def looked_up(index: DataFrame, words: list[str]) -> DataFrame:
+    """Rows of the words; of an index on disk only their parts are opened."""
+    rows = index.where(F.col("token").isin(words))
+    if "part" in index.columns and (first := index.select("parts").first()):
+        buckets = first["parts"]
+        rows = rows.where(F.col("part").isin([p for (p,) in index.sparkSession.createDataFrame([(w,) for w in words], "w string").select(_part(F.col("w"), buckets)).distinct().collect()]))
+    return rows
+
+
+def _words(spark: SparkSession, text: str) -> list[str]:
+    return spark.range(1).select(tokens(F.lit(text))).first()[0]
+
+
 def with_all(index: DataFrame, words: list[str]) -> DataFrame:
     """Ids of the messages that hold all the words."""
     wanted = sorted(set(words))
-    return index.where(F.col("token").isin(wanted)).select("id", "token").distinct().groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("id")
+    return looked_up(index, wanted).select("id", "token").distinct().groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("id")
+
+
+def with_any(index: DataFrame, words: list[str]) -> DataFrame:
+    return looked_up(index, sorted(set(words))).select("id").distinct()
+
+
+def with_phrase(index: DataFrame, words: list[str]) -> DataFrame:
+    """Ids of the messages in which the words follow one another: for each place of a word, where the phrase would begin."""
+    offsets = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for k, w in enumerate(words)])
+    rows = looked_up(index, sorted(set(words))).select("id", "positions", F.explode(F.filter(offsets, lambda o: o["w"] == F.col("token"))).alias("o"))
+    begins = rows.select("id", "o.k", F.explode("positions").alias("at")).select("id", "k", (F.col("at") - F.col("k")).alias("begin"))
+    return begins.groupBy("id", "begin").agg(F.count_distinct("k").alias("n")).where(F.col("n") == len(words)).select("id").distinct()
 
 
 def found(envelopes: DataFrame, index: DataFrame, words: list[str]) -> DataFrame:
     return envelopes.join(with_all(index, words), "id", "left_semi")
+
+
+def search(envelopes: DataFrame, index: DataFrame, criteria: Search, accounts: list[int] | None = None) -> DataFrame:
+    """What the scan of search() finds, with full-text criteria answered by the index; bodies are not read."""
+    spark, c = envelopes.sparkSession, criteria
+    rest = Search(**{**vars(c), "all_words": None, "any_words": None, "no_words": None, "phrase": None})
+    rows = envelopes.where(condition(rest, accounts))
+    wanted = [how(index, words) for how, text in ((with_all, c.all_words), (with_any, c.any_words), (with_phrase, c.phrase)) if text and (words := _words(spark, text))]
+    rows = reduce(lambda r, ids: r.join(ids, "id", "left_semi"), wanted, rows)
+    return rows.join(with_any(index, words), "id", "left_anti") if c.no_words and (words := _words(spark, c.no_words)) else rows

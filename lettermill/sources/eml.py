@@ -15,15 +15,22 @@ from email.header import decode_header, make_header
 from email.utils import getaddresses, parsedate_to_datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from ..functions.columns import default_message_id, embedded_images, scoped_id, thread_id
+from ..operators.maintenance import restore_status
 from ..schemas import ATTACHMENTS
 
-PARSED = "key bigint, error string, message_id string, in_reply_to string, `references` array<string>, subject string, `from` string, `to` array<string>, cc array<string>, bcc array<string>, date bigint, plain string, html string, attachments array<string>"
+PARSED = "error string, message_id string, in_reply_to string, `references` array<string>, subject string, `from` string, `to` array<string>, cc array<string>, bcc array<string>, date bigint, plain string, html string, attachments array<string>"
+_LISTS = ("references", "to", "cc", "bcc", "attachments")
+_NAMES = ("error", "message_id", "in_reply_to", "references", "subject", "from", "to", "cc", "bcc", "date", "plain", "html", "attachments")
+_ARROW = pa.schema([(n, pa.list_(pa.string()) if n in _LISTS else pa.int64() if n == "date" else pa.string()) for n in _NAMES])
+#: Messages that a restore takes at most.
+MOST_RESTORED = 100
 _DROPPED = re.compile(r"(?is)<(script|style|head)\b.*?</\1>|<!--.*?-->")
 _EDGE = re.compile(r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|footer|header|blockquote|pre|hr)\b[^>]*>")
 
@@ -95,13 +102,31 @@ def _file_name(part, key: int, offset: int) -> str:
     return part.get_filename() or f"email{key}_attachment{offset}"
 
 
+def _parts(message) -> Iterator:
+    """The parts of a message that hold something, in order; what is attached as a message is one part, whatever is in it."""
+    wait = [message]
+    while wait:
+        part = wait.pop()
+        if part.is_multipart() and part.get_content_maintype() != "message":
+            wait += reversed(part.get_payload())
+        else:
+            yield part
+
+
 def _is_attachment(part) -> bool:
-    return not part.is_multipart() and (part.get_filename() is not None or part.get_content_disposition() == "attachment" or part.get_content_maintype() not in ("text", "multipart"))
+    return part.get_filename() is not None or part.get_content_disposition() == "attachment" or part.get_content_maintype() not in ("text", "multipart")
+
 
+def _data(part) -> bytes:
+    """The bytes of a part; of an attached message, that message."""
+    if part.is_multipart():
+        return b"".join(p.as_bytes() for p in part.get_payload())
+    return part.get_payload(decode=True) or b""
 
-def parsed_row(key: int, raw: bytes | None) -> dict:
+
+def parsed_row(raw: bytes | None) -> dict:
     """One message; error tells why there is nothing else."""
-    row = dict.fromkeys(("message_id", "in_reply_to", "subject", "from", "date", "plain", "html", "error")) | {"key": key, "references": [], "to": [], "cc": [], "bcc": [], "attachments": []}
+    row = {n: [] if n in _LISTS else None for n in _NAMES}
     if not raw:
         return row | {"error": "missing body"}
     try:
@@ -119,35 +144,48 @@ def parsed_row(key: int, raw: bytes | None) -> dict:
         row["references"] = re.findall(r"<([^<>\s]+)>", str(message.get("References", "")))
         sender = _addresses(message, "From")
         row |= {"subject": _subject(message), "from": sender[0] if sender else "unknown", "to": _addresses(message, "To"), "cc": _addresses(message, "Cc"), "bcc": _addresses(message, "Bcc")}
-        parts = [p for p in message.walk() if not p.is_multipart()]
+        parts = list(_parts(message))
         bodies = [p for p in parts if not _is_attachment(p)]
         row["plain"] = next((_text(p) for p in bodies if p.get_content_type() == "text/plain"), None)
         row["html"] = next((_text(p) for p in bodies if p.get_content_type() == "text/html"), None)
         row["attachments"] = [p.get_filename() for p in parts if _is_attachment(p) and p.get_filename()]
+        _writable(row)
     except Exception as e:  # one bad message is a quarantine row, whatever is wrong with it
-        return row | {"error": f"{type(e).__name__}: {e}"}
+        return {n: [] if n in _LISTS else None for n in _NAMES} | {"error": f"{type(e).__name__}: {e}"}
     return row
 
 
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.strip().split(" ")[0].strip("`") for c in PARSED.replace("array<string>", "x").split(",")]
+def _writable(row: dict) -> None:
+    """Puts marks in the place of bytes that no charset explains, so that every text can be written as UTF-8."""
+    clean = lambda x: x.encode("utf-8", "replace").decode() if isinstance(x, str) else x
+    for n, x in row.items():
+        row[n] = [clean(y) for y in x] if isinstance(x, list) else clean(x)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pd.DataFrame([parsed_row(int(k), None if b is None else bytes(b)) for k, b in zip(batch["key"], batch["eml"])], columns=columns)
+        rows = pa.RecordBatch.from_pylist([parsed_row(b) for b in batch.column("eml").to_pylist()], schema=_ARROW)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *rows.columns], names=[*batch.schema.names, *rows.schema.names])
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Parsed headers and bodies of messages (key, eml)."""
-    return messages.select("key", "eml").mapInPandas(_parsed, PARSED)
+    """messages, with a column eml, and their parsed headers and bodies; all columns that parsing doesn't make come along."""
+    own = messages.drop(*_NAMES)
+    return own.mapInArrow(_parsed, StructType(own.schema.fields + StructType.fromDDL(PARSED).fields))
 
 
 def envelopes(messages: DataFrame, imported: bool = True) -> DataFrame:
-    """Envelope rows, and error where there is none, for messages (key, account_id, mailbox, eml; pulled ones also uid, internal_date, size)."""
+    """Envelope rows, and error where there is none, for messages (key, account_id, mailbox, eml; pulled ones also uid, internal_date, size).
+
+    refused, where messages has it, is the error of a row that is not to be parsed; seq comes along.
+    """
     eml_size = F.octet_length("eml").cast("bigint")
-    rows = messages.join(parse(messages), "key")
+    rows = parse(messages)
     message_id = default_message_id(F.col("message_id"), F.col("eml"))
+    error = F.coalesce("refused", "error").alias("error") if "refused" in messages.columns else F.col("error")
     return rows.select(
         "key",
-        "error",
+        error,
         scoped_id(F.col("account_id"), message_id).alias("id"),
         "account_id",
         scoped_id(F.col("account_id"), F.col("mailbox")).alias("mailbox_id"),
@@ -167,9 +205,26 @@ def envelopes(messages: DataFrame, imported: bool = True) -> DataFrame:
         (F.size("attachments") > 0).alias("has_attachment"),
         F.array().cast("array<string>").alias("tags"),
         "eml",
+        *[c for c in ("seq",) if c in messages.columns],
     )
 
 
+def imported(batch: DataFrame, accounts: DataFrame, mailboxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Envelope rows of a batch (key, account_id, mailbox, coded: URL-safe base64), and the folders (account_id, id, name, delimiter) that it makes.
+
+    accounts: id, enabled, synced. Messages of unknown and disabled accounts are refused, and so are those for a folder that a
+    synced account does not have; other accounts get their folder. Refused and broken messages have an error.
+    """
+    a = accounts.select(F.col("id").alias("account_id"), "enabled", "synced")
+    known = mailboxes.select("account_id", F.col("name").alias("mailbox"), F.lit(True).alias("known")).distinct()
+    rows = batch.join(a, "account_id", "left").join(known, ["account_id", "mailbox"], "left")
+    refused = F.when(F.col("enabled").isNull(), "unknown account").when(~F.col("enabled"), "disabled account").when(F.col("synced") & F.col("known").isNull(), "unknown folder")
+    broken = F.when(F.col("coded").isNotNull() & F.col("eml").isNull(), "invalid base64")
+    taken = rows.withColumn("eml", from_base64(F.col("coded"))).withColumn("refused", F.coalesce(refused, broken))
+    made = rows.where(refused.isNull() & F.col("known").isNull()).select("account_id", scoped_id(F.col("account_id"), F.col("mailbox")).alias("id"), F.col("mailbox").alias("name"), F.lit("/").alias("delimiter")).distinct()
+    return envelopes(taken.select("key", "account_id", "mailbox", "eml", "refused")), made
+
+
 def from_base64(column: Column) -> Column:
     """Bytes of URL-safe base64; null where it is not valid."""
     return F.try_to_binary(F.translate(column, "-_", "+/"), F.lit("base64"))
@@ -190,11 +245,11 @@ def _attachments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, raw in zip(batch["id"], batch["eml"]):
             try:
-                parts = [p for p in email.message_from_bytes(bytes(raw or b"")).walk() if _is_attachment(p)]
+                parts = [p for p in _parts(email.message_from_bytes(bytes(raw or b""))) if _is_attachment(p)]
             except Exception:  # such a message is in the quarantine of the envelopes already
                 continue
             for k, p in enumerate(parts):
-                data = p.get_payload(decode=True) or b""
+                data = _data(p)
                 cid = p.get("Content-ID")
                 rows.append((int(key), k, _file_name(p, int(key), k), p.get_content_type(), p.get_content_disposition() == "inline" or cid is not None, str(cid).strip("<>") if cid else None, len(data), data))
         yield pd.DataFrame(rows, columns=["id", "ordinal", "filename", "mime", "inline", "content_id", "size", "data"])
@@ -216,19 +271,28 @@ def content(raw: DataFrame) -> DataFrame:
     parts = attachments(raw).where("data is not null")
     inline = parts.where("inline and content_id is not null").groupBy("id").agg(F.collect_list(F.struct("content_id", "mime", "data")).alias("images"))
     listed = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "filename", "mime", "size"))).alias("attachments"))
-    bodies = parse(raw.select(F.col("id").alias("key"), "eml")).select(F.col("key").alias("id"), F.col("plain").alias("text"), "html")
+    bodies = parse(raw.select("id", "eml")).select("id", F.col("plain").alias("text"), "html")
     rows = bodies.join(inline, "id", "left").join(listed, "id", "left")
     return rows.select("id", "text", F.when(F.col("images").isNull(), F.col("html")).otherwise(embedded_images(F.col("html"), F.col("images"))).alias("html"), "attachments")
 
 
-def export(raw: DataFrame, path: str) -> None:
-    """Raw bytes by id, for a bulk download."""
-    raw.select("id", "eml").write.option("compression", "zstd").parquet(path)
+def export(raw: DataFrame, path: str, ids: DataFrame | None = None) -> DataFrame:
+    """Writes raw bytes by id, of all messages or of the ids (column id), for a bulk download; returns what was written."""
+    chosen = raw if ids is None else raw.join(ids.select("id").distinct(), "id", "left_semi")
+    chosen.select("id", "eml").write.option("compression", "zstd").parquet(path)
+    return raw.sparkSession.read.schema("id bigint, eml binary").parquet(path)
 
 
-def stored_bytes(spark, path: str) -> DataFrame:
-    """Bytes of all files below a path; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+def restored(ids: DataFrame, envelopes: DataFrame, raw: DataFrame, mailboxes: DataFrame) -> DataFrame:
+    """Folder, status and bytes of at most MOST_RESTORED asked messages; bytes only where the status is ok."""
+    n = ids.count()
+    if n > MOST_RESTORED:
+        raise ValueError(f"{n} messages to restore; at most {MOST_RESTORED} are taken at a time")
+    found = restore_status(ids, envelopes, raw, mailboxes).join(raw.select("id", "eml"), "id", "left")
+    return found.withColumn("eml", F.when(F.col("status") == "ok", F.col("eml")))
 
 
+def stored_bytes(spark, path: str, scoped: bool = False) -> DataFrame:
+    """Bytes of all files below a path, none for a caller who sees some accounts only; file contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lit(not scoped))
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

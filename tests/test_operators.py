@@ -45,6 +45,11 @@ def test_index_finds_what_the_scan_finds(spark, small, tmp_path):
     token_index.write(e, str(tmp_path / "index"), 4)
     index = spark.read.parquet(str(tmp_path / "index"))
     assert ids(token_index.found(e, index, ["the", "and"])) == ids(S.search(e, S.Search(all_words="the and"))) != []
+    first = e.where("size(split(text, ' ')) > 8").first()["text"].split()
+    for c in (S.Search(all_words="the and", no_words="of"), S.Search(any_words="licensed und"), S.Search(phrase=" ".join(first[2:5])), S.Search(phrase="the and of it", has_attachment=True), S.Search(no_words="the")):
+        assert ids(token_index.search(e, index, c)) == ids(S.search(e, c))
+    plan = token_index.looked_up(index, ["the"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [part" in plan
 
 
 def test_filters_reach_the_scan(spark, small, tmp_path):
@@ -65,10 +70,10 @@ def test_activity_fills_empty_days(spark, small):
 
 
 def test_uid_ranges(spark):
-    uids = [1, 2, 3, 5, 6, 7, 9, 10, 11, 15]
+    uids = [40, 4, 21, 22, 5, 23, 41, 8, 42, 43]
     rows = spark.createDataFrame([(1, 1, u) for u in uids], "account_id bigint, mailbox_id bigint, uid bigint")
-    got = {r["batch"]: r["uids"] for r in ingest.uid_ranges(ingest.uid_batches(rows, 6)).collect()}
-    assert got == {0: "1:3,5:7", 1: "9:11,15"}
+    got = {r["batch"]: r["uids"] for r in ingest.uid_ranges(ingest.uid_batches(rows, 4)).collect()}
+    assert got == {0: "4:5,8,21", 1: "22:23,40:41", 2: "42:43"}
 
 
 def test_errors_keep_the_last_thirty(spark):
@@ -82,18 +87,31 @@ def test_window_bounds(spark):
     assert got == [datetime.date(2024, 3, 30), datetime.date(2024, 2, 29), datetime.date(2023, 3, 31)]
     with pytest.raises(ValueError):
         ingest.window_bound(day, 1, "weeks")
+    now = datetime.date(2024, 3, 31)
+    for wrong in ({}, {"fixed": "2024-03-31"}, {"fixed": "1969-12-31"}, {"fixed": "31.3.2024"}, {"fixed": "2024-01-01", "amount": 1, "unit": "days"}, {"amount": 55, "unit": "years"}, {"amount": 700, "unit": "months"}, {"amount": 19_900, "unit": "days"}, {"amount": 0, "unit": "days"}):
+        with pytest.raises(ValueError):
+            ingest.first_day(now, **wrong)
+    for right in ({"fixed": "2024-03-30"}, {"fixed": "1970-01-01"}, {"amount": 54, "unit": "years"}, {"amount": 19_800, "unit": "days"}):
+        ingest.first_day(now, **right)
+    rows = spark.range(3).select(F.col("id").alias("date"))
+    for since, before in (({"fixed": "2024-01-01"}, {"amount": 1, "unit": "days"}), (None, {"fixed": "2024-01-01"})):
+        with pytest.raises(ValueError):
+            ingest.in_window(rows, now, since, before)
+    assert ingest.in_window(rows, now).count() == 3
 
 
 def log(spark, rows):
     return spark.createDataFrame(rows, "op string, seq bigint, id bigint, account_id bigint, mailbox_id bigint, b string, tags array<string>")
 
 
-def test_change_log(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_change_log(spark, most, monkeypatch):
     rows = [
         ("upsert", 1, 1, 1, 1, "one", []), ("upsert", 2, 2, 1, 1, "two", []), ("upsert", 3, 3, 1, 2, "three", []), ("upsert", 4, 3, 1, 2, "THREE", []),
         ("delete", 5, 2, None, None, None, None), ("delete_mailbox", 6, None, 1, 2, None, None), ("upsert", 7, 4, 1, 2, "later", []), ("delete_account", 8, None, 2, None, None, None), ("upsert", 7, 5, 2, 9, "gone", []),
     ]
     want = {1: "one", 4: "later"}
+    monkeypatch.setattr(maintenance, "MOST_SENT", most)
     for seen in (rows, rows[::-1], rows + rows[3:6]):
         assert {r["id"]: r["b"] for r in maintenance.current(log(spark, seen)).collect()} == want
     tags = spark.createDataFrame([(1, ["/x"], 9), (1, ["/y"], 8), (77, ["/z"], 9)], "id bigint, tags array<string>, seq bigint")
@@ -102,6 +120,8 @@ def test_change_log(spark):
 
 def test_compaction(spark, tmp_path):
     up = log(spark, [("upsert", 1, 1, 1, 1, "one", []), ("upsert", 2, 2, 1, 1, "two", []), ("delete", 3, 2, None, None, None, None)]).withColumn("date", F.lit(0).cast("bigint"))
+    maintenance.compact(up.withColumn("size", F.lit(5)), None, str(tmp_path / "sized"))
+    assert maintenance.snapshot(spark, str(tmp_path / "sized"))[0].count() == 1
     maintenance.compact(up, None, str(tmp_path))
     rows, seq = maintenance.snapshot(spark, str(tmp_path))
     assert (seq, [(r["id"], r["b"]) for r in rows.collect()]) == (3, [(1, "one")])
