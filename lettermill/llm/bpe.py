@@ -32,8 +32,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what is sent to every task besides the rank map.
 HOT_WORDS, HOT_BYTES = 1 << 18, 64
 #: Bytes of a word that are folded as a whole; bytes of a chunk of a longer one; pieces to either side that a seam is folded anew with.
-WHOLE_BYTES, CHUNK_BYTES, SEAMS = 64, 32, (2, 8)
-#: Pieces before a seam that are held back; more than any of SEAMS.
+WHOLE_BYTES, CHUNK_BYTES, SEAM = 64, 32, 8
+#: Pieces before a seam that are held back; more than SEAM.
 KEPT_PIECES = 16
 #: Powers of two.
 BUCKETS, PAIR_BUCKETS = 1 << 16, 1 << 17
@@ -87,9 +87,11 @@ class Ranks:
             raise ValueError("the ranks have gaps")
         names, ids = [p.decode("latin-1") for p in ranks], list(ranks.values())
         literal = spark.createDataFrame(pa.table({"key": pa.array(names), "value": pa.array(ids, pa.int32())})).withColumn("order", F.lit(0))
-        made = [(ranks[p[:k]], ranks[p[k:]], r) for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks]
-        pairs = spark.createDataFrame(pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("a", "b", "value"), zip(*made))}))
-        pairs = pairs.select(F.lit(0).alias("order"), _pair(F.col("a"), F.col("b")).alias("key"), "value")
+        # What each piece can be made of: Spark cuts it at all places and keeps the cuts of which both sides are pieces.
+        cuts = literal.select("value", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))), lambda k: F.struct(F.substring("key", F.lit(1), k).alias("a"), F.substring("key", k + 1, F.length("key")).alias("b")))).alias("cut"))
+        side = lambda name: literal.select(F.col("key").alias(f"{name} piece"), F.col("value").cast("bigint").alias(name))
+        both = cuts.join(side("a"), F.col("cut.a") == F.col("a piece")).join(side("b"), F.col("cut.b") == F.col("b piece"))
+        pairs = kept(both.select(F.lit(0).alias("order"), _pair(F.col("a"), F.col("b")).alias("key"), F.col("value").cast("bigint").alias("value")), "pairs")
         single = F.array(*[F.lit(ranks[bytes([b])]).cast("bigint") for b in range(256)])
         sizes = literal.agg(F.sort_array(F.collect_list(F.struct("value", F.length("key").alias("n")))).alias("all")).select(F.col("all.n")).scalar()
         self.ranks = spark.range(1).select(F.struct(_as_maps(literal, _bucket(F.col("key"), BUCKETS)).alias("whole"), _as_maps(pairs, _pair_bucket(F.col("key")), PAIR_BUCKETS).alias("pairs"), single.alias("bytes"), sizes.alias("sizes"))).scalar()
@@ -148,22 +150,18 @@ def _stitched(word: Column, ranks: Column) -> Column:
             a, b = F.slice(left, F.lit(-1), F.lit(1)), F.slice(right, F.lit(1), F.lit(1))
             return F.when((F.size(a) == 0) | (F.size(b) == 0), True).otherwise(_let(span(a), lambda n: anew(at - n, n + span(b)) == F.concat(a, b)))
 
-        def seam(k: int, left: Column, right: Column, at: Column, otherwise: Column) -> Column:
-            """Both, with k pieces to either side folded anew, where the two seams that this makes hold."""
-            head, tail = F.slice(left, F.lit(1), F.greatest(F.size(left) - k, F.lit(0))), F.slice(right, F.lit(k + 1), F.size(right))
-            sizes = F.struct(span(F.slice(left, F.greatest(F.size(left) - k + 1, F.lit(1)), F.lit(k))).alias("x"), span(F.slice(right, F.lit(1), F.lit(k))).alias("y"))
-            put = lambda z, m: F.when(holds(head, m, at - z["x"]) & holds(m, tail, at + z["y"]), F.concat(head, m, tail)).otherwise(otherwise)
+        def seam(left: Column, right: Column, at: Column) -> Column:
+            """Both, with SEAM pieces to either side folded anew, where the two seams that this makes hold; else null."""
+            head, tail = F.slice(left, F.lit(1), F.greatest(F.size(left) - SEAM, F.lit(0))), F.slice(right, F.lit(SEAM + 1), F.size(right))
+            sizes = F.struct(span(F.slice(left, F.greatest(F.size(left) - SEAM + 1, F.lit(1)), F.lit(SEAM))).alias("x"), span(F.slice(right, F.lit(1), F.lit(SEAM))).alias("y"))
+            put = lambda z, m: F.when(holds(head, m, at - z["x"]) & holds(m, tail, at + z["y"]), F.concat(head, m, tail))
             return _let(sizes, lambda z: _let(anew(at - z["x"], z["x"] + z["y"]), lambda m: put(z, m)))
 
         def joined(state: Column, at: Column) -> Column:
             """The state holds the pieces that are sure, in parts, and the last ones, which the next seam may touch; null where a seam fails."""
             left = state["last"]
 
-            def both(right: Column) -> Column:
-                out = F.lit(None).cast("array<bigint>")
-                for k in reversed(SEAMS):
-                    out = seam(k, left, right, at, out)
-                return F.when(holds(left, right, at), F.concat(left, right)).otherwise(out)
+            both = lambda right: F.when(holds(left, right, at), F.concat(left, right)).otherwise(seam(left, right, at))
 
             def moved(pieces: Column) -> Column:
                 full = F.size(pieces) > 4 * KEPT_PIECES
@@ -174,18 +172,19 @@ def _stitched(word: Column, ranks: Column) -> Column:
 
         begin = F.struct(F.array().cast("array<array<bigint>>").alias("sure"), F.array().cast("array<bigint>").alias("last"))
         found = F.aggregate(F.sequence(F.lit(0), F.size(numbers) - 1, F.lit(CHUNK_BYTES)), begin, joined, lambda state: F.when(state["last"].isNotNull(), F.flatten(F.concat(state["sure"], F.array(state["last"])))))
-        # No seam is known that needs more than the largest of SEAMS; the word would be folded as a whole then.
+        # No seam is known that needs more pieces; the word would be folded as a whole then.
         return F.coalesce(found, _merged(numbers, ranks))
 
     return _let(_numbers(word, ranks), whole)
 
 
-def fold_merges(word: Column, ranks: Column) -> Column:
-    """The ids of a word given as a byte string: ranked merges folded over its bytes."""
+def fold_merges(word: Column, ranks: Column, long: bool = True) -> Column:
+    """The ids of a word given as a byte string: ranked merges folded over its bytes. long: whether words of over WHOLE_BYTES come."""
 
     def folded(w: Column) -> Column:
-        short = F.when(F.length(w) <= WHOLE_BYTES, _merged(_numbers(w, ranks), ranks)).otherwise(_stitched(w, ranks))
-        return _let(_look_up(ranks["whole"], w), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(short.cast("array<int>")))
+        whole = _merged(_numbers(w, ranks), ranks)
+        found = F.when(F.length(w) <= WHOLE_BYTES, whole).otherwise(_stitched(w, ranks)) if long else whole
+        return _let(_look_up(ranks["whole"], w), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(found.cast("array<int>")))
 
     return _let(word, folded)
 
@@ -200,7 +199,7 @@ def hot_words(words: DataFrame, ranks: Column, most: int = HOT_WORDS) -> Column:
     hot = counts.where(most_frequent(counts, "word", "count", most))
     held = hot.repartition("word").withColumn(_RANKS, ranks)
     # What is met most often stands first, where a look-up finds it at once.
-    folded = held.select((-F.col("count")).alias("order"), F.col("word").alias("key"), _let(F.col(_RANKS), lambda r: fold_merges(byte_string(F.col("word")), r)).alias("value"))
+    folded = held.select((-F.col("count")).alias("order"), F.col("word").alias("key"), _let(F.col(_RANKS), lambda r: fold_merges(byte_string(F.col("word")), r, HOT_BYTES > WHOLE_BYTES)).alias("value"))
     return _as_maps(folded, _bucket(F.col("key"), BUCKETS))
 
 
