@@ -30,8 +30,9 @@ from .work import quoted, row_of, table
 
 WINDOW = 13
 SHARD_BYTES, SAMPLE = 4 << 20, 16
-#: Bytes of item texts that go to the tasks at a time; more items go in further blocks.
+#: Bytes of item texts that go to the tasks at a time (more items go in further blocks), and phrases that are searched together.
 ITEM_BYTES = 16 << 20
+PHRASES = 1 << 16
 #: A document is contaminated if one word in so many lies in a phrase.
 SHARE = 20
 
@@ -116,18 +117,11 @@ class FMIndex:
         return out
 
 
-def phrases_of(items: list[tuple], window: int = WINDOW) -> tuple[np.ndarray, pa.Array, dict[int, tuple[np.ndarray, np.ndarray]], list]:
-    """Distinct words of the items, and for each length the phrases as numbers of those words, with their items."""
+def phrases_of(items: list[tuple]) -> tuple[pa.Array, np.ndarray, np.ndarray, list]:
+    """Distinct words of the items, their texts as numbers of those words, how many words each item has, and their ids; tasks cut the phrases."""
     values, counts = T.words(*T.from_texts([text or "" for _, text in items]))
     codes, distinct = T.coded(values)
-    by_length: dict[int, list] = {}
-    ends = np.cumsum(counts)
-    for i, (n, end) in enumerate(zip(counts.tolist(), ends.tolist())):
-        own = codes[end - n : end]
-        if n:
-            m = min(n, window)
-            by_length.setdefault(m, []).append((np.lib.stride_tricks.sliding_window_view(own, m), np.full(n - m + 1, i)))
-    return distinct, {m: (np.concatenate([p for p, _ in parts]), np.concatenate([i for _, i in parts])) for m, parts in by_length.items()}, [i for i, _ in items]
+    return distinct, codes.astype(np.int32), counts, [i for i, _ in items]
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,17 +133,27 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[fresh], end[last]
 
 
-def _occurrences(index: FMIndex, known: pa.Array, block: tuple) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-    """(places, length, item numbers) of the phrases of a block that occur."""
-    words, by_length, _ = block
+def _occurrences(index: FMIndex, known: pa.Array, block: tuple, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, lengths, item numbers) of the phrases of a block that occur; PHRASES of them are searched at a time."""
+    words, codes, counts, _ = block
     number = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    for length, (phrases, items) in by_length.items():
-        wanted = number[phrases]
-        there = (wanted > 0).all(1)
-        lo, hi = index.intervals(wanted[there])
-        n = hi - lo
-        rows = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        yield index.places(rows), length, np.repeat(items[there], n)
+    own = number[codes]
+    length = np.minimum(counts, window)
+    n = np.where(counts > 0, counts - length + 1, 0)
+    item = np.repeat(np.arange(len(counts)), n)
+    begin = np.repeat(np.cumsum(counts) - counts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    # A phrase with a word that the shard doesn't have is not searched.
+    strange = np.append(0, np.cumsum(own == 0))
+    there = strange[begin + length[item]] == strange[begin]
+    begin, item = begin[there], item[there]
+    for m in np.unique(length[item]).tolist():
+        of = np.flatnonzero(length[item] == m)
+        for k in range(0, len(of), PHRASES):
+            some = of[k : k + PHRASES]
+            lo, hi = index.intervals(own[begin[some][:, None] + np.arange(m)])
+            met = hi - lo
+            rows = np.repeat(lo - (np.cumsum(met) - met), met) + np.arange(met.sum())
+            yield index.places(rows), np.full(len(rows), m), np.repeat(item[some], met)
 
 
 def _lists(owner: np.ndarray, n_rows: int, values: pa.Array) -> pa.Array:
@@ -157,7 +161,7 @@ def _lists(owner: np.ndarray, n_rows: int, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n_rows + 1)).astype(np.int32)), values)
 
 
-def _searched(batches: Iterator[pa.RecordBatch], blocks: list) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], blocks: list, window: int) -> Iterator[pa.RecordBatch]:
     for step in T.steps(batches, "text", SHARD_BYTES):
         words, counts = T.words(*T.utf8(step.column("text")))
         codes, known = T.coded(words)
@@ -171,12 +175,12 @@ def _searched(batches: Iterator[pa.RecordBatch], blocks: list) -> Iterator[pa.Re
         begins, finishes, hit_docs, hit_items = [], [], [], []
         for block in blocks:
             content = block.value
-            for places, length, items in _occurrences(index, known, content):
+            for places, length, items in _occurrences(index, known, content, window):
                 begins.append(places)
                 finishes.append(places + length)
                 doc = np.searchsorted(ends, places, "right")
                 pairs = np.unique(np.stack([doc, items]), axis=1) if len(doc) else np.empty((2, 0), np.int64)
-                ids = [content[2][i] for i in pairs[1].tolist()]
+                ids = [content[3][i] for i in pairs[1].tolist()]
                 hit_docs += [d for d, i in zip(pairs[0].tolist(), ids) if i is not None]
                 hit_items += [i for i in ids if i is not None]
             if len(blocks) > 1:
@@ -190,13 +194,13 @@ def _searched(batches: Iterator[pa.RecordBatch], blocks: list) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([step.column("id"), pa.array(counts.astype(np.int64)), _lists(owner, m, spans), items, *[step.column(c) for c in step.schema.names[2:]]], names=["id", "n_words", "spans", "items", *step.schema.names[2:]])
 
 
-def _blocks(items: DataFrame, id_column: str, text_column: str, window: int) -> list:
-    """Broadcast blocks of phrases, each made from about ITEM_BYTES of item texts."""
+def _blocks(items: DataFrame, id_column: str, text_column: str) -> list:
+    """Broadcast blocks of items, each of about ITEM_BYTES of texts, as word numbers."""
     spark = items.sparkSession
     source = items.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).distinct()
     n = -(-int(source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // ITEM_BYTES) or 1
     block = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    return [spark.sparkContext.broadcast(phrases_of([(r["id"], r["text"]) for r in source.where(block == k).collect()], window)) for k in range(n)]
+    return [spark.sparkContext.broadcast(phrases_of([(r["id"], r["text"]) for r in source.where(block == k).collect()])) for k in range(n)]
 
 
 def phrase_spans(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] = ()) -> DataFrame:
@@ -204,10 +208,10 @@ def phrase_spans(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", t
 
     Columns of docs named in keep, none of them n_words, spans or items, come along.
     """
-    blocks = _blocks(items, item_column, item_text, window)
+    blocks = _blocks(items, item_column, item_text)
     source = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"), *[F.col(quoted(c)).alias(f"kept {c}") for c in keep])
     schema = StructType.fromDDL("id bigint, n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<bigint>")
-    found = source.mapInArrow(partial(_searched, blocks=blocks), StructType(schema.fields + source.schema.fields[2:]))
+    found = source.mapInArrow(partial(_searched, blocks=blocks, window=window), StructType(schema.fields + source.schema.fields[2:]))
     return found.select(F.col("id").alias(id_column), "n_words", "spans", "items", *[F.col(quoted(f"kept {c}")).alias(c) for c in keep])
 
 

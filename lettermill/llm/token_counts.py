@@ -146,7 +146,7 @@ def _postings(batches: Iterator[pa.RecordBatch], path: str, hot: Broadcast) -> I
 def _pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = batch.column("word").cast(pa.large_binary())
-        yield pa.RecordBatch.from_arrays([words, batch.column("n"), pa.array(encoder(path).ids(words)[1])], names=["word", "n", "n_pieces"])
+        yield pa.RecordBatch.from_arrays([words, batch.column("n"), pa.array(encoder(path).encoded(words)[1])], names=["word", "n", "n_pieces"])
 
 
 def _sums(rows: pa.Table) -> pa.Table:

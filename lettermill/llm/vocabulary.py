@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pre-tokens whose ids a worker keeps at most, unless one call brings more.
 KEPT_WORDS = 400_000
@@ -42,56 +43,38 @@ def pretoken_tokenizer(path: str):
     return Tokenizer.from_str(json.dumps(spec))
 
 
-class _Known:
-    """Words with their ids, one after the other."""
-
-    def __init__(self):
-        self.places: dict[bytes, int] = {}
-        self.flat, self.sizes, self.used = np.empty(1 << 19, np.uint32), np.empty(1 << 17, np.int64), 0
-
-    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.places)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.append(self.flat, np.empty_like(self.flat))
-        while n + len(words) > len(self.sizes):
-            self.sizes = np.append(self.sizes, np.empty_like(self.sizes))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.sizes[n : n + len(words)] = sizes
-        self.used += len(ids)
-        self.places.update(zip(words, range(n, n + len(words))))
-
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        places = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[: len(self.places)]
-        return spread(self.flat, sizes, places), sizes[places]
-
-
 class PretokenEncoder:
-    """Ids of distinct pre-tokens; those met lately come from a bounded memory of two parts, the older of which goes when the newer is full."""
+    """Ids of distinct pre-tokens; those met before come from a bounded memory, from which the ones met longest ago go first."""
 
     def __init__(self, path: str):
         self.tokenizer = pretoken_tokenizer(path)
-        self.new, self.old = _Known(), _Known()
+        self.known, self.flat, self.sizes, self.met, self.calls = pa.array([], pa.large_binary()), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes words in parts, each as one sequence of pre-tokens."""
+    def encoded(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all values one after the other, and how many each has, without the memory; in parts, each as one sequence of pre-tokens."""
+        words, ids, sizes = values.cast(pa.large_string()).to_pylist(), [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for at in range(0, len(words), 8192):
             part = words[at : at + 8192]
-            coded = self.tokenizer.encode([w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
-            self.new.add(part, np.array(coded.ids, np.uint32), np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)))
+            coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(coded.ids, np.uint32))
+            sizes.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def ids(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all values (distinct ones) one after the other, and how many each has."""
-        keys = values.to_pylist()
-        missing = [k for k in keys if k not in self.new.places]
-        if len(self.new.places) + len(missing) > KEPT_WORDS // 2:
-            self.new, self.old, missing = _Known(), self.new, keys
-        again = [k for k in missing if k in self.old.places]
-        if again:
-            self.new.add(again, *self.old.ids(again))
-            missing = [k for k in missing if k not in self.old.places]
-        self._learn(missing)
-        return self.new.ids(keys)
+        self.calls += 1
+        if len(self.known) > KEPT_WORDS:
+            lately = np.flatnonzero(self.met > np.median(self.met))
+            self.flat = spread(self.flat, self.sizes, lately)
+            self.known, self.sizes, self.met = self.known.take(pa.array(lately)), self.sizes[lately], self.met[lately]
+        at = pc.index_in(values, value_set=self.known)
+        new = values.filter(at.is_null())
+        ids, sizes = self.encoded(new)
+        places = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        places[places < 0] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known, self.flat, self.sizes, self.met = pa.concat_arrays([self.known, new]), np.append(self.flat, ids), np.append(self.sizes, sizes), np.append(self.met, np.zeros(len(new), np.int64))
+        self.met[places] = self.calls
+        return spread(self.flat, self.sizes, places), self.sizes[places]
 
 
 @lru_cache(4)

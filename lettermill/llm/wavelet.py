@@ -31,7 +31,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Tokens after which a shard ends with the document at hand; bits between rank samples.
 SHARD_TOKENS, SAMPLE_BITS = 2 << 20, 512
-STEP_BYTES = 2 << 20
+STEP_BYTES = 3 << 20
 #: Bytes after which the writer begins another group of shards; it looks at its size after each shard.
 GROUP = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 

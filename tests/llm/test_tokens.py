@@ -113,7 +113,7 @@ def test_encoder_keeps_words_of_late(monkeypatch):
         ids, n = held.ids(pa.array([w.encode() for w in words], pa.large_binary()))
         want = [library.encode(w, add_special_tokens=False).ids for w in words]
         assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
-        assert len(held.new.places) <= max(30, len(words)) and len(held.old.places) <= 60
+        assert len(held.known) <= 60 + len(words)
 
 
 @pytest.mark.parametrize("sample", [64, 512])
