@@ -8,7 +8,6 @@ until the last stage; an empty table gives no rows.
 
 from __future__ import annotations
 
-from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes."""
-    return bpe.digests(docs, bpe.Ranks(spark, vocabulary_path(bpe.VOCABULARY)), PATTERN)
+    return bpe.digests(docs, bpe.Ranks(spark, vocabulary_path(bpe.VOCABULARY)))
 
 
 STAGES = [

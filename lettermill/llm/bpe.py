@@ -8,9 +8,10 @@ Long words are folded in chunks and put together. Two encodings joined are the e
 the seam, taken alone, stay apart; where they don't, a few pieces to either side are folded anew, until both seams
 hold. So the work grows with the length of a word, not with its square, and ids are those of the whole word.
 
-Distinct words are counted over the whole corpus. The words met most often, at most HOT_WORDS of them and none longer
-than HOT_BYTES, are folded once each; their ids go to the tasks as one value of bounded size. Other words are
-folded where they stand. No text is shuffled, and a document's ids are never spread over rows.
+Distinct words are counted over the whole corpus. The words met most often, about HOT_WORDS of them and none longer
+than HOT_BYTES, are folded once each, and their ids go to the tasks as one value of bounded size. Tasks split texts and look
+these words up batch by batch; a document then holds ids and its other words, which are folded where they stand and put
+in their places. No text is shuffled, and a document's ids are never spread over rows.
 
 Results for odd rows: a null text counts as empty and has no ids; rows with equal or null ids stay apart; columns
 besides the id and the text are ignored; an empty table gives no rows.
@@ -19,14 +20,21 @@ besides the id and the text are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .vocabulary import vocabulary_path
-from .work import kept, most_frequent, table
+from . import text as T
+from .vocabulary import spread, vocabulary_path
+from .work import kept, most_frequent, quoted, row_of, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of what is sent to every task besides the rank map.
@@ -37,9 +45,11 @@ WHOLE_BYTES, CHUNK_BYTES, SEAM = 64, 32, 8
 KEPT_PIECES = 16
 #: Powers of two.
 BUCKETS, PAIR_BUCKETS = 1 << 16, 1 << 17
-#: No id: what stands before the first and after the last piece of a word.
-EDGE = 1 << 19
-_HOT, _RANKS, _PIECES = "hot ids of words", "ranks of pieces", "pieces by id"
+#: No id: what stands before the first and after the last piece of a word. More than any id: what ranks are lessened by.
+EDGE, BELOW = 1 << 19, 1 << 40
+#: No id: the place of a word that is not a frequent one.
+COLD = -1
+_RANKS = "ranks of pieces"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,7 +88,7 @@ def _pair_bucket(pair: Column) -> Column:
 
 
 class Ranks:
-    """A vocabulary as two values: ranks (whole: ids of pieces; pairs: ids of what two pieces make; bytes: ids of bytes), and the pieces by id."""
+    """A vocabulary as a value, ranks (whole: ids of pieces; pairs: ids of what two pieces make; bytes: ids of bytes), and the pieces by id, in a list."""
 
     def __init__(self, spark: SparkSession, path: str):
         ranks = read_ranks(path)
@@ -91,44 +101,36 @@ class Ranks:
         cuts = literal.select("value", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))), lambda k: F.struct(F.substring("key", F.lit(1), k).alias("a"), F.substring("key", k + 1, F.length("key")).alias("b")))).alias("cut"))
         side = lambda name: literal.select(F.col("key").alias(f"{name} piece"), F.col("value").cast("bigint").alias(name))
         both = cuts.join(side("a"), F.col("cut.a") == F.col("a piece")).join(side("b"), F.col("cut.b") == F.col("b piece"))
-        pairs = kept(both.select(F.lit(0).alias("order"), _pair(F.col("a"), F.col("b")).alias("key"), F.col("value").cast("bigint").alias("value")), "pairs")
+        pairs = kept(both.select(F.lit(0).alias("order"), _pair(F.col("a"), F.col("b")).alias("key"), (F.col("value") - F.lit(BELOW)).alias("value")), "pairs")
         single = F.array(*[F.lit(ranks[bytes([b])]).cast("bigint") for b in range(256)])
         sizes = literal.agg(F.sort_array(F.collect_list(F.struct("value", F.length("key").alias("n")))).alias("all")).select(F.col("all.n")).scalar()
         self.ranks = spark.range(1).select(F.struct(_as_maps(literal, _bucket(F.col("key"), BUCKETS)).alias("whole"), _as_maps(pairs, _pair_bucket(F.col("key")), PAIR_BUCKETS).alias("pairs"), single.alias("bytes"), sizes.alias("sizes"))).scalar()
-        by_id = literal.agg(F.sort_array(F.collect_list(F.struct(F.col("value").alias("id"), F.col("key").alias("piece")))).alias("all"))
-        self.pieces = by_id.select(F.col("all.piece")).scalar()
-
-
-def byte_string(text: Column) -> Column:
-    """The UTF-8 bytes of a text as characters of a string."""
-    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+        self.pieces = sorted(ranks, key=ranks.__getitem__)
 
 
 def _merged(start: Column, ranks: Column) -> Column:
     """Ranked merges folded over an array of piece numbers.
 
-    The state holds the pieces between two that stand for nothing, and the rank of each with the one after it, so that a merge
-    always has a neighbour on either side.
+    The state is one array: the pieces, and between two of them the rank of what they make, less BELOW, or null; so its least
+    number is the next merge, and it is a piece's once there is none. Two pieces that stand for nothing keep the ends.
     """
-    rank = lambda a, b: F.try_element_at(F.get(ranks["pairs"], _pair_bucket(_pair(a, b))), _pair(a, b))
-    edge, none = F.array(F.lit(EDGE).cast("bigint")), F.array(F.lit(None).cast("bigint"))
+    known = lambda pair: F.try_element_at(F.get(ranks["pairs"], _pair_bucket(pair)), pair)
+    rank = lambda a, b: known(_pair(a, b))
+    edge, none, rest = F.lit(EDGE).cast("bigint"), F.lit(None).cast("bigint"), F.lit(1 << 30)
 
     def joined(state: Column, best: Column, i: Column) -> Column:
-        # The pair i stands between the pieces i and i + 1, counted from 1.
-        pieces, pairs = state["pieces"], state["pairs"]
-        n = F.size(pairs)
-        return F.struct(
-            F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(best), F.slice(pieces, i + 2, n)).alias("pieces"),
-            F.concat(F.slice(pairs, F.lit(1), i - 2), F.array(rank(F.get(pieces, i - 2), best), rank(best, F.get(pieces, i + 1))), F.slice(pairs, i + 2, n)).alias("pairs"),
-        )
+        # The rank i stands between the pieces i - 1 and i + 1, counted from 1; their other neighbours are i - 3 and i + 3.
+        piece = best + BELOW
+        made = F.array(rank(F.get(state, i - 4), piece), piece, rank(piece, F.get(state, i + 2)))
+        return F.concat(F.slice(state, F.lit(1), i - 3), made, F.slice(state, i + 3, rest))
 
     def step(state: Column, best: Column) -> Column:
-        return F.when(best.isNull(), state).otherwise(_let(F.array_position(state["pairs"], best).cast("int"), lambda i: joined(state, best, i)))
+        return F.when(best >= 0, state).otherwise(_let(F.array_position(state, best).cast("int"), lambda i: joined(state, best, i)))
 
     def folded(p: Column) -> Column:
-        pairs = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), rank)
-        begin = F.struct(F.concat(edge, p, edge).alias("pieces"), F.concat(none, pairs, none).alias("pairs"))
-        return F.aggregate(F.slice(p, F.lit(2), F.size(p)), begin, lambda state, _: _let(F.array_min(state["pairs"]), lambda best: step(state, best)), lambda state: F.slice(state["pieces"], F.lit(2), F.size(state["pieces"]) - 2))
+        pairs = F.zip_with(p, F.slice(p, F.lit(2), rest), lambda a, b: F.array(a, rank(a, b)))
+        begin = F.concat(F.array(edge, none), F.flatten(pairs), F.array(edge))
+        return F.aggregate(F.slice(p, F.lit(2), rest), begin, lambda state, _: _let(F.array_min(state), lambda best: step(state, best)), lambda state: F.slice(F.array_compact(state), F.lit(2), F.size(F.array_compact(state)) - 2))
 
     return _let(start, lambda p: F.when(F.size(p) < 2, p).otherwise(folded(p)))
 
@@ -189,51 +191,100 @@ def fold_merges(word: Column, ranks: Column, long: bool = True) -> Column:
     return _let(word, folded)
 
 
-def split_words(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
-
-
-def hot_words(words: DataFrame, ranks: Column, most: int = HOT_WORDS) -> Column:
-    """Ids of the words met most often (column word, a row for each occurrence), at most about so many, as one value."""
-    counts = kept(words.groupBy("word").count().where(F.octet_length("word") <= HOT_BYTES), "words")
-    hot = counts.where(most_frequent(counts, "word", "count", most))
-    held = hot.repartition("word").withColumn(_RANKS, ranks)
-    # What is met most often stands first, where a look-up finds it at once.
-    folded = held.select((-F.col("count")).alias("order"), F.col("word").alias("key"), _let(F.col(_RANKS), lambda r: fold_merges(byte_string(F.col("word")), r, HOT_BYTES > WHOLE_BYTES)).alias("value"))
-    return _as_maps(folded, _bucket(F.col("key"), BUCKETS))
-
-
-def encode(docs: DataFrame, vocabulary: Ranks, pattern: str, text_column: str = "text", ids_column: str = "ids", most: int = HOT_WORDS) -> DataFrame:
-    """docs with the ids of each text, as an array; a null text has none."""
-    words = docs.select(F.explode(split_words(F.col(text_column), pattern)).alias("word"))
-    hot = hot_words(words, vocabulary.ranks, most)
-
-    def ids(ranks: Column) -> Column:
-        word_ids = lambda word: F.coalesce(_look_up(F.col(_HOT), word), fold_merges(byte_string(word), ranks))
-        return F.flatten(F.transform(split_words(F.col(text_column), pattern), word_ids))
-
-    # Each value is used once, so that Spark puts it into the expression and not into the rows.
-    held = docs.withColumns({_HOT: hot, _RANKS: vocabulary.ranks})
-    return held.withColumn(ids_column, _let(F.col(_RANKS), ids)).drop(_HOT, _RANKS)
-
-
-def decode(ids: Column, pieces: Column) -> Column:
-    """The bytes that the ids stand for; pieces is the array of all pieces as byte strings."""
-    return F.encode(_let(pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")), "ISO-8859-1")
-
-
-def digests(docs: DataFrame, vocabulary: Ranks, pattern: str, id_column: str = "doc_id", text_column: str = "text", most: int = HOT_WORDS) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of runs of texts, and how often each is there."""
+    for step in T.steps(batches, "text", 4 * T.STEP_BYTES):
+        codes, distinct = T.coded(T.byte_level_pretokens(*T.utf8(step.column("text")))[0])
+        yield pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(codes, minlength=len(distinct)).astype(np.int64))], names=["word", "n"])
+
+
+def hot_words(docs: DataFrame, vocabulary: Ranks, text_column: str = "text", most: int = HOT_WORDS) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words met most often, at most about so many, their ids one after the other, and how many each has."""
+    words = docs.select(F.col(quoted(text_column)).alias("text")).mapInArrow(_counted, "word binary, n bigint")
+    counts = kept(words.groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= HOT_BYTES), "words")
+    hot = counts.where(most_frequent(counts, "word", "n", most)).select("word").repartition("word").withColumn(_RANKS, vocabulary.ranks)
+    rows = hot.select("word", _let(F.col(_RANKS), lambda r: fold_merges(F.decode("word", "ISO-8859-1"), r, HOT_BYTES > WHOLE_BYTES)).alias("ids")).toArrow()
+    lists = rows.column("ids").combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return rows.column("word").to_pylist(), pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int32), sizes
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], hot: Broadcast) -> Iterator[pa.RecordBatch]:
+    """For each text the ids of its frequent words, with COLD in the place of each other one, and those others as byte strings."""
+    words, flat, sizes = pa.array(hot.value[0], pa.large_binary()), np.append(hot.value[1], np.int32(COLD)), np.append(hot.value[2], 1)
+    for step in T.steps(batches, "text"):
+        values, n = T.byte_level_pretokens(*T.utf8(step.column("text")))
+        codes, distinct = T.coded(values)
+        at = pc.index_in(distinct, value_set=words).fill_null(len(words)).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+        upto = np.append(0, np.cumsum(sizes[at]))[np.append(0, np.cumsum(n))]
+        ids = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(spread(flat, sizes, at), pa.int32()))
+        cold = np.flatnonzero(at == len(words))
+        others = [w.decode("latin-1") for w in values.take(pa.array(cold)).to_pylist()]
+        places = np.searchsorted(cold, np.append(0, np.cumsum(n))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(places), pa.array(others, pa.string())), *[step.column(c) for c in step.schema.names[1:]]], names=["found", "others", *step.schema.names[1:]])
+
+
+def _in_place(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the documents of a batch, those of other words in their places, and where each document begins (with the end)."""
+    found, others = batch.column("found"), batch.column("folded")
+    ids = found.flatten().to_numpy(zero_copy_only=False)
+    words = others.flatten()
+    n, cold = np.ones(len(ids), np.int64), np.flatnonzero(ids == COLD)
+    n[cold] = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    begin = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), np.int32)
+    out[begin] = ids
+    out[np.repeat(begin[cold] - (np.cumsum(n[cold]) - n[cold]), n[cold]) + np.arange(n[cold].sum())] = words.flatten().to_numpy(zero_copy_only=False)
+    places = np.append(0, np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False)))
+    return out, np.append(begin, len(out))[places]
+
+
+def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, places = _in_place(batch)
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids, pa.int32()))], names=[*batch.schema.names[2:], "ids"])
+
+
+def decode(ids: Iterable[int], pieces: list[bytes]) -> bytes:
+    """The bytes that the ids stand for."""
+    return b"".join([pieces[i] for i in ids])
+
+
+def _digested(batches: Iterator[pa.RecordBatch], pieces: Broadcast) -> Iterator[pa.RecordBatch]:
+    names = [str(i) for i in range(len(pieces.value))]
+    for batch in batches:
+        ids, places = _in_place(batch)
+        of_ids, of_bytes = [], []
+        for a, b in zip(places[:-1].tolist(), places[1:].tolist()):
+            own = ids[a:b].tolist()
+            of_ids.append(hashlib.sha256(",".join([names[i] for i in own]).encode()).hexdigest())
+            of_bytes.append(hashlib.sha256(decode(own, pieces.value)).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(np.diff(places)), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["kept", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def _folded(docs: DataFrame, vocabulary: Ranks, text_column: str, keep: Column, most: int) -> DataFrame:
+    """found, folded (ids of each other word) and kept for each row of docs."""
+    hot = docs.sparkSession.sparkContext.broadcast(hot_words(docs, vocabulary, text_column, most))
+    source = docs.select(F.col(quoted(text_column)).alias("text"), keep.alias("kept"))
+    schema = StructType(StructType.fromDDL("found array<int>, others array<string>").fields + [source.schema["kept"]])
+    looked_up = source.mapInArrow(partial(_looked_up, hot=hot), schema).withColumn(_RANKS, vocabulary.ranks)
+    return looked_up.select("found", _let(F.col(_RANKS), lambda r: F.transform("others", lambda w: fold_merges(w, r))).alias("folded"), "kept")
+
+
+def encode(docs: DataFrame, vocabulary: Ranks, text_column: str = "text", ids_column: str = "ids", most: int = HOT_WORDS) -> DataFrame:
+    """docs with the ids of each text, as an array; a null text has none. Words are the matches of public_tokenizers.PATTERN."""
+    folded = _folded(docs, vocabulary, text_column, row_of(docs), most)
+    found = folded.mapInArrow(_with_ids, StructType([folded.schema["kept"], *StructType.fromDDL("ids array<int>").fields]))
+    return found.select(*[F.col(f"kept.{quoted(c)}").alias(c) for c in docs.columns if c != ids_column], F.col("ids").alias(ids_column))
+
+
+def digests(docs: DataFrame, vocabulary: Ranks, id_column: str = "doc_id", text_column: str = "text", most: int = HOT_WORDS) -> DataFrame:
     """n_tokens, and digests of the ids and of the bytes that they decode to, for each row of docs; most bounds what is sent to tasks."""
-    encoded = encode(docs.select(id_column, text_column), vocabulary, pattern, text_column, most=most)
-    return encoded.withColumn(_PIECES, vocabulary.pieces).select(
-        id_column,
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), F.col(_PIECES)), 256).alias("decoded_sha256"),
-    )
+    folded = _folded(docs, vocabulary, text_column, F.col(quoted(id_column)), most)
+    schema = StructType([folded.schema["kept"], *StructType.fromDDL("n_tokens bigint, ids_sha256 string, decoded_sha256 string").fields])
+    pieces = docs.sparkSession.sparkContext.broadcast(vocabulary.pieces)
+    return folded.mapInArrow(partial(_digested, pieces=pieces), schema).withColumnRenamed("kept", id_column)
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    from public_tokenizers import PATTERN
-
-    return digests(table(spark, sf_dir, "documents"), Ranks(spark, vocabulary_path(VOCABULARY)), PATTERN)
+    return digests(table(spark, sf_dir, "documents"), Ranks(spark, vocabulary_path(VOCABULARY)))

@@ -56,11 +56,11 @@ def test_bpe_round_trip_and_library(spark, small):
         ids = library.encode_ordinary(r["text"] or "")
         want.append((str(r["doc_id"]), len(ids), digest(",".join(map(str, ids)).encode()), digest((r["text"] or "").encode())))
     vocabulary = bpe.Ranks(spark, P.path(bpe.VOCABULARY))
-    got = [(str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(docs, vocabulary, P.PATTERN).collect()]
+    got = [(str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(docs, vocabulary).collect()]
     assert sorted(got) == sorted(want)
-    few = bpe.encode(docs.limit(40), vocabulary, P.PATTERN, most=100)
+    few = bpe.encode(docs.limit(40), vocabulary, most=100)
     assert all(r["ids"] == library.encode_ordinary(r["text"] or "") for r in few.select("text", "ids").collect())
-    assert bpe.digests(docs.limit(0), vocabulary, P.PATTERN).count() == 0
+    assert bpe.digests(docs.limit(0), vocabulary).count() == 0
 
 
 def test_bpe_of_long_words(spark):
@@ -71,7 +71,7 @@ def test_bpe_of_long_words(spark):
     words.append("".join(made.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)))
     docs = spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string").repartition(4)
     began = time.time()
-    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, bpe.Ranks(spark, P.path(bpe.VOCABULARY)), P.PATTERN).collect()}
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, bpe.Ranks(spark, P.path(bpe.VOCABULARY))).collect()}
     assert time.time() - began < 60
     assert all(got[i] == library.encode_ordinary(w) for i, w in enumerate(words))
 
