@@ -212,7 +212,7 @@ def hot_words(docs: DataFrame, vocabulary: Ranks, text_column: str = "text", mos
 def _looked_up(batches: Iterator[pa.RecordBatch], hot: Broadcast) -> Iterator[pa.RecordBatch]:
     """For each text the ids of its frequent words, with COLD in the place of each other one, and those others as byte strings."""
     words, flat, sizes = pa.array(hot.value[0], pa.large_binary()), np.append(hot.value[1], np.int32(COLD)), np.append(hot.value[2], 1)
-    for step in T.steps(batches, "text"):
+    for step in T.steps(batches, "text", 3 * T.STEP_BYTES):
         values, n = T.byte_level_pretokens(*T.utf8(step.column("text")))
         codes, distinct = T.coded(values)
         at = pc.index_in(distinct, value_set=words).fill_null(len(words)).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
@@ -267,7 +267,8 @@ def _folded(docs: DataFrame, vocabulary: Ranks, text_column: str, keep: Column,
     hot = docs.sparkSession.sparkContext.broadcast(hot_words(docs, vocabulary, text_column, most))
     source = docs.select(F.col(quoted(text_column)).alias("text"), keep.alias("kept"))
     schema = StructType(StructType.fromDDL("found array<int>, others array<string>").fields + [source.schema["kept"]])
-    looked_up = source.mapInArrow(partial(_looked_up, hot=hot), schema).withColumn(_RANKS, vocabulary.ranks)
+    # Kept, so that a task never holds two Python workers, one before the fold and one after it.
+    looked_up = kept(source.mapInArrow(partial(_looked_up, hot=hot), schema), "looked-up").withColumn(_RANKS, vocabulary.ranks)
     return looked_up.select("found", _let(F.col(_RANKS), lambda r: F.transform("others", lambda w: fold_merges(w, r))).alias("folded"), "kept")
 
 

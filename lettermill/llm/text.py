@@ -6,6 +6,7 @@ Null texts count as empty ones everywhere in this module.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 from unicodedata import category
@@ -31,6 +32,15 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, step_bytes: int = STEP
             n = max(1, int(np.searchsorted(held, step_bytes, "right")))
             yield batch.slice(start, n)
             start += n
+    release()
+
+
+def release() -> None:
+    """Gives back what a worker holds but no longer uses, as it may stand idle beside the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
