@@ -260,6 +260,7 @@ def _digested(batches: Iterator[pa.RecordBatch], pieces: Broadcast) -> Iterator[
             of_ids.append(hashlib.sha256(",".join([names[i] for i in own]).encode()).hexdigest())
             of_bytes.append(hashlib.sha256(decode(own, pieces.value)).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(np.diff(places)), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["kept", "n_tokens", "ids_sha256", "decoded_sha256"])
+    T.release()
 
 
 def _folded(docs: DataFrame, vocabulary: Ranks, text_column: str, keep: Column, most: int) -> DataFrame:
