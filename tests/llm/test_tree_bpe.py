@@ -14,10 +14,12 @@ PATH = P.path(tree_bpe.VOCABULARY)
 LETTERS = ["ab", "abcdefghijklmnopqrstuvwxyz", "é中😀", "\n\t  ", "' s t r e v l", "the of and ing ", " \n", "0123456789"]
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def library(text):
-    tokenizer = Tokenizer.from_file(PATH)
-    ids = tokenizer.encode(text or "", add_special_tokens=False).ids
-    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    ids = TOKENIZER.encode(text or "", add_special_tokens=False).ids
+    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(TOKENIZER.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def random_texts(n, seed=1):
