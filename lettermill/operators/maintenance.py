@@ -1,4 +1,4 @@
-"""Writes as an append-only change log: upserts, tags, deletions of messages, folders and accounts, and snapshots.
+"""Writes as an append-only change log: upserts, tags, deletions of messages, folders and accounts; see snapshots for reading it fast.
 
 An op row has op (upsert, delete, delete_mailbox, delete_account), seq, and the columns that it needs. seq is data, so the current
 view does not depend on the order in which rows are read, and a batch that comes twice changes nothing.
@@ -6,13 +6,11 @@ view does not depend on the order in which rows are read, and a batch that comes
 
 from __future__ import annotations
 
-from uuid import uuid4
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Rows of deletions that may go to every task.
+#: Rows of keys that may go to every task.
 MOST_SENT = 200_000
 #: Bytes of a file of a snapshot, about.
 FILE_BYTES = 256 << 20
@@ -24,9 +22,9 @@ def latest(rows: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def _small(ends: DataFrame) -> DataFrame:
-    """Deletions by folder or account: broadcast if they are few, else joined by a shuffle, in which Spark splits large accounts."""
-    return F.broadcast(ends) if ends.limit(MOST_SENT + 1).count() <= MOST_SENT else ends
+def sent_if_few(rows: DataFrame) -> DataFrame:
+    """Rows of a few bytes each: broadcast if they are few, else joined by a shuffle, in which Spark splits large keys."""
+    return F.broadcast(rows) if rows.limit(MOST_SENT + 1).count() <= MOST_SENT else rows
 
 
 def deduplicated(ids: DataFrame) -> DataFrame:
@@ -42,8 +40,8 @@ def current(log: DataFrame, tag_log: DataFrame | None = None) -> DataFrame:
     ends = log.where("op <> 'upsert'")
     # Rows are dealt by id once, for the last version and for single deletions; those of folders and accounts go to them.
     one = ends.where("op = 'delete'").groupBy("id").agg(F.max("seq").alias("end_one"))
-    box = _small(ends.where("op = 'delete_mailbox'").groupBy("account_id", "mailbox_id").agg(F.max("seq").alias("end_box")))
-    account = _small(ends.where("op = 'delete_account'").groupBy("account_id").agg(F.max("seq").alias("end_account")))
+    box = sent_if_few(ends.where("op = 'delete_mailbox'").groupBy("account_id", "mailbox_id").agg(F.max("seq").alias("end_box")))
+    account = sent_if_few(ends.where("op = 'delete_account'").groupBy("account_id").agg(F.max("seq").alias("end_account")))
     rows = rows.join(one, "id", "left").join(box, ["account_id", "mailbox_id"], "left").join(account, "account_id", "left")
     alive = rows.where("seq > coalesce(greatest(end_one, end_box, end_account), -1)").drop("end_one", "end_box", "end_account")
     return alive if tag_log is None else retagged(alive, tag_log)
@@ -79,29 +77,6 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("compression", "zstd").partitionBy("batch_date").parquet(path)
 
 
-def compact(log: DataFrame, tag_log: DataFrame | None, root: str) -> str:
-    """Writes the current view as a snapshot by month of date, then turns the pointer to it; returns its folder."""
-    spark = log.sparkSession
-    path = f"{root}/snapshot-{uuid4().hex}"
-    upto = log.agg(F.max("seq")).first()[0]
-    rows = current(log, tag_log).withColumn("month", F.date_format(F.timestamp_millis("date"), "yyyy-MM"))
-    if "size" in rows.columns:
-        # As many files for each month as its bytes ask for.
-        months = rows.groupBy("month").agg(F.ceil(F.sum("size") / FILE_BYTES).cast("int").alias("_files"))
-        rows = rows.join(F.broadcast(months), "month").withColumn("_file", F.pmod(F.xxhash64("id"), F.greatest("_files", F.lit(1)))).drop("_files")
-    else:
-        rows = rows.withColumn("_file", F.lit(0))
-    rows.repartition("month", "_file").sortWithinPartitions("month", "date").drop("_file").write.option("compression", "zstd").partitionBy("month").parquet(path)
-    spark.createDataFrame([(path, upto)], "path string, seq bigint").coalesce(1).write.mode("append").parquet(f"{root}/pointers")
-    return path
-
-
-def snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
-    """The newest snapshot and the seq that it reaches; a reader adds the younger part of the log."""
-    last = spark.read.parquet(f"{root}/pointers").orderBy(F.col("seq").desc(), F.col("path").desc()).first()
-    return spark.read.parquet(last["path"]).drop("month"), last["seq"]
-
-
 def restore_status(ids: DataFrame, envelopes: DataFrame, raw: DataFrame, mailboxes: DataFrame) -> DataFrame:
     """For each asked id its folder, and ok or what is missing."""
     e = envelopes.select("id", "account_id", "mailbox_id", F.lit(True).alias("has_envelope"))

@@ -20,19 +20,21 @@ from ..functions.columns import scoped_id
 from ..operators import ingest as planning
 from ..operators.ingest import ERRORS_KEPT
 from ..operators.maintenance import latest
-from ..schemas import LANDING
+from ..schemas import ENVELOPES, LANDING, RAW
 from ..sources import eml
 
 ENVELOPE_FILES = 20
+#: Columns of the logs; batch is the folder.
+LOGS = {"envelopes": f"{ENVELOPES}, seq bigint, op string, batch bigint", "raw": f"{RAW}, seq bigint, op string, batch bigint", "quarantine": "index bigint, error_message string, batch bigint"}
 
 
 def landing(spark: SparkSession, path: str, files: int = ENVELOPE_FILES) -> DataFrame:
     return spark.readStream.schema(LANDING).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def landed(spark: SparkSession, path: str) -> DataFrame:
-    """The same folder, read as a batch."""
-    return spark.read.schema(LANDING).parquet(path)
+def landed(spark: SparkSession, *paths: str) -> DataFrame:
+    """The same folder, or files of it, read as a batch."""
+    return spark.read.schema(LANDING).parquet(*paths) if paths else spark.createDataFrame([], LANDING)
 
 
 def pulled(rows: DataFrame) -> DataFrame:
@@ -50,13 +52,18 @@ def planned(rows: DataFrame, accounts: DataFrame, state: DataFrame, high: DataFr
     return mine.where((F.col("action") == "initial") | (F.col("uid") > F.coalesce("max_uid", F.lit(-1)))).drop("action", "mailbox_id", "max_uid")
 
 
-def write_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    """The last version of each message of the batch in both logs, failures in the quarantine, and then the marker."""
+def write_batch(batch: DataFrame, batch_id: int, root: str, more: DataFrame | None = None) -> None:
+    """The last version of each message of the batch in both logs, failures in the quarantine, and then the marker.
+
+    more: further ops for both logs, such as deletions of folders that are read anew.
+    """
     rows = pulled(batch).persist()
     try:
         good, bad = eml.split_errors(rows)
         last = latest(good).withColumn("op", F.lit("upsert"))
         for name, part in (("envelopes", last.drop("eml", "key")), ("raw", last.select("id", "account_id", "mailbox_id", "eml", "seq", "op")), ("quarantine", bad)):
+            if more is not None and name != "quarantine":
+                part = part.unionByName(more, allowMissingColumns=True)
             part.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{name}/batch={batch_id}")
         batch.sparkSession.range(1).select(F.lit(batch_id).cast("bigint").alias("batch")).coalesce(1).write.mode("overwrite").parquet(f"{root}/done/marker={batch_id}")
     finally:
@@ -64,15 +71,28 @@ def write_batch(batch: DataFrame, batch_id: int, root: str) -> None:
 
 
 def written(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The log of that name (envelopes, raw or quarantine), of batches that are complete."""
-    done = spark.read.schema("batch bigint").parquet(f"{root}/done").select("batch").distinct()
-    return spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}").join(F.broadcast(done), "batch", "left_semi")
+    """The log of that name (envelopes, raw or quarantine), of batches that are complete.
+
+    A filter on batch reaches the folders of both the log and the markers, so what is read after a snapshot is young batches only.
+    """
+    done = spark.read.schema("batch bigint, marker bigint").parquet(f"{root}/done").where("batch = marker").select(F.col("marker").alias("batch")).distinct()
+    return spark.read.schema(LOGS[name]).parquet(f"{root}/{name}").join(done, "batch", "left_semi")
 
 
-def run(spark: SparkSession, source: str, root: str, every: str | None = None, plan: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Reads the landing folder to its end, or goes on at an interval such as '30 seconds'; plan picks the rows of a batch, as planned() does."""
+def once(rows: DataFrame, replays: str) -> DataFrame:
+    """Landed messages without those that came before, in another file or batch, within such a time; what is kept in state is bounded by it."""
+    arrived = rows.withColumn("_arrived", F.col("_metadata.file_modification_time")).withWatermark("_arrived", replays)
+    return arrived.dropDuplicatesWithinWatermark(["account_id", "mailbox", "uid", "seq"]).drop("_arrived")
+
+
+def run(spark: SparkSession, source: str, root: str, every: str | None = None, plan: Callable[[DataFrame], DataFrame] | None = None, replays: str | None = None) -> StreamingQuery:
+    """Reads the landing folder to its end, or goes on at an interval such as '30 seconds'; plan picks the rows of a batch, as planned() does.
+
+    replays: how long after it first came a message may come again, such as '7 days'; then it is written once.
+    """
     pick = plan or (lambda rows: rows)
-    writer = landing(spark, source).writeStream.foreachBatch(lambda b, i: write_batch(pick(b), i, root)).option("checkpointLocation", f"{root}/checkpoint")
+    rows = landing(spark, source)
+    writer = (once(rows, replays) if replays else rows).writeStream.foreachBatch(lambda b, i: write_batch(pick(b), i, root)).option("checkpointLocation", f"{root}/checkpoint")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

@@ -118,15 +118,6 @@ def test_change_log(spark, most, monkeypatch):
     assert {r["id"]: r["tags"] for r in maintenance.current(log(spark, rows), tags).collect()} == {1: ["/x"], 4: []}
 
 
-def test_compaction(spark, tmp_path):
-    up = log(spark, [("upsert", 1, 1, 1, 1, "one", []), ("upsert", 2, 2, 1, 1, "two", []), ("delete", 3, 2, None, None, None, None)]).withColumn("date", F.lit(0).cast("bigint"))
-    maintenance.compact(up.withColumn("size", F.lit(5)), None, str(tmp_path / "sized"))
-    assert maintenance.snapshot(spark, str(tmp_path / "sized"))[0].count() == 1
-    maintenance.compact(up, None, str(tmp_path))
-    rows, seq = maintenance.snapshot(spark, str(tmp_path))
-    assert (seq, [(r["id"], r["b"]) for r in rows.collect()]) == (3, [(1, "one")])
-
-
 def test_role_seed_is_valid(spark):
     roles = access.builtin_roles(spark)
     assert access.wrong_permissions(roles).count() == 0 and roles.count() == 5
