@@ -2,7 +2,7 @@
 
 Words are counted over whole texts with map-side sums. The vocabulary (words of LEAST_LENGTH letters and LEAST_COUNT
 occurrences at least) is hashed into blocked Bloom filters, one for each word length: a word sets one bit in each of the
-eight lanes of one 256-bit block. A filter is built in segments of bounded size by as many tasks. All filters go to the
+eight lanes of one 256-bit block. Spark builds the filters as bitmaps of 4 KB, summed map-side. All filters go to the
 tasks together if they hold FILTER_BYTES at most; a larger vocabulary is dealt by hash into rounds, and each round sends
 filters of that bound and probes all edits that fall into it, so the broadcast never grows with the data.
 
@@ -42,11 +42,12 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
 ERRORS = 199
 #: Words beyond so many letters share one filter.
 LONG = 64
-#: Filter bits for a word, and bounds in bytes of a segment of a filter and of all filters sent at a time.
-BITS, SEGMENT_BYTES, FILTER_BYTES = 20, 1 << 20, 64 << 20
+#: Filter bits for a word, and a bound in bytes of all filters sent at a time.
+BITS, FILTER_BYTES = 20, 64 << 20
 #: Edits that are hashed in one step, and edits that one task probes, about.
-STEP_EDITS, TASK_EDITS = 1 << 20, 1 << 27
-_BLOCK, _LANES = 32, 8
+STEP_EDITS, TASK_EDITS = 1 << 18, 1 << 27
+#: Bytes of a block, its lanes, and bits of a segment, which are those of one bitmap of Spark's.
+_BLOCK, _LANES, _SEGMENT_BITS = 32, 8, 1 << 15
 
 # ---------------------------------------------------------------- words
 
@@ -98,7 +99,7 @@ def _lengths(words: pa.Array) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch], least: int, errors: int) -> Iterator[pa.RecordBatch]:
     """Distinct words of runs of texts, and how often each is there."""
-    for step in T.steps(batches, "text", 4 * T.STEP_BYTES):
+    for step in T.steps(batches, "text", 2 * T.STEP_BYTES):
         values, doc = _runs(*T.utf8(step.column("text")))
         code, distinct = T.coded(values)
         changed: dict[int, dict[bytes, int]] = {}
@@ -195,8 +196,7 @@ class Filters:
     def __init__(self, rows: list[tuple[int, int, bytes]], segments: dict[int, int], round_: int, rounds: int):
         self.round, self.rounds, self.segments, self.lanes = round_, rounds, segments, {}
         for size in {r[0] for r in rows}:
-            parts = {s: bits for length, s, bits in rows if length == size}
-            empty = bytes(len(next(iter(parts.values()))))
+            parts, empty = {s: bits for length, s, bits in rows if length == size}, bytes(_SEGMENT_BITS // 8)
             self.lanes[size] = np.frombuffer(b"".join(parts.get(s, empty) for s in range(segments[size])), np.uint32)
 
     def holds(self, size: int, hashed: np.ndarray) -> np.ndarray:
@@ -228,37 +228,29 @@ def lane_bit(hashed: np.ndarray, lane: int) -> np.ndarray:
     return (hashed >> np.uint64(5 * lane) & np.uint64(31)).astype(np.uint32)
 
 
-def _segmented(batches: Iterator[pa.RecordBatch], segments: dict[int, int], rounds: int) -> Iterator[pa.RecordBatch]:
+def _placed(batches: Iterator[pa.RecordBatch], segments: dict[int, int], rounds: int) -> Iterator[pa.RecordBatch]:
+    """For each word the segment of its block, and the places there of the bits that it sets."""
     for batch in batches:
         words = batch.column("word").to_pylist()
         hashed = word_hashes(words)
         size = np.array([shard(len(w)) for w in words], np.int64)
-        parts = np.array([segments[s] for s in size.tolist()], np.int64)
-        # A segment is a run of blocks; the place of a word among all blocks of its length tells both.
-        at = ((hashed >> np.uint64(40)) * parts.astype(np.uint64) >> np.uint64(24)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(round_of(hashed, rounds)), pa.array(size), pa.array(at), pa.array(hashed.view(np.int64))], names=["round", "size", "segment", "hash"])
-
-
-def _built(rows: pa.Table, blocks: dict[int, int], segments: dict[int, int]) -> pa.Table:
-    size, segment = rows.column("size")[0].as_py(), rows.column("segment")[0].as_py()
-    n = blocks[size]
-    hashed = rows.column("hash").to_numpy().view(np.uint64)
-    base = (block_of(hashed, n * segments[size]) - segment * n) * _LANES
-    bits = np.zeros(n * _LANES, np.uint32)
-    for lane in range(_LANES):
-        np.bitwise_or.at(bits, base + lane, np.uint32(1) << lane_bit(hashed, lane))
-    return pa.table({"size": [size], "segment": [segment], "bits": pa.array([bits.tobytes()], pa.binary())})
+        blocks = np.array([segments[s] for s in size.tolist()], np.uint64) * np.uint64(_SEGMENT_BITS // 8 // _BLOCK)
+        block = ((hashed >> np.uint64(40)) * blocks >> np.uint64(24)).astype(np.int64)
+        first = block * 8 * _BLOCK % _SEGMENT_BITS
+        places = np.stack([first + 32 * lane + lane_bit(hashed, lane) for lane in range(_LANES)], axis=1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) * _LANES + 1, _LANES, dtype=np.int32)), pa.array(places.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(round_of(hashed, rounds)), pa.array(size), pa.array(block * 8 * _BLOCK // _SEGMENT_BITS), lists], names=["round", "size", "segment", "places"])
+    T.release()
 
 
 def filter_rounds(vocabulary: DataFrame, filter_bytes: int = FILTER_BYTES) -> Iterator[Filters]:
     """Filters over all words, one round after the other; no round holds much more than filter_bytes."""
     sizes = {r[0]: r[1] for r in vocabulary.groupBy(F.least(F.length("word"), F.lit(LONG + 1)).alias("size")).agg(F.count("*")).collect()}
     rounds = max(1, -(-sum(sizes.values()) * BITS // 8 // filter_bytes))
-    whole = {s: max(1, -(-n * BITS // 8 // rounds)) for s, n in sizes.items()}
-    segments = {s: -(-b // SEGMENT_BYTES) for s, b in whole.items()}
-    blocks = {s: -(-whole[s] // segments[s] // _BLOCK) for s in sizes}
-    parts = vocabulary.select("word").mapInArrow(partial(_segmented, segments=segments, rounds=rounds), "round bigint, size bigint, segment bigint, hash bigint")
-    built = kept(parts.groupBy("round", "size", "segment").applyInArrow(lambda key, rows: _built(rows, blocks, segments).append_column("round", pa.array([key[0].as_py()], pa.int64())), "size bigint, segment bigint, bits binary, round bigint"), "filters")
+    segments = {s: max(1, -(-n * BITS // rounds // _SEGMENT_BITS)) for s, n in sizes.items()}
+    placed = vocabulary.select("word").mapInArrow(partial(_placed, segments=segments, rounds=rounds), "round bigint, size bigint, segment bigint, places array<bigint>")
+    bits = placed.select("round", "size", "segment", F.explode("places").alias("place"))
+    built = kept(bits.groupBy("round", "size", "segment").agg(F.bitmap_construct_agg("place").alias("bits")), "filters")
     for k in range(rounds):
         yield Filters([tuple(r) for r in built.where(F.col("round") == k).select("size", "segment", "bits").collect()], segments, k, rounds)
 
