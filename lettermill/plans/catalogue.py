@@ -604,7 +604,7 @@ def _(s, d):
 def _(s, d):
     part = lambda kind, body, more="": F.concat(F.lit(f"--b\r\nContent-Type: {kind}\r\n{more}\r\n"), body, F.lit("\r\n"))
     head = F.lit('Subject: x\r\nMIME-Version: 1.0\r\nContent-Type: multipart/related; boundary="b"\r\n\r\n')
-    image = part("image/png", F.base64(F.encode("lang", "UTF-8")), "Content-ID: <pic1>\r\nContent-Transfer-Encoding: base64\r\n")
+    image = part("image/png", F.base64(F.encode("lang", "UTF-8")), "Content-ID: <pic1>\r\nContent-Disposition: inline\r\nContent-Transfer-Encoding: base64\r\n")
     raw = F.concat(head, part("text/plain", F.md5("text")), part("text/html", F.lit('<img src="cid:pic1">')), image, F.lit("--b--\r\n"))
     rows = eml.content(X.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.encode(raw, "UTF-8").alias("eml")))
     trimmed = lambda c: F.regexp_replace(c, "[\r\n]+$", "")

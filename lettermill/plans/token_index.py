@@ -49,7 +49,7 @@ def looked_up(index: DataFrame, words: list[str]) -> DataFrame:
     return rows
 
 
-def _words(spark: SparkSession, text: str) -> list[str]:
+def query_words(spark: SparkSession, text: str) -> list[str]:
     return spark.range(1).select(tokens(F.lit(text))).first()[0]
 
 
@@ -80,6 +80,6 @@ def search(envelopes: DataFrame, index: DataFrame, criteria: Search, accounts: l
     spark, c = envelopes.sparkSession, criteria
     rest = Search(**{**vars(c), "all_words": None, "any_words": None, "no_words": None, "phrase": None})
     rows = envelopes.where(condition(rest, accounts))
-    wanted = [how(index, words) for how, text in ((with_all, c.all_words), (with_any, c.any_words), (with_phrase, c.phrase)) if text and (words := _words(spark, text))]
+    wanted = [how(index, words) for how, text in ((with_all, c.all_words), (with_any, c.any_words), (with_phrase, c.phrase)) if text and (words := query_words(spark, text))]
     rows = reduce(lambda r, ids: r.join(ids, "id", "left_semi"), wanted, rows)
-    return rows.join(with_any(index, words), "id", "left_anti") if c.no_words and (words := _words(spark, c.no_words)) else rows
+    return rows.join(with_any(index, words), "id", "left_anti") if c.no_words and (words := query_words(spark, c.no_words)) else rows
