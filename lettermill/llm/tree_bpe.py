@@ -40,6 +40,8 @@ from .work import kept, quoted, table
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of a leaf; a text of no more is one.
 LEAF_BYTES = 16 << 10
+#: Leaves, and bytes of short texts, that one step encodes.
+LEAVES_AT_ONCE, STEP_BYTES = 192, 4 << 20
 #: Rows between the steps: a result, or a leaf of a long text (its place, pre-token sizes, how it meets the leaf before).
 ROWS = "id {id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, text_key bigint, place int, bytes binary, sizes array<int>, meets int"
 LEAVES = "id {id}, text_key bigint, place int, meets int, ids binary, head int, tail int"
@@ -59,6 +61,11 @@ def pieces_of(path: str) -> list[bytes]:
     return [named[i] for i in range(len(named))]
 
 
+@lru_cache(4)
+def _names(path: str) -> list[str]:
+    return [str(i) for i in range(len(pieces_of(path)))]
+
+
 @lru_cache(4)
 def _merging_tokenizer(path: str):
     """The merges alone, over the letters that stand for bytes."""
@@ -118,13 +125,13 @@ def leaves(text: str, path: str, leaf_bytes: int) -> Iterator[tuple[bytes, np.nd
 def _digests(ids: np.ndarray, path: str) -> tuple[int, str, str]:
     listed = ids.tolist()
     text = b"".join(map(pieces_of(path).__getitem__, listed)).decode("utf-8", "replace")
-    return len(listed), hashlib.sha256(",".join(map(str, listed)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    return len(listed), hashlib.sha256(",".join(map(_names(path).__getitem__, listed)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
 def _prepared(batches: Iterator[pa.RecordBatch], path: str, leaf_bytes: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Results of texts that are one leaf, and the leaves of all others."""
     key = TaskContext.get().partitionId() << 32
-    for step in T.steps(batches, "text"):
+    for step in T.steps(batches, "text", STEP_BYTES):
         sizes = np.diff(T.utf8(step.column("text"))[1])
         short = np.flatnonzero(sizes <= leaf_bytes)
         if len(short):
@@ -160,23 +167,34 @@ def _batch(columns: dict, n: int, schema: pa.Schema) -> pa.RecordBatch:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Ids of leaves; head and tail: how many ids the first and the last pre-token have."""
     added = {mark.encode(): whole_text_tokenizer(path).token_to_id(mark) for mark in special_strings(path)}
-    for step in (batch.slice(at, 64) for batch in batches for at in range(0, batch.num_rows, 64)):
+    for step in (batch.slice(at, LEAVES_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, LEAVES_AT_ONCE)):
+        data, lists = step.column("bytes").to_pylist(), step.column("sizes")
+        n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        sizes = lists.flatten().to_numpy().astype(np.int64)
+        # Leaves of added tokens have no sizes; all others lie one after the other, pre-token by pre-token.
+        values = T.pieces(np.frombuffer(b"".join(d for d, k in zip(data, n) if k), np.uint8), np.cumsum(sizes) - sizes)
+        upto = np.append(0, np.cumsum(n))
+        # Pre-tokens at either end of a leaf may be parts that begin inside a character.
+        inner = np.ones(len(sizes), bool)
+        inner[upto[:-1][n > 0]] = inner[upto[1:][n > 0] - 1] = False
+        code, distinct = T.coded(values.filter(pa.array(inner)))
+        flat, counts = encoder(path).ids(distinct) if len(distinct) else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        ids, places = spread(flat, counts, code), np.append(0, np.cumsum(counts[code]))
+        before = np.append(0, np.cumsum(inner))
         rows = []
-        for data, parts in zip(step.column("bytes").to_pylist(), step.column("sizes").to_pylist()):
-            if not parts:
-                rows.append((np.array([added[data]], np.uint32), 1, 1))
+        for k, d in enumerate(data):
+            if not n[k]:
+                rows.append((np.array([added[d]], np.uint32), 1, 1))
                 continue
-            values = T.pieces(np.frombuffer(data, np.uint8), np.cumsum([0, *parts[:-1]]))
-            # Parts of pre-tokens at either end may begin inside a character.
-            ends = {0, len(parts) - 1}
-            code, distinct = T.coded(values.slice(1, max(0, len(parts) - 2)))
-            flat, n = encoder(path).ids(distinct) if len(distinct) else (np.empty(0, np.uint32), np.empty(0, np.int64))
-            outer = {k: merged(values[k].as_py(), path) for k in ends}
-            ids = np.concatenate([outer[0], spread(flat, n, code), *([outer[len(parts) - 1]] if len(parts) > 1 else [])])
-            rows.append((ids, len(outer[0]), len(outer[len(parts) - 1])))
+            a, b = int(upto[k]), int(upto[k + 1])
+            head = merged(values[a].as_py(), path)
+            tail = merged(values[b - 1].as_py(), path) if b - a > 1 else head
+            middle = ids[places[before[a]] : places[before[b]]]
+            rows.append((np.concatenate([head, middle, tail]) if b - a > 1 else head, len(head), len(tail)))
         ids, head, tail = zip(*rows)
         columns = {c: step.column(c) for c in ("id", "text_key", "place", "meets")} | {"ids": [x.astype("<u4").tobytes() for x in ids], "head": head, "tail": tail}
         yield _batch(columns, step.num_rows, schema)
+    T.release()
 
 
 # ---------------------------------------------------------------- joins
