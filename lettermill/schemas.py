@@ -13,4 +13,4 @@ ACCOUNTS = "id bigint, email string, enabled boolean, created_by bigint, created
 SYNC_STATE = "account_id bigint, initial_start bigint, initial_end bigint, initial_failed bigint, last_start bigint, progress map<string,struct<total_batches:int,current_batch:int>>, errors array<struct<error:string,at:bigint>>"
 USERS = "id bigint, username string, email string, global_roles array<bigint>, account_access_map map<bigint,bigint>"
 ROLES = "id bigint, name string, kind string, permissions array<string>"
-ATTACHMENTS = "id bigint, ordinal int, filename string, mime string, inline boolean, content_id string, size bigint, data binary"
+ATTACHMENTS = "id bigint, ordinal int, filename string, mime string, inline boolean, content_id string, size bigint, data binary, error string"

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import email
 import email.policy
-import html
 import re
+from base64 import b64encode
 from collections.abc import Iterator
+from datetime import UTC
 from email.header import decode_header, make_header
 from email.utils import getaddresses, parsedate_to_datetime
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -21,26 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType, StructType
 
-from ..functions.columns import default_message_id, embedded_images, scoped_id, thread_id
+from ..functions.columns import default_message_id, scoped_id, thread_id
 from ..operators.maintenance import restore_status
 from ..schemas import ATTACHMENTS
+from .html_text import html_to_text
 
-PARSED = "error string, message_id string, in_reply_to string, `references` array<string>, subject string, `from` string, `to` array<string>, cc array<string>, bcc array<string>, date bigint, plain string, html string, attachments array<string>"
+PARSED = "error string, message_id string, in_reply_to string, `references` array<string>, subject string, `from` string, `to` array<string>, cc array<string>, bcc array<string>, date bigint, plain string, html string, body string, attachments array<string>"
 _LISTS = ("references", "to", "cc", "bcc", "attachments")
-_NAMES = ("error", "message_id", "in_reply_to", "references", "subject", "from", "to", "cc", "bcc", "date", "plain", "html", "attachments")
+_NAMES = ("error", "message_id", "in_reply_to", "references", "subject", "from", "to", "cc", "bcc", "date", "plain", "html", "body", "attachments")
 _ARROW = pa.schema([(n, pa.list_(pa.string()) if n in _LISTS else pa.int64() if n == "date" else pa.string()) for n in _NAMES])
 #: Messages that a restore takes at most.
 MOST_RESTORED = 100
-_DROPPED = re.compile(r"(?is)<(script|style|head)\b.*?</\1>|<!--.*?-->")
-_EDGE = re.compile(r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|footer|header|blockquote|pre|hr)\b[^>]*>")
-
-
-def html_to_text(page: str | None) -> str | None:
-    if page is None:
-        return None
-    text = html.unescape(re.sub(r"<[^>]*>", "", _EDGE.sub("\n", _DROPPED.sub("", page))))
-    return "\n".join(x for x in (re.sub(r"[^\S\n]+", " ", line).strip() for line in text.split("\n")) if x)
-
 
 @pandas_udf(StringType())
 def html_text(pages: pd.Series) -> pd.Series:
@@ -98,6 +91,11 @@ def _text(part) -> str:
         return data.decode("utf-8", "replace")
 
 
+def _ms(time) -> int:
+    """Milliseconds since 1970; a zone of -0000 says nothing of where a sender is, but its time is that of UTC."""
+    return int((time if time.tzinfo else time.replace(tzinfo=UTC)).timestamp()) * 1000
+
+
 def _file_name(part, key: int, offset: int) -> str:
     return part.get_filename() or f"email{key}_attachment{offset}"
 
@@ -135,7 +133,7 @@ def parsed_row(raw: bytes | None) -> dict:
             return row | {"error": "no headers"}
         date = message.get("Date")
         try:
-            row["date"] = int(parsedate_to_datetime(str(date)).timestamp()) * 1000 if date else 0
+            row["date"] = _ms(parsedate_to_datetime(str(date))) if date else 0
         except (ValueError, TypeError, OverflowError):
             row["date"] = 0
         for name, column in (("Message-ID", "message_id"), ("In-Reply-To", "in_reply_to")):
@@ -148,6 +146,8 @@ def parsed_row(raw: bytes | None) -> dict:
         bodies = [p for p in parts if not _is_attachment(p)]
         row["plain"] = next((_text(p) for p in bodies if p.get_content_type() == "text/plain"), None)
         row["html"] = next((_text(p) for p in bodies if p.get_content_type() == "text/html"), None)
+        # Rendered here, where a message has no plain text, so that no body goes to Python twice.
+        row["body"] = row["plain"] if row["plain"] is not None else html_to_text(row["html"]) or ""
         row["attachments"] = [p.get_filename() for p in parts if _is_attachment(p) and p.get_filename()]
         _writable(row)
     except Exception as e:  # one bad message is a quarantine row, whatever is wrong with it
@@ -191,7 +191,7 @@ def envelopes(messages: DataFrame, imported: bool = True) -> DataFrame:
         scoped_id(F.col("account_id"), F.col("mailbox")).alias("mailbox_id"),
         (F.lit(0).cast("bigint") if imported else F.col("uid")).alias("uid"),
         "subject",
-        F.coalesce("plain", html_text(F.col("html")), F.lit("")).alias("text"),
+        F.coalesce("body", F.lit("")).alias("text"),
         "from",
         "to",
         "cc",
@@ -240,24 +240,32 @@ def batch_report(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("success"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
-def _attachments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for key, raw in zip(batch["id"], batch["eml"]):
-            try:
-                parts = [p for p in _parts(email.message_from_bytes(bytes(raw or b""))) if _is_attachment(p)]
-            except Exception:  # such a message is in the quarantine of the envelopes already
-                continue
-            for k, p in enumerate(parts):
-                data = _data(p)
-                cid = p.get("Content-ID")
-                rows.append((int(key), k, _file_name(p, int(key), k), p.get_content_type(), p.get_content_disposition() == "inline" or cid is not None, str(cid).strip("<>") if cid else None, len(data), data))
-        yield pd.DataFrame(rows, columns=["id", "ordinal", "filename", "mime", "inline", "content_id", "size", "data"])
+def _attachment_rows(message, key: int) -> Iterator[tuple]:
+    """A row for each attachment, as ATTACHMENTS names them; one without a content type has an error and no bytes."""
+    for k, p in enumerate(p for p in _parts(message) if _is_attachment(p)):
+        cid, inline = p.get("Content-ID"), p.get_content_disposition() == "inline"
+        cid = str(cid).strip().strip("<>") if cid else None
+        if p.get("Content-Type") is None:
+            yield key, k, _file_name(p, key, k), None, inline, cid, None, None, f"attachment {k} has no content type"
+        else:
+            data = _data(p)
+            yield key, k, _file_name(p, key, k), p.get_content_type(), inline, cid, len(data), data, None
+
+
+def _attachments(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for key, raw in ((k, r) for b in batches for k, r in zip(b.column("id").to_pylist(), b.column("eml").to_pylist())):
+        try:
+            rows = list(_attachment_rows(email.message_from_bytes(raw or b""), key))
+        except Exception:  # such a message is in the quarantine of the envelopes already
+            continue
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def attachments(raw: DataFrame) -> DataFrame:
-    """One row for each attachment of raw messages (id, eml)."""
-    return raw.select("id", "eml").mapInPandas(_attachments, ATTACHMENTS)
+    """One row for each attachment of raw messages (id, eml); error where it can't be read."""
+    schema = raw.sparkSession.createDataFrame([], ATTACHMENTS).toArrow().schema
+    return raw.select("id", "eml").mapInArrow(partial(_attachments, schema=schema), ATTACHMENTS)
 
 
 def attachment(raw: DataFrame, account_id: int, message: int, name: str) -> DataFrame:
@@ -266,14 +274,30 @@ def attachment(raw: DataFrame, account_id: int, message: int, name: str) -> Data
     return found.where(F.col("filename") == name).orderBy("ordinal").limit(1)
 
 
+CONTENT = "id bigint, text string, html string, attachments array<struct<ordinal:int,filename:string,mime:string,inline:boolean,size:bigint>>, error string"
+
+
+def _contents(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for key, raw in ((k, r) for b in batches for k, r in zip(b.column("id").to_pylist(), b.column("eml").to_pylist())):
+        row = parsed_row(raw)
+        page, parts, error = row["html"], [], row["error"]
+        if not error:
+            for _, k, name, mime, inline, cid, size, data, why in _attachment_rows(email.message_from_bytes(raw), key):
+                error = error or why
+                parts.append({"ordinal": k, "filename": name, "mime": mime, "inline": inline, "size": size})
+                if inline and cid and page and data is not None and cid in page:
+                    page = page.replace(f"cid:{cid}", f"data:{mime};base64,{b64encode(data).decode()}")
+        known = (key, None, None, None, error) if error else (key, row["plain"], page, parts, None)
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(known, schema)], schema=schema)
+
+
 def content(raw: DataFrame) -> DataFrame:
-    """Text, HTML with inline images put in, and attachments of raw messages (id, eml)."""
-    parts = attachments(raw).where("data is not null")
-    inline = parts.where("inline and content_id is not null").groupBy("id").agg(F.collect_list(F.struct("content_id", "mime", "data")).alias("images"))
-    listed = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "filename", "mime", "size"))).alias("attachments"))
-    bodies = parse(raw.select("id", "eml")).select("id", F.col("plain").alias("text"), "html")
-    rows = bodies.join(inline, "id", "left").join(listed, "id", "left")
-    return rows.select("id", "text", F.when(F.col("images").isNull(), F.col("html")).otherwise(embedded_images(F.col("html"), F.col("images"))).alias("html"), "attachments")
+    """Text, HTML with its inline images put in, and attachments of raw messages (id, eml), in one pass; error tells why there is nothing.
+
+    An image is put in where its part is inline by disposition and the page names it.
+    """
+    schema = raw.sparkSession.createDataFrame([], CONTENT).toArrow().schema
+    return raw.select("id", "eml").mapInArrow(partial(_contents, schema=schema), CONTENT)
 
 
 def export(raw: DataFrame, path: str, ids: DataFrame | None = None) -> DataFrame:
