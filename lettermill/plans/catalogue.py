@@ -8,14 +8,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import fixtures as X
 from ..functions import columns as C
-from ..operators import access, aggregates, folders, ingest, maintenance
+from ..operators import access, aggregates, folders, ingest, maintenance, snapshots
 from ..operators import search as S
 from ..sources import eml
+from ..streaming import deltas, planner
 from ..streaming import ingest as stream
-from . import token_index
+from . import layouts, living_index, token_index
 from .scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -790,4 +792,128 @@ def _(s, d):
     return folders.subtree_counts(_paths(s, d))
 
 
+# ---------------------------------------------------------------- state that follows writes, and layouts
+
+
+def _halves(rows, column="seq"):
+    """Rows up to the middle of a column, and those after it."""
+    middle = rows.agg((F.min(column) + F.max(column)) / 2).first()[0]
+    return rows.where(F.col(column) <= middle), rows.where(F.col(column) > middle)
+
+
+_MIDDLE = "(SELECT (min(doc_id) + max(doc_id)) / 2 FROM documents)"
+_BOX = _H.format("account_id || ':' || lang")
+
+
+@query(
+    "t06_stateful_plan",
+    f"WITH d AS (SELECT doc_id AS uid, CAST(substr(source, 4) AS BIGINT) AS account_id, lang FROM documents), f AS (SELECT account_id, lang, {_BOX} AS k, max(uid) FILTER (uid <= {_MIDDLE}) AS high, count(*) AS n FROM d GROUP BY ALL), "
+    "p AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'skip' WHEN k % 7 = 0 THEN 'rebuild' ELSE 'incremental' END AS action FROM f) "
+    "SELECT account_id, lang AS mailbox, 'load' AS action, NULL::BIGINT AS uid FROM f UNION ALL SELECT account_id, lang, action, NULL FROM p "
+    f"UNION ALL SELECT account_id, lang, 'fetch', uid FROM d WHERE uid <= {_MIDDLE} UNION ALL SELECT d.account_id, d.lang, 'fetch', d.uid FROM d JOIN p USING (account_id, lang) WHERE d.uid > {_MIDDLE} AND action <> 'skip'",
+)
+def _(s, d):
+    """Two rounds: every folder in its first epoch, then one in seven in another one and one in eleven without any; each round lists and lands half of the messages."""
+    source, listings, root = (scratch(s, name) for name in ("rounds", "listings", "plan"))
+    folder = X.table(s, d, "documents").select(F.substring("source", 4, 9).cast("bigint").alias("account_id"), F.col("lang").alias("mailbox"), "doc_id")
+    folder = folder.groupBy("account_id", "mailbox").agg(F.count("*").alias("exists"), (F.max("doc_id") * 0).alias("seq"))
+    k = C.scoped_id(F.col("account_id"), F.col("mailbox"))
+    landed = stream.landed(s, _landed(s, d))
+    first, second = _halves(landed)
+    between = first.agg(F.max("seq")).first()[0] or 0
+    epochs = (F.lit(1).cast("bigint"), F.when(k % 11 == 0, None).when(k % 7 == 0, 2).otherwise(1).cast("bigint"))
+    for epoch, rows, seq in zip(epochs, (first, second), (-1, between)):
+        folder.select("account_id", "mailbox", epoch.alias("uid_validity"), "exists", F.lit(seq).cast("bigint").alias("seq")).coalesce(1).write.mode("append").parquet(listings)
+        rows.write.mode("append").parquet(source)
+        planner.run(s, source, listings, root, cool_down_ms=0).awaitTermination()
+    return planner.decided(s, root).select("account_id", "mailbox", "action", "uid")
+
+
+@query("t04_replayed_landing", f"SELECT {_H.format('account_id || ' + repr(':') + ' || md5(text) || ' + repr('@fixture'))} AS id, max(doc_id) AS uid, 1 AS n FROM (SELECT *, CAST(substr(source, 4) AS BIGINT) AS account_id FROM documents) WHERE doc_id % 9 <> 0 GROUP BY 1")
+def _(s, d):
+    """Every file of the landing folder comes twice; n counts how often the message that stays was written."""
+    source, root = _landed(s, d), scratch(s, "logs")
+    stream.landed(s, source).write.mode("append").parquet(source)
+    stream.run(s, source, root, replays="7 days").awaitTermination()
+    log = stream.written(s, root, "envelopes")
+    return log.join(maintenance.latest(log).select("id", "seq"), ["id", "seq"], "left_semi").groupBy("id", "uid").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("m02_snapshot_and_tail", f", {_ALIVE} SELECT id, account_id, uid FROM alive", "e")
+def _(s, d):
+    """The current view from a snapshot of the log's first half and the ops after it."""
+    root, path = scratch(s, "snapshots"), scratch(s, "log")
+    dated = _log(s, d).withColumn("date", F.lit(NOW) - F.col("uid") * 86400000 * 31)
+    for batch, rows in enumerate(_halves(dated)):
+        rows.write.parquet(f"{path}/batch={batch}")
+        if batch == 0:
+            log = s.read.schema(StructType([*dated.schema]).add("batch", "long")).parquet(path)
+            snapshots.compact(log, None, root)
+    log = s.read.schema(StructType([*dated.schema]).add("batch", "long")).parquet(path)
+    return snapshots.view(s, root, log).select("id", "account_id", "uid")
+
+
+@query(
+    "f15_index_after_writes",
+    f"SELECT id, uid, \"date\" FROM e WHERE NOT has_attachment AND ((list_has_any({_TOK.format(_ALL)}, ['licensed', 'released']) AND NOT list_has_any({_TOK.format(_ALL)}, ['apache'])) OR (list_has_all({_TOK.format(_ALL)}, ['the', 'and']) AND contains(' ' || array_to_string({_TOK.format(_ALL)}, ' ') || ' ', ' all rights reserved ')))",
+    "e",
+)
+def _(s, d):
+    """Messages are indexed in two batches, the second with new versions of old ones; then those with attachments are deleted, and parts merged."""
+    root, e = scratch(s, "living-index"), X.envelopes(s, d)
+    for batch, rows in enumerate(_halves(X.envelopes_all(s, d))):
+        living_index.add(s, root, batch, rows)
+    gone = e.where("has_attachment")
+    living_index.add(s, root, 2, X.envelopes_all(s, d).limit(0), gone.select("id", "seq"))
+    living_index.merge(s, root)
+    index, left = living_index.LivingIndex(s, root), e.where("not has_attachment")
+    one = index.search(left, S.Search(any_words="licensed released", no_words="Apache"))
+    two = index.search(left, S.Search(all_words="the and", phrase="All rights reserved"))
+    return one.union(two).select(*_IDS).distinct()
+
+
+@query(
+    "a14_numbers_by_retraction",
+    "WITH x AS (SELECT * FROM e WHERE NOT has_attachment) SELECT 'count' AS part, '' AS key, count(*) AS n FROM x UNION ALL SELECT 'size', '', sum(size)::BIGINT FROM x UNION ALL SELECT 'without_attachment', '', count(*) FROM x UNION ALL SELECT 'activity', CAST(\"date\" // 86400000 * 86400000 AS VARCHAR), count(*) FROM x GROUP BY ALL "
+    "UNION ALL SELECT 'sender', \"from\", count(*) FROM x GROUP BY ALL UNION ALL SELECT 'account', CAST(account_id AS VARCHAR), count(*) FROM x GROUP BY ALL UNION ALL SELECT 'facet', path, count(DISTINCT id) FROM (SELECT id, unnest([regexp_extract(tag, '^/[^/]+'), tag]) AS path FROM (SELECT id, unnest(tags) AS tag FROM x)) GROUP BY ALL".replace("WITH x", ", x"),
+    "e",
+)
+def _(s, d):
+    """All versions come in two batches; then the messages with attachments are deleted."""
+    source, root = scratch(s, "changes"), scratch(s, "numbers")
+    columns = ["op", "seq", "id", "account_id", "mailbox_id", "from", "date", "size", "has_attachment", "tags"]
+    upserts = X.envelopes_all(s, d).withColumn("op", F.lit("upsert")).select(columns)
+    gone = X.envelopes(s, d).where("has_attachment").select("id", "seq", F.lit("delete").alias("op"))
+    for rows in (*_halves(upserts), upserts.limit(0).unionByName(gone, allowMissingColumns=True)):
+        rows.write.mode("append").parquet(source)
+        deltas.run(s, source, root).awaitTermination()
+    return deltas.numbers(s, root)
+
+
+@query("l01_deep_page", 'SELECT id, uid, "date" FROM e ORDER BY "date" DESC, id LIMIT 20 OFFSET (SELECT count(*) // 40 * 20 FROM e)', "e")
+def _(s, d):
+    """The page in the middle, from the ranges that hold it."""
+    path, e = scratch(s, "ranges"), X.envelopes(s, d).select(*_IDS)
+    layouts.write_ranges(e, path, 100)
+    return layouts.page_of_ranges(s, path, e.schema, e.count() // 40 + 1, 20)
+
+
+@query("j03_bucketed_envelope_and_raw", "SELECT id, uid, length(text) AS n_chars FROM e", "e")
+def _(s, d):
+    """Both tables bucketed by id, so that the join moves neither."""
+    raw = _raw(s, d).select("id", "eml")
+    n = layouts.buckets_for(raw, 1 << 20)
+    e, r = (layouts.write_bucketed(rows, scratch(s, "bucketed"), n) for rows in (X.envelopes(s, d).select("id", "uid"), raw))
+    return layouts.with_raw(e, r).select("id", "uid", F.length(F.decode("eml", "UTF-8")).cast("bigint").alias("n_chars"))
+
+
+@query("r03_pruned_scope", "SELECT e.id, account_id, uid FROM e, u WHERE u.id = 7 AND account_id IN (a1, a2)", "e", "u")
+def _(s, d):
+    """A table by account, of which the folders in scope are opened."""
+    path, e = scratch(s, "by-account"), X.envelopes(s, d).select("id", "account_id", "uid")
+    layouts.write_by_account(e, path)
+    scope = access.read_scope(X.users(s, d), access.builtin_roles(s))
+    return access.scoped(layouts.read_by_account(s, path, e.schema), scope, 7).select("id", "account_id", "uid")
+
+
 entry = search_page
