@@ -14,7 +14,7 @@ from .. import fixtures as X
 from ..functions import columns as C
 from ..operators import access, aggregates, folders, ingest, maintenance, snapshots
 from ..operators import search as S
-from ..sources import eml
+from ..sources import eml, mail_files
 from ..streaming import deltas, planner
 from ..streaming import ingest as stream
 from . import layouts, living_index, token_index
@@ -916,4 +916,12 @@ def _(s, d):
     return access.scoped(layouts.read_by_account(s, path, e.schema), scope, 7).select("id", "account_id", "uid")
 
 
+@query("s06_eml_files", "SELECT id, sha256(text) AS eml_sha256 FROM e", "e")
+def _(s, d):
+    """Every message as a file of its own, read again as files."""
+    path = scratch(s, "eml-files")
+    mail_files.export(_raw(s, d), path)
+    return s.read.format("mail").option("layout", "ids").load(path).select("id", F.sha2("eml", 256).alias("eml_sha256"))
+
+
 entry = search_page
