@@ -77,11 +77,17 @@ def _(s, d):
     return X.envelopes(s, d).groupBy(C.size_bucket(F.col("size")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 def _index(s, d):
-    """The index of all messages, written once for a query; look-ups then open the parts of their words."""
-    path = scratch(s, "index")
-    token_index.write(X.envelopes(s, d), path)
-    return token_index.read(s, path)
+    """The index of all messages, written once for a table and application; look-ups then open the parts of their words."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = scratch(s, "index")
+        token_index.write(X.envelopes(s, d), path)
+        _INDEXES[key] = path
+    return token_index.read(s, _INDEXES[key])
 
 
 @query("f15_index_search", f"SELECT id FROM e WHERE list_has_all({_TOK.format(_ALL)}, ['rights', 'reserved'])", "e")
