@@ -30,7 +30,7 @@ def test_numbers_follow_every_batch(spark, tmp_path):
     made, source, root, rows = random.Random(8), f"{tmp_path}/{uuid.uuid4().hex}", f"{tmp_path}/{uuid.uuid4().hex}", []
     accounts = spark.createDataFrame([(0, "x")], "id bigint, email string")
     living = spark.createDataFrame([], deltas.CHANGES)
-    for batch in range(4):
+    for batch in range(3):
         new = list({(r[1], r[0], r[2]): r for r in changes(made, batch)}.values())
         rows = list({(r[1], r[0], r[2]): r for r in rows + new}.values())
         frame = spark.createDataFrame(new, deltas.CHANGES)
