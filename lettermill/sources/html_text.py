@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 
 # Elements by how they are laid out.
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -18,6 +18,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style head title template noscript textarea object iframe svg".split())
 _HIDDEN_STYLE = re.compile(r"(?i)(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"[a-z0-9:-]*")
 _SPACE = re.compile(r"[ \t\r\n\f\xa0]+")
 #: Levels of lists and quotes that are shown.
 DEEPEST = 20
@@ -34,7 +35,7 @@ class _Text:
         self.filled = False
         #: Open elements: name, whether hidden.
         self.open: list[tuple[str, bool]] = []
-        self.names: Counter = Counter()
+        self.names: defaultdict[str, int] = defaultdict(int)
         self.hidden = 0
         #: Open lists: kind, number of the last item, place of its element in the stack.
         self.lists: list[list] = []
@@ -55,6 +56,8 @@ class _Text:
             self.line.append(part)
 
     def end_line(self) -> None:
+        if not self.line:
+            return
         text = "".join(self.line)
         self.line, self.filled = [], False
         text = text.replace("\r", "").rstrip() if self.names["pre"] else _SPACE.sub(" ", text).strip().removesuffix(" |").strip()
@@ -131,6 +134,8 @@ def _tag_end(page: str, at: int) -> int:
         if end < 0:
             return -1
         inside = page[at:end] if end - at < 1 << 16 else ""
+        if "=" not in inside:
+            return end
         for mark in ('"', "'"):
             if inside.count(mark) % 2 and "=" + mark in inside.replace(" ", ""):
                 closing = page.find(mark, end, end + (1 << 12))
@@ -167,7 +172,7 @@ def html_to_text(page: str | None, references: bool = False) -> str | None:
                 out.text(html.unescape(page[begin:]))
                 break
             closing = after == "/"
-            name = re.match(r"[a-z0-9:-]*", low[begin + 1 + closing : begin + 33])[0]
+            name = _NAME.match(low, begin + 1 + closing, begin + 33)[0]
             at = end + 1
             if closing:
                 out.end(name)
