@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .work import checkpointed, kept, quoted, row_of, small, table
+from .work import kept, quoted, row_of, small, table
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9995, 6
 #: Bounds of a block of a cluster.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Rows of two keys that one task may go through on its own when components are joined.
+ONE_TASK = 1 << 16
 
 
 def band_count(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -152,15 +154,24 @@ def _verified(pairs: pa.Table, threshold: float) -> pa.Table:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, least node of its component) for the nodes of edges (p, q); each end passes on the least it knows."""
-    both = checkpointed(edges.select("p", "q").union(edges.select(F.col("q"), F.col("p"))).where("p is not null").distinct())
-    labels = checkpointed(both.groupBy("p").agg(F.least(F.min("q"), F.col("p")).alias("label")).withColumnRenamed("p", "node"))
+    """(node, least node of its component) for the nodes of edges (p, q); each end passes on the least it knows.
+
+    Labels are written and read again, as a checkpoint takes along the size that its plan is estimated at, the product of those
+    of its joins, whose digits grow by a factor from round to round. Each round costs some stages. Where both directions of all edges are ONE_TASK rows at most, one task goes through them
+    without a shuffle, as a round of small stages costs the driver far more than the rows do.
+    """
+    both = kept(edges.select("p", "q").union(edges.select(F.col("q"), F.col("p"))).where("p is not null").distinct(), "edges")
+    few = both.count() <= ONE_TASK
+    gathered = lambda rows: rows.coalesce(1) if few else rows
+    both = gathered(both)
+    labels = kept(both.groupBy("p").agg(F.least(F.min("q"), F.col("p")).alias("label")).withColumnRenamed("p", "node"), "labels")
     while True:
-        heard = both.join(labels, both["q"] == labels["node"]).groupBy("p").agg(F.min("label").alias("heard"))
+        labels = gathered(labels)
+        heard = gathered(both.join(labels.hint("merge"), both["q"] == labels["node"]).groupBy("p").agg(F.min("label").alias("heard")))
         # The label's own label shortens long chains.
         far = labels.select(F.col("node").alias("of"), F.col("label").alias("beyond"))
-        new = labels.join(heard, labels["node"] == heard["p"]).select("node", "label", F.least("label", "heard").alias("near"))
-        new = checkpointed(new.join(far, new["near"] == far["of"], "left").select("node", F.least("near", F.coalesce("beyond", "near")).alias("label"), (F.least("near", F.coalesce("beyond", "near")) < F.col("label")).alias("moved")))
+        new = gathered(labels.join(heard.hint("merge"), labels["node"] == heard["p"]).select("node", "label", F.least("label", "heard").alias("near")))
+        new = kept(new.join(far.hint("merge"), new["near"] == far["of"], "left").select("node", F.least("near", F.coalesce("beyond", "near")).alias("label"), (F.least("near", F.coalesce("beyond", "near")) < F.col("label")).alias("moved")), "labels")
         labels = new.select("node", "label")
         if new.where("moved").isEmpty():
             return labels

@@ -37,12 +37,6 @@ def small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= SMALL_ROWS else frame
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame with its lineage cut in the shared folder."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
-
-
 def share_of(column: str, share: float) -> Column:
     """True for about this share of the values of a column, by all 64 bits of a hash, so that a small share of many is met as well."""
     return F.xxhash64(column) <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))

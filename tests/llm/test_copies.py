@@ -248,3 +248,27 @@ def test_fingerprints_of_shifted_text():
     text = " ".join("".join(made.choice(list("abcdefgh"), 6)) for _ in range(800))
     a, b = fingerprint.Fingerprints([text]).strings()[0], fingerprint.Fingerprints(["moved along by a few words " + text]).strings()[0]
     assert fingerprint.containment(a, b) > 0.95
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_components_by_tables(spark, few, monkeypatch):
+    """A chain and a ring, whole and one by one: no round takes along what the rounds before it were estimated at, and few edges take few tasks."""
+    if not few:
+        monkeypatch.setattr(ngram_join, "ONE_TASK", 0)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100 + i, 100 + (i + 1) % 7) for i in range(7)] + [(200, 200)], "p long, q long")
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 30)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup(f"components {few}", "")
+    try:
+        found = ngram_join.components(edges)
+        assert {r["node"]: r["label"] for r in found.collect()} == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(7)} | {200: 200}
+        assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+        told = spark.sparkContext.statusTracker()
+        stages = {i for j in told.getJobIdsForGroup(f"components {few}") for i in told.getJobInfo(j).stageIds}
+        tasks = sum(s.numCompletedTasks for i in stages if (s := told.getStageInfo(i)))
+        assert tasks < 200 or not few
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
