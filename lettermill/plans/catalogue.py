@@ -848,9 +848,10 @@ def _(s, d):
 @query("m02_snapshot_and_tail", f", {_ALIVE} SELECT id, account_id, uid FROM alive", "e")
 def _(s, d):
     """The current view from a snapshot of the log's first half and the ops after it."""
-    root, path = scratch(s, "snapshots"), scratch(s, "log")
+    root, path, whole = scratch(s, "snapshots"), scratch(s, "log"), scratch(s, "whole-log")
     dated = _log(s, d).withColumn("date", F.lit(NOW) - F.col("uid") * 86400000 * 31)
-    for batch, rows in enumerate(_halves(dated)):
+    dated.write.option("compression", "zstd").parquet(whole)
+    for batch, rows in enumerate(_halves(s.read.schema(dated.schema).parquet(whole))):
         rows.write.parquet(f"{path}/batch={batch}")
         if batch == 0:
             log = s.read.schema(StructType([*dated.schema]).add("batch", "long")).parquet(path)

@@ -96,3 +96,30 @@ def test_streamed_logs_are_compacted(spark, tmp_path):
         if batch < 2:
             assert snapshots.compact(log, None, kept).upto == batch
     assert len(want) == 8
+
+
+def test_many_months_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "MOST_FOLDERS", 8, raising=False)
+    root, far = str(tmp_path / "s"), 10**15
+    up = lambda k, date, batch, body="x": ("upsert", 100 * batch + k, k, 1, k % 2, date, 5, body, [], batch)
+    folders = lambda s: {m: p for m, p in s.paths.items() if m != "deletions"}
+    # One date is missing; then come a change, dates before year 0 and after year 9999, and more months in between than there is room for.
+    rows = [up(k, date, 0) for k, date in enumerate([None, 0] + [k * 40 * DAY for k in range(30)])]
+    batches = [[], [up(20, 19 * 40 * DAY, 1, "new"), ("delete", 150, 4, None, None, None, None, None, None, 1)], [up(40, -3 * far, 2), up(41, 3 * far, 2)], [up(50 + k, (100 + 5 * k) * 40 * DAY, 3) for k in range(12)]]
+    seen = []
+    for batch, more in enumerate(batches):
+        rows += more
+        log = spark.createDataFrame(rows, OPS)
+        want = held_or_none(maintenance.current(log.drop("batch")))
+        if batch:
+            assert held_or_none(snapshots.view(spark, root, log)) == want
+        seen.append(folders(snapshots.compact(log, None, root)))
+        found = snapshots.newest(spark, root)
+        assert held_or_none(snapshots.rows_of(spark, log, found)) == want and folders(found) == seen[-1] and len(seen[-1]) <= 8
+    # A change leaves other folders where they were, new months add theirs, and too many of them have all laid out anew.
+    stay = [len(set(a.values()) & set(b.values())) for a, b in zip(seen, seen[1:])]
+    assert [len(s) for s in seen[:3]] == [4, 4, 6] and stay == [2, 4, 0]
+
+
+def held_or_none(frame):
+    return sorted(((r["id"], r["seq"], r["date"], r["body"]) for r in frame.collect()), key=str)
