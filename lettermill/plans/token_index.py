@@ -14,16 +14,31 @@ BUCKETS = 64
 _FIELDS = {"subject": F.col, "text": F.col, "attachments": lambda c: F.array_join(c, "\n")}
 
 
-def postings(envelopes: DataFrame) -> DataFrame:
-    """(token, id, field, positions): places of a token among those of all fields, one field after the other."""
+def postings(envelopes: DataFrame, *kept: str) -> DataFrame:
+    """(token, id, field, positions) and kept columns: places of a token among those of all fields, one field after the other.
+
+    A row's postings come from the row alone, so nothing is shuffled: its tokens are sorted with their places, and each run of a token is one.
+    """
+    found = envelopes.select("id", *kept, *[tokens(text(name)).alias(f"_{name}") for name, text in _FIELDS.items()])
     before, parts = F.lit(0), []
-    for name, text in _FIELDS.items():
-        found = tokens(text(name))
-        place = F.struct(F.lit(name).alias("field"), before.alias("before"), found.alias("tokens"))
-        parts.append(place)
-        before = before + F.size(found)
-    rows = envelopes.select("id", F.inline(F.array(*parts))).select("id", "field", "before", F.posexplode("tokens").alias("k", "token"))
-    return rows.groupBy("token", "id", "field").agg(F.array_sort(F.collect_list(F.col("before") + F.col("k"))).alias("positions"))
+    for name in _FIELDS:
+        parts.append(F.struct(F.lit(name).alias("field"), before.alias("_before"), F.col(f"_{name}").alias("_tokens")))
+        before = before + F.size(f"_{name}")
+    rows = found.select("id", *kept, F.inline(F.array(*parts))).where(F.size("_tokens") > 0)
+    placed = F.sort_array(F.transform("_tokens", lambda t, k: F.struct(t.alias("token"), (F.col("_before") + k).alias("at"))))
+    rows = rows.select("id", *kept, "field", placed.alias("_placed"))
+    token = lambda k: F.get("_placed", k)["token"]
+    first = F.filter(F.sequence(F.lit(0), F.size("_placed") - 1), lambda k: (k == 0) | (token(k) != token(k - 1)))
+    rows = rows.select("id", *kept, "field", "_placed", first.alias("_first"))
+    places = lambda a, b: F.transform(F.slice("_placed", a + 1, b - a), lambda x: x["at"])
+    runs = F.transform("_first", lambda a, j: F.struct(token(a).alias("token"), places(a, F.coalesce(F.get("_first", j + 1), F.size("_placed"))).alias("positions")))
+    return rows.select("id", *kept, "field", F.inline(runs)).select("token", "id", "field", "positions", *kept)
+
+
+def counts(envelopes: DataFrame) -> DataFrame:
+    """(hash, n): how many postings each token has, without their places."""
+    words = F.array(*[F.array_distinct(tokens(text(name))) for name, text in _FIELDS.items()])
+    return envelopes.select(F.explode(F.flatten(words)).alias("token")).groupBy(F.xxhash64("token").alias("hash")).agg(F.count("*").alias("n"))
 
 
 def _part(token: Column, buckets: int) -> Column:

@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lettermill.operators import maintenance
 from lettermill.operators import search as S
-from lettermill.plans import living_index
+from lettermill.plans import living_index, token_index
 from lettermill.schemas import ENVELOPES
 
 WORDS = "harbour tide wind sail rope anchor mast hull deck the and of".split()
@@ -77,3 +78,26 @@ def test_a_write_reads_its_own_rows_only(spark, tmp_path):
     assert len({f.rsplit("/part=", 1)[1].split("/")[0] for f in index.rows(["w7x3"]).inputFiles() if "/part=" in f}) == 1
     assert index.with_all(["w1x1"]).count() == 0 and [r[0] for r in index.with_all(["tide", "the"]).collect()] == [1]
     assert living_index.LivingIndex(spark, str(tmp_path / "none")).with_any(["the"]).count() == 0
+
+
+def test_postings_are_written_once_in_rounds(spark, tmp_path, monkeypatch):
+    schema = "id bigint, seq bigint, subject string, text string, attachments array<string>"
+    table = lambda ids, seq: spark.createDataFrame([(k, seq + k, "the Tide", " ".join(f"w{(k * j) % 17} the" for j in range(20)) if k % 5 else None, ["a.pdf"]) for k in ids], schema)
+    # Postings come from a message alone; none is moved before it is dealt to its file.
+    assert "Exchange" not in token_index.postings(table(range(3), 0))._jdf.queryExecution().executedPlan().toString()
+    for name, n in (("ROUND_ROWS", 300), ("MOST_ENDED", 7)):
+        monkeypatch.setattr(living_index, name, n, raising=False)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    root, before = str(tmp_path / "index"), spark.conf.get(setting, None)
+    second = table(range(30, 70), 1000)
+    living_index.add(spark, root, 0, table(range(40), 0), None, 200)
+    living_index.add(spark, root, 1, second.union(second.where("id % 3 = 0")).union(table(range(60, 64), 500)), spark.createDataFrame([(k, 2000) for k in range(0, 70, 9)], "id bigint, seq bigint"))
+    rows = lambda path: sum(pq.ParquetFile(f).metadata.num_rows for f in path.rglob("*.parquet") if "token" in pq.ParquetFile(f).schema_arrow.names)
+    assert rows(tmp_path / "index") == sum(r["n_rows"] for r in living_index.manifest(spark, root))
+    want = token_index.postings(table(range(30), 0).union(second).where("id % 9 <> 0"))
+    held = lambda frame: sorted((r["token"], r["id"], r["field"], r["positions"]) for r in frame.collect())
+    words = ["the", "tide", "a", "pdf", *[f"w{k}" for k in range(17)]]
+    assert held(living_index.LivingIndex(spark, root).rows(words)) == held(want)
+    assert living_index.merge(spark, root, everything=True) and spark.conf.get(setting, None) == before
+    assert held(living_index.LivingIndex(spark, root).rows(words)) == held(want)
+    assert sum(r["n_rows"] for r in living_index.manifest(spark, root)) == want.count()
